@@ -45,10 +45,12 @@ def running_totals(
     order: Sequence[str],
     totals: dict[str, Column],
     partitions: int | None = None,
+    overall: bool = False,
 ) -> DataFrame:
     """Inclusive running sum of each expression within ``by`` along ``order``.
 
-    ``order`` must be a total order within a group. NULL terms count as zero.
+    ``order`` must be a total order within a group. NULL terms count as zero. ``overall`` adds
+    ``<name>_all``, the sum over the whole group, from the same summary.
     """
     by = list(by)
     terms = {name: f"_term_{i}" for i, name in enumerate(totals)}
@@ -63,9 +65,12 @@ def running_totals(
         laid.groupBy(PART, *by)
         .agg(*[F.sum(t).alias(t) for t in terms.values()])
         .withColumns({f"_carry{t}": F.sum(t).over(earlier) for t in terms.values()})
-        .where(F.col(f"_carry{next(iter(terms.values()))}").isNotNull())
-        .drop(*terms.values())
     )
+    if overall:
+        carry = carry.withColumns({f"_all{t}": F.sum(t).over(Window.partitionBy(*by)) for t in terms.values()})
+    else:
+        carry = carry.where(F.col(f"_carry{next(iter(terms.values()))}").isNotNull())
+    carry = carry.drop(*terms.values())
     joined = local.alias("l").join(
         carry.alias("c"),
         (F.col(f"l.{PART}") == F.col(f"c.{PART}")) & _equal("l", "c", by),
@@ -75,6 +80,7 @@ def running_totals(
     return joined.select(
         *kept,
         *[(F.col(f"l.{n}") + F.coalesce(F.col(f"c._carry{t}"), F.lit(0).cast("long"))).alias(n) for n, t in terms.items()],
+        *([F.col(f"c._all{t}").alias(f"{n}_all") for n, t in terms.items()] if overall else []),
     )
 
 

@@ -29,7 +29,7 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
 def value_positions(
     df: DataFrame, value: str, by: Sequence[str] = (), weight: dict[str, Column] | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Distinct values with ``cnt``, running ``upto`` (inclusive) and, for each weight, its running sum.
+    """Distinct values with ``cnt``, running ``upto`` (inclusive), ``upto_all``, and the same for each weight.
 
     Duplicates collapse before anything is sorted, so a value held by a third of all rows is one row.
     """
@@ -40,7 +40,7 @@ def value_positions(
         .agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(e).alias(f"w_{n}") for n, e in extra.items()])
     )
     sums = {"upto": F.col("cnt"), **{f"cum_{n}": F.col(f"w_{n}") for n in extra}}
-    return running_totals(counts, by, [value], sums, partitions)
+    return running_totals(counts, by, [value], sums, partitions, overall=True)
 
 
 def exact_quantiles(
@@ -49,8 +49,7 @@ def exact_quantiles(
     """Linear-interpolated quantiles per group, one column per entry of ``probs``."""
     by = list(by)
     at = value_positions(df.select(*by, value), value, by, partitions=partitions)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    placed = attach(at, sizes, by)
+    placed = at.withColumnRenamed("upto_all", "_n")
     start = F.col("upto") - F.col("cnt")
     picks: list[Column] = []
     for i, p in enumerate(probs.values()):
