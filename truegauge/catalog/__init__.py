@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ingest", "cleaning", "shaping", "profiles", "ordering")
+MODULES = ("ingest", "cleaning", "shaping", "profiles", "ordering", "relations")
 
 
 def load():

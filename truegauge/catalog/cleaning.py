@@ -31,18 +31,18 @@ def row_sum_min_count(t):
 
 @query(
     "P2_guarded_ratio",
-    f"WITH {DERIVED_CTE} SELECT coil_id, {rs(8, top_current_per_speed='top_current_per_speed', top_factor='top_factor', bot_factor='bot_factor')} FROM derived",
+    f"WITH {DERIVED_CTE} SELECT coil_id, {rs(9, top_current_per_speed='top_current_per_speed', top_factor='top_factor', bot_factor='bot_factor')} FROM derived",
 )
 def guarded_ratio(t):
-    return rounded(derived(t).select("coil_id", "top_current_per_speed", "top_factor", "bot_factor"), 8)
+    return rounded(derived(t).select("coil_id", "top_current_per_speed", "top_factor", "bot_factor"), 9)
 
 
 @query(
     "P3_epsilon_ratio",
-    f"WITH {DERIVED_CTE} SELECT coil_id, {rs(8, top_current_per_speed='top_current_sum / (sp + 1e-5)')} FROM derived",
+    f"WITH {DERIVED_CTE} SELECT coil_id, {rs(9, top_current_per_speed='top_current_sum / (sp + 1e-5)')} FROM derived",
 )
 def epsilon_ratio(t):
-    return rounded(derived(t, training=True).select("coil_id", "top_current_per_speed"), 8)
+    return rounded(derived(t, training=True).select("coil_id", "top_current_per_speed"), 9)
 
 
 @query(

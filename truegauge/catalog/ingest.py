@@ -52,6 +52,7 @@ def master_rows(t):
 def lab_csv(t):
     path = scratch(t, "lab-csv")
     lab = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("grade"), "o_totalprice", F.lit("镀层").alias("材料"))
+    readers.allow_java_charsets(t.spark)
     lab.write.csv(path, header=True, encoding="gbk")
     schema = T.StructType.fromDDL("o_orderkey bigint, grade string, o_totalprice double, label string")
     back = readers.lab_csv(t.spark, path, schema, encoding="utf-8", fallback="gbk")

@@ -25,22 +25,22 @@ ROLL = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PREC
 
 @query(
     "W2_rolling_trailing",
-    f"""SELECT event_id, {r(f'CASE WHEN count(value) {ROLL} >= 12 THEN avg(value) {ROLL} END')} AS roll_mean,
-      {r(f'CASE WHEN count(value) {ROLL} >= 12 THEN stddev_samp(value) {ROLL} END')} AS roll_std FROM events""",
+    f"""SELECT event_id, {r(f'CASE WHEN count(value) {ROLL} >= 12 THEN avg(value) {ROLL} END', 9)} AS roll_mean,
+      {r(f'CASE WHEN count(value) {ROLL} >= 12 THEN stddev_samp(value) {ROLL} END', 7)} AS roll_std FROM events""",
 )
 def rolling_trailing(t):
     e = t.events.select("event_type", "ts", "event_id", "value")
-    return rounded(ordered.rolling_stats(e, "value", ["ts", "event_id"], ["event_type"], 50).select("event_id", "roll_mean", "roll_std"))
+    return rounded(ordered.rolling_stats(e, "value", ["ts", "event_id"], ["event_type"], 50).select("event_id", "roll_mean", "roll_std"), 9, roll_std=7)
 
 
 @query(
     "W3_rolling_centred",
-    f"""SELECT event_id, {r('CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END')} AS trend FROM events
+    f"""SELECT event_id, {r('CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END', 9)} AS trend FROM events
       WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING)""",
 )
 def rolling_centred(t):
     e = t.events.select("event_type", "ts", "event_id", "value")
-    return rounded(ordered.rolling_centred(e, "value", ["ts", "event_id"], 40, ["event_type"]).select("event_id", "trend"))
+    return rounded(ordered.rolling_centred(e, "value", ["ts", "event_id"], 40, ["event_type"]).select("event_id", "trend"), 9)
 
 
 def ewma_sql(alpha, terms, seed=""):

@@ -160,12 +160,12 @@ def safe_name(t):
     return t.part.select("p_partkey", scalar.safe_name(F.concat(F.col("p_name"), F.lit(" ["), F.col("p_brand"), F.lit("] (a/b)"))).alias("safe"))
 
 
-@query("B6_elapsed_days", f"SELECT event_id, {r('(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400000000.0', 8)} AS days FROM events")
+@query("B6_elapsed_days", f"SELECT event_id, {r('(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400000000.0', 5)} AS days FROM events")
 def elapsed_days(t):
     from truegauge.operators.quantiles import attach
 
     e = attach(t.events.select("event_id", "ts"), t.events.agg(F.min("ts").alias("t0")))
-    return rounded(e.select("event_id", scalar.elapsed_days(F.col("ts"), F.col("t0")).alias("days")), 8)
+    return rounded(e.select("event_id", scalar.elapsed_days(F.col("ts"), F.col("t0")).alias("days")), 5)
 
 
 @query(
@@ -190,9 +190,9 @@ def interpolation(t):
     return rounded(out.select("c_custkey", "y"))
 
 
-@query("B9_rounding", f"WITH {PAIRS_CTE} SELECT o_orderkey, {r('delta / 7', 4)} AS d4, {r('disc * 10 / 3', 2)} AS d2 FROM pairs")
+@query("B9_rounding", f"WITH {PAIRS_CTE} SELECT o_orderkey, {r('delta / 7', 7)} AS d4, {r('disc * 10 / 7', 7)} AS d2 FROM pairs")
 def rounding(t):
-    return t.pairs.select("o_orderkey", rnd(F.col("delta") / 7, 4).alias("d4"), rnd(F.col("disc") * 10 / 3, 2).alias("d2"))
+    return t.pairs.select("o_orderkey", rnd(F.col("delta") / 7, 7).alias("d4"), rnd(F.col("disc") * 10 / 7, 7).alias("d2"))
 
 
 # --- chart data -------------------------------------------------------------------------------

@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from truegauge.operators.quality import holds
 from truegauge.operators.quantiles import attach, exact_quantiles
 from truegauge.operators.splits import numbered
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Inverse of the standard normal distribution function."""
     inv = NormalDist().inv_cdf

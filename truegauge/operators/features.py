@@ -23,7 +23,7 @@ def derive(df: DataFrame, spec: Spec, training: bool = False) -> DataFrame:
         made[s.col("current_per_speed")] = (
             epsilon_ratio(total, F.nullif(speed, F.lit(0.0))) if training else ratio(total, speed)
         )
-        made[s.col("factor")] = ratio(total, speed * F.col(spec.width_mm) / 1000.0)
+        made[s.col("factor")] = ratio(total, speed * (F.col(spec.width_mm) / 1000.0))
         made[s.col("deviation")] = F.col(s.setpoint) - F.col(s.online)
         if s.truth in df.columns:
             made[s.col("delta")] = F.col(s.truth) - F.col(s.online)

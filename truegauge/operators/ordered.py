@@ -84,6 +84,33 @@ def running_totals(
     )
 
 
+def running_extreme(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    out: str,
+    fn: str = "min",
+    strictly_before: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Running minimum or maximum along ``order``, optionally of the earlier rows only."""
+    by, reduce, merge = list(by), getattr(F, fn), F.least if fn == "min" else F.greatest
+    laid = lay_out(df, by, order, partitions)
+    inner = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1 if strictly_before else 0
+    )
+    local = laid.withColumn(out, reduce(value).over(inner))
+    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = laid.groupBy(PART, *by).agg(reduce(value).alias("_end")).withColumn("_end", reduce("_end").over(earlier))
+    joined = local.alias("l").join(
+        carry.alias("c"), (F.col(f"l.{PART}") == F.col(f"c.{PART}")) & _equal("l", "c", by), "left"
+    )
+    return joined.select(
+        *[F.col(f"l.{c}").alias(c) for c in df.columns], merge(F.col(f"l.{out}"), F.col("c._end")).alias(out)
+    )
+
+
 def with_ordinal(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "idx", partitions: int | None = None
 ) -> DataFrame:

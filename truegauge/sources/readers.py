@@ -28,10 +28,14 @@ def master_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("all")
 
 
+def allow_java_charsets(spark: SparkSession) -> None:
+    """Text encodings beyond the Unicode and Latin-1 families need this switch."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def lab_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "utf-8", fallback: str = "gbk") -> DataFrame:
     """CSV with a declared schema. A bounded probe of the header decides the encoding."""
-    # Encodings beyond the Unicode and Latin-1 families are the JVM's; Spark accepts them on request.
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    allow_java_charsets(spark)
     chosen = encoding
     head = spark.read.option("encoding", encoding).csv(path).limit(1).collect()
     if head and any("�" in (v or "") for v in head[0]):
