@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ingest", "cleaning", "shaping", "profiles", "ordering", "relations")
+MODULES = ("ingest", "cleaning", "shaping", "profiles", "ordering", "relations", "modelling", "streams")
 
 
 def load():

@@ -200,11 +200,11 @@ def mad_limits(t):
 
 @query(
     "Q7_sigma_rule",
-    f"""WITH {DERIVED_CTE}, s AS (SELECT avg(top_delta) AS m, stddev_samp(top_delta) AS sd FROM derived)
+    f"""WITH {DERIVED_CTE}, s AS (SELECT avg(top_delta) AS m, stddev_samp(top_delta) AS sd FROM derived WHERE speed IS NOT NULL AND top_factor IS NOT NULL)
       SELECT coil_id, coalesce(speed > 80 AND abs(top_delta - m) > 1.5::DOUBLE * sd, false) AS outlier FROM derived, s""",
 )
 def sigma_rule(t):
-    return quality.sigma_rule(derived(t), "top_delta", "speed", CleaningRules(sigma_factor=1.5), "outlier").select("coil_id", "outlier")
+    return quality.sigma_rule(derived(t), "top_delta", "speed", CleaningRules(sigma_factor=1.5), "outlier", ["speed", "top_factor"]).select("coil_id", "outlier")
 
 
 @query(

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.operators.quality import holds
 from truegauge.operators.quantiles import attach
 
 DAY = 86_400_000_000
@@ -24,11 +23,15 @@ def rate_columns(low: Column) -> list[Column]:
 
 
 def incidence(df: DataFrame, ts: str, low: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Share of low readings per day, or per two hours when the data span less than two days."""
+    """Share of low readings per day, or per two hours when the data span less than two days.
+
+    Rows without a time or without a reading do not count.
+    """
+    df = df.where(F.col(ts).isNotNull() & low.isNotNull())
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = df.agg((F.max(micros) - F.min(micros)).alias("_span"))
     width = F.when(F.col("_span") >= 2 * DAY, F.lit(DAY)).otherwise(F.lit(TWO_HOURS))
-    placed = attach(df.where(F.col(ts).isNotNull()), span).withColumn(
+    placed = attach(df, span).withColumn(
         "window_start", F.timestamp_micros((F.floor(micros / width) * width).cast("long"))
     )
-    return placed.groupBy(*by, "window_start").agg(*rate_columns(holds(low)))
+    return placed.groupBy(*by, "window_start").agg(*rate_columns(low))

@@ -239,6 +239,8 @@ def ewma(
     by: Sequence[str] = (),
     out: str = "smoothed",
     seed: str | None = None,
+    seed_weight: str | None = None,
+    weight_out: str | None = None,
     idx: str | None = None,
     partitions: int | None = None,
     size: int = BLOCK_ROWS,
@@ -248,12 +250,14 @@ def ewma(
     A block of M consecutive rows is a plain running sum of ``x * b^-pos``; M keeps the weights in
     double range. What earlier blocks add is their end state times a power of ``b``, so a shifted
     equi-join on the block number brings it in. ``seed`` names a column holding, per group, one
-    earlier smoothed value that counts as a single observation before the first row.
+    earlier smoothed value that counts as a single observation before the first row; with
+    ``seed_weight`` it counts with that weight, which continues an earlier series exactly when the
+    weight is the one ``weight_out`` reported for its last row.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     if alpha == 1:
-        return df.withColumn(out, F.col(value))
+        return df.withColumns({out: F.col(value), **({weight_out: F.lit(1.0)} if weight_out else {})})
     by = list(by)
     beta = 1.0 - alpha
     rate = -math.log(beta)
@@ -295,9 +299,11 @@ def ewma(
     den = F.col("l._den") + F.coalesce(F.col("c._den"), F.lit(0.0)) * since
     if seed:
         age = F.pow(b, F.col(f"l.{name}").cast("double") + 1)
-        num = num + F.coalesce(F.col(f"l.{seed}"), F.lit(0.0)) * age
-        den = den + F.col(f"l.{seed}").isNotNull().cast("double") * age
+        mass = F.coalesce(F.col(f"l.{seed_weight}"), F.lit(0.0)) if seed_weight else F.lit(1.0)
+        num = num + F.coalesce(F.col(f"l.{seed}"), F.lit(0.0)) * mass * age
+        den = den + F.col(f"l.{seed}").isNotNull().cast("double") * mass * age
     return joined.select(
         *[F.col(f"l.{c}").alias(c) for c in df.columns],
         F.try_divide(num, F.nullif(den, F.lit(0.0))).alias(out),
+        *([den.alias(weight_out)] if weight_out else []),
     )

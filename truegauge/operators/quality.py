@@ -86,9 +86,14 @@ def flag_rows(df: DataFrame, spec: Spec, rules: CleaningRules, required: Sequenc
     ).drop(*helper)
 
 
-def sigma_rule(df: DataFrame, value: str, speed: str, rules: CleaningRules, out: str) -> DataFrame:
-    """Flag values beyond k sample deviations of the mean while the line runs in steady state."""
-    stats = df.agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
+def sigma_rule(
+    df: DataFrame, value: str, speed: str, rules: CleaningRules, out: str, required: Sequence[str] = ()
+) -> DataFrame:
+    """Flag values beyond k sample deviations of the mean while the line runs in steady state.
+
+    Mean and deviation come from the rows that have every required column.
+    """
+    stats = (df.na.drop("any", subset=list(required)) if required else df).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
     far = F.abs(F.col(value) - F.col("_mean")) > F.lit(rules.sigma_factor) * F.col("_std")
     return attach(df, stats).withColumn(out, holds((F.col(speed) > rules.steady_speed) & far)).drop("_mean", "_std")
 
