@@ -14,8 +14,7 @@ from truegauge.spec import EPSILON, NULL_TOKENS
 def finite(c: Column | str) -> Column:
     """NaN and both infinities become NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    inf = float("inf")
-    return F.when(~F.isnan(c) & (c != F.lit(inf)) & (c != F.lit(-inf)), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)  # NaN sorts above every number in Spark
 
 
 def finite_columns(df: DataFrame) -> DataFrame:

@@ -139,8 +139,7 @@ def smooth_and_correct(
 def delta_baselines(df: DataFrame, delta: str, online: str, role: str, by: Sequence[str] = ()) -> DataFrame:
     """Training mean and median of delta added to the online reading."""
     train = df.where(F.col(role) == "train")
-    mean = train.groupBy(*by).agg(F.avg(delta).alias("_mean"))
-    stats = attach(mean, exact_quantiles(train, delta, {"_median": 0.5}, by), by)
+    stats = exact_quantiles(train, delta, {"_median": 0.5}, by, mean="_mean")
     return (
         attach(df, stats, by)
         .withColumns({"pred_mean": F.col(online) + F.col("_mean"), "pred_median": F.col(online) + F.col("_median")})

@@ -65,25 +65,25 @@ def mad_limits(df: DataFrame, value: str, rules: CleaningRules, by: Sequence[str
 
 def flag_rows(df: DataFrame, spec: Spec, rules: CleaningRules, required: Sequence[str], deltas: dict[str, str]) -> DataFrame:
     """Add ``filter_reason``. Residual outliers are measured and flagged only among rows no earlier rule hit."""
-    flagged = df.withColumn("filter_reason", reasons(row_rules(spec, rules, required)))
-    # The survivors' deltas alone are written once; medians of all surfaces then share two passes over them.
-    survivors = materialise(
-        flagged.where(F.col("filter_reason") == "").select(*deltas.values())
-        .unpivot([], list(deltas.values()), "_delta", "_x"), "survivors"
-    )
-    limits = mad_limits(survivors, "_x", rules, ["_delta"]).groupBy().agg(
-        *[F.max(F.when(F.col("_delta") == d, F.col(c))).alias(f"_{c}_{n}") for n, d in deltas.items() for c in ("centre", "limit")]
+    # Written once: the merge behind ``df`` is the expensive part, and the clean set, the rejected set and
+    # the medians all read from here. Medians of all surfaces share two passes over the delta columns.
+    flagged = materialise(df.withColumn("filter_reason", reasons(row_rules(spec, rules, required))), "flagged")
+    survivors = (
+        flagged.where(F.col("filter_reason") == "")
+        .select(*deltas.values())
+        .unpivot([], list(deltas.values()), "_delta", "_x")
     )
-    flagged = attach(flagged, limits)
-    late: dict[str, Column] = {}
-    for name, delta in deltas.items():
-        late[f"{name} residual outlier"] = (F.col("filter_reason") == "") & holds(
-            F.abs(F.col(delta) - F.col(f"_centre_{name}")) > F.col(f"_limit_{name}")
-        )
-    helper = [c for name in deltas for c in (f"_centre_{name}", f"_limit_{name}")]
+    limits = {r["_delta"]: r for r in mad_limits(survivors, "_x", rules, ["_delta"]).collect()}  # one row per surface
+    late = {
+        f"{name} residual outlier": holds(F.abs(F.col(delta) - F.lit(limits[delta]["centre"])) > F.lit(limits[delta]["limit"]))
+        for name, delta in deltas.items()
+        if delta in limits
+    }
+    if not late:
+        return flagged
     return flagged.withColumn(
         "filter_reason", F.when(F.col("filter_reason") == "", reasons(late)).otherwise(F.col("filter_reason"))
-    ).drop(*helper)
+    )
 
 
 def sigma_rule(
