@@ -69,6 +69,26 @@ def test_ewma_matches_pandas(frame, alpha, size):
     np.testing.assert_allclose(got.smoothed, want, atol=1e-11)
 
 
+def test_trend_line_window_grows_with_group(frame):
+    pdf, df = frame
+    got = ordered.trend_line(df, "v", ["t"], ["g"], share=6, partitions=5).toPandas().sort_values("t").reset_index(drop=True)
+
+    def line(s):
+        if len(s) <= 50:
+            return pd.Series(np.nan, index=s.index)
+        return s.rolling(max(20, len(s) // 6), center=True, min_periods=5).mean()
+
+    np.testing.assert_allclose(got.trend, pdf.groupby("g").v.transform(line), atol=1e-11)
+
+
+def test_null_group_is_a_group(spark):
+    df = spark.range(40).select(F.when(F.col("id") % 3 == 0, F.lit("a")).alias("g"), "id")
+    got = ordered.with_ordinal(df, ["id"], ["g"], partitions=4).toPandas()
+    assert sorted(got[got.g.isna()].idx) == list(range(26))
+    got = exact_quantiles(df, "id", {"m": 0.5}, ["g"], partitions=4).toPandas()
+    assert sorted(got.m) == [19.5, 19.5]
+
+
 def test_ewma_gaps_and_seed(frame):
     pdf, df = frame
     got = ordered.ewma(df, "v", ["t"], 0.3, ["g"], partitions=5).toPandas().sort_values("t").reset_index(drop=True)

@@ -10,7 +10,7 @@ from truegauge.catalog.relations import ROLES, roles
 from truegauge.operators import evaluate, interpret, models, tuning
 from truegauge.operators.aggregates import sign_balance
 from truegauge.operators.ordered import ewma
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 from truegauge.plans import calibrate, report
 from truegauge.session import materialise
 from truegauge.spec import ModelParams

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs, text_time
+from truegauge.operators.lookup import attach
 from truegauge.operators import incidence, ordered, quantiles, shaping, splits
 
 EV = "event_type, ts, event_id"
@@ -43,6 +44,16 @@ def rolling_centred(t):
     return rounded(ordered.rolling_centred(e, "value", ["ts", "event_id"], 40, ["event_type"]).select("event_id", "trend"), 9)
 
 
+@query(
+    "W3_trend_line",
+    f"""WITH o AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, greatest(20, count(*) OVER (PARTITION BY event_type) // 50) AS w FROM events)
+      SELECT a.event_id, {r('avg(b.value)', 8)} AS trend FROM o a JOIN o b ON b.event_type = a.event_type AND b.i BETWEEN a.i - a.w // 2 AND a.i + (a.w - 1) // 2 GROUP BY 1 HAVING count(b.value) >= 5""",
+)
+def trend_line(t):
+    e = t.events.select("event_type", "ts", "event_id", "value")
+    return rounded(ordered.trend_line(e, "value", ["ts", "event_id"], ["event_type"]).select("event_id", "trend"), 8)
+
+
 def ewma_sql(alpha, terms, seed=""):
     return f"""WITH o AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
       k AS (SELECT unnest(range({terms})) AS k),
@@ -85,7 +96,7 @@ def time_incidence_short_span(t):
     day = F.lit(incidence.DAY)
     e = t.events.withColumn("_m", F.unix_micros(F.col("ts").cast("timestamp")))
     first = e.agg((F.floor(F.min("_m") / day) * day).alias("_day"))
-    folded = quantiles.attach(e, first).select("value", F.timestamp_micros((F.col("_day") + F.pmod("_m", day)).cast("long")).alias("ts"))
+    folded = attach(e, first).select("value", F.timestamp_micros((F.col("_day") + F.pmod("_m", day)).cast("long")).alias("ts"))
     return incidence.incidence(folded, "ts", F.col("value") < 10).withColumn("window_start", text_time("window_start"))
 
 

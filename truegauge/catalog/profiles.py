@@ -59,7 +59,7 @@ CORRECTED = PAIRS_CTE + ", m AS (SELECT avg(delta) AS m FROM pairs), c AS (SELEC
 
 
 def corrected(t):
-    from truegauge.operators.quantiles import attach
+    from truegauge.operators.lookup import attach
 
     p = t.pairs
     return attach(p, p.agg(F.avg("delta").alias("m"))).withColumn("res", F.round(F.col("delta") - F.col("m"), 4)).drop("m")

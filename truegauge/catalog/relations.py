@@ -8,7 +8,7 @@ from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs
 from truegauge.catalog.shaping import BINNED
 from truegauge.functions.scalar import effect_label, elapsed_days
 from truegauge.operators import association, binning, diagnostics, splits
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 
 COLS = ["delta", "online", "qty", "disc", "lines"]
 

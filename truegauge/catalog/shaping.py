@@ -162,7 +162,7 @@ def safe_name(t):
 
 @query("B6_elapsed_days", f"SELECT event_id, {r('(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400000000.0', 5)} AS days FROM events")
 def elapsed_days(t):
-    from truegauge.operators.quantiles import attach
+    from truegauge.operators.lookup import attach
 
     e = attach(t.events.select("event_id", "ts"), t.events.agg(F.min("ts").alias("t0")))
     return rounded(e.select("event_id", scalar.elapsed_days(F.col("ts"), F.col("t0")).alias("days")), 5)

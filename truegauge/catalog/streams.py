@@ -10,7 +10,7 @@ from truegauge.catalog.modelling import FEATURES, QUICK, pair_rows
 from truegauge.catalog.ordering import ewma_sql
 from truegauge.catalog.registry import COIL_SPEC, DERIVED_CTE, query, rounded, text_time
 from truegauge.operators import features, models, quality
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 from truegauge.streaming import queries as streams
 
 ARRIVALS = 3

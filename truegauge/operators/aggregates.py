@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from truegauge.operators.quantiles import attach, exact_quantiles
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles
 
 
 def adjusted_skew(x: str) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from truegauge.functions.tails import t_tail
 from truegauge.operators.binning import bin_index
 from truegauge.operators.ordered import running_totals, with_ordinal
-from truegauge.operators.quantiles import attach, average_ranks, exact_quantiles, value_positions
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import average_ranks, exact_quantiles, value_positions
 from truegauge.session import materialise
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.operators.ordered import forward_fill, with_ordinal
-from truegauge.operators.quantiles import attach, exact_quantiles
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles
 
 
 def bin_index(x: Column, edges: Sequence[Column]) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegauge.operators.quality import holds
-from truegauge.operators.quantiles import attach, exact_quantiles
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles
 from truegauge.operators.splits import numbered
 
 

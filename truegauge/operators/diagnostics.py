@@ -11,7 +11,8 @@ from truegauge.functions.tails import chi2_tail, f_tail, kolmogorov_tail, normal
 from truegauge.operators.binning import quantile_bins
 from truegauge.operators.charts import normal_quantile
 from truegauge.operators.ordered import lagged
-from truegauge.operators.quantiles import attach, exact_quantiles, value_positions
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles, value_positions
 from truegauge.operators.splits import numbered
 from truegauge.session import materialise
 

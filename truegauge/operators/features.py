@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.scalar import epsilon_ratio, ratio, row_sum, setpoint_label
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 from truegauge.spec import Spec
 
 

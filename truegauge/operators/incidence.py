@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 
 DAY = 86_400_000_000
 TWO_HOURS = 7_200_000_000

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.operators.ordered import with_ordinal
-from truegauge.operators.quantiles import attach, exact_quantiles
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles
 from truegauge.session import materialise
 
 Predict = Callable[[DataFrame], DataFrame]

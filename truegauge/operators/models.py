@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegauge.operators.ordered import ewma
-from truegauge.operators.quantiles import attach, exact_quantiles
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles
 from truegauge.session import materialise, shared_dir
 from truegauge.spec import ModelParams
 

@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from truegauge.operators.lookup import attach
 from truegauge.session import materialise
 
 BLOCK_ROWS = 1 << 16
 PART = "_part"
+GROUP = "_group"
 
 
 def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -32,11 +34,17 @@ def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str], partitions:
     return materialise(moved.withColumn(PART, F.spark_partition_id()), "ordered")
 
 
-def _equal(left: str, right: str, columns: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in columns:
-        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return cond
+def group_key(by: Sequence[str]) -> Column:
+    """All group columns as one value. Equal structs may hold NULLs, so a plain equi-join on it
+    treats NULL as a group of its own and keeps the hash partitioning of the window before it."""
+    return F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+
+
+def _with_carry(local: DataFrame, carry: DataFrame) -> DataFrame:
+    left, right = local.alias("l"), carry.alias("c")
+    return left.join(
+        right, (F.col(f"l.{PART}") == F.col(f"c.{PART}")) & (F.col(f"l.{GROUP}") == F.col(f"c.{GROUP}")), "left"
+    )
 
 
 def running_totals(
@@ -55,27 +63,23 @@ def running_totals(
     by = list(by)
     terms = {name: f"_term_{i}" for i, name in enumerate(totals)}
     prepared = df.withColumns({terms[n]: F.coalesce(e, F.lit(0).cast("long")) for n, e in totals.items()})
-    laid = lay_out(prepared, by, order, partitions)
+    laid = lay_out(prepared, by, order, partitions).withColumn(GROUP, group_key(by))
 
-    inner = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(PART, GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = laid.withColumns({n: F.sum(terms[n]).over(inner) for n in totals})
 
-    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        laid.groupBy(PART, *by)
+        laid.groupBy(PART, GROUP)
         .agg(*[F.sum(t).alias(t) for t in terms.values()])
         .withColumns({f"_carry{t}": F.sum(t).over(earlier) for t in terms.values()})
     )
     if overall:
-        carry = carry.withColumns({f"_all{t}": F.sum(t).over(Window.partitionBy(*by)) for t in terms.values()})
+        carry = carry.withColumns({f"_all{t}": F.sum(t).over(Window.partitionBy(GROUP)) for t in terms.values()})
     else:
         carry = carry.where(F.col(f"_carry{next(iter(terms.values()))}").isNotNull())
     carry = carry.drop(*terms.values())
-    joined = local.alias("l").join(
-        carry.alias("c"),
-        (F.col(f"l.{PART}") == F.col(f"c.{PART}")) & _equal("l", "c", by),
-        "left",
-    )
+    joined = _with_carry(local, carry)
     kept = [F.col(f"l.{c}").alias(c) for c in df.columns]
     return joined.select(
         *kept,
@@ -96,16 +100,14 @@ def running_extreme(
 ) -> DataFrame:
     """Running minimum or maximum along ``order``, optionally of the earlier rows only."""
     by, reduce, merge = list(by), getattr(F, fn), F.least if fn == "min" else F.greatest
-    laid = lay_out(df, by, order, partitions)
-    inner = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(
+    laid = lay_out(df, by, order, partitions).withColumn(GROUP, group_key(by))
+    inner = Window.partitionBy(PART, GROUP).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1 if strictly_before else 0
     )
     local = laid.withColumn(out, reduce(value).over(inner))
-    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carry = laid.groupBy(PART, *by).agg(reduce(value).alias("_end")).withColumn("_end", reduce("_end").over(earlier))
-    joined = local.alias("l").join(
-        carry.alias("c"), (F.col(f"l.{PART}") == F.col(f"c.{PART}")) & _equal("l", "c", by), "left"
-    )
+    earlier = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carry = laid.groupBy(PART, GROUP).agg(reduce(value).alias("_end")).withColumn("_end", reduce("_end").over(earlier))
+    joined = _with_carry(local, carry)
     return joined.select(
         *[F.col(f"l.{c}").alias(c) for c in df.columns], merge(F.col(f"l.{out}"), F.col("c._end")).alias(out)
     )
@@ -128,20 +130,18 @@ def forward_fill(
 ) -> DataFrame:
     """Replace NULLs by the last non-NULL value before them within the group."""
     by = list(by)
-    laid = lay_out(df, by, order, partitions)
-    inner = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    laid = lay_out(df, by, order, partitions).withColumn(GROUP, group_key(by))
+    inner = Window.partitionBy(PART, GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = laid.withColumns({c: F.last(c, ignorenulls=True).over(inner) for c in columns})
 
     rank = F.struct(*[F.col(c) for c in order])
-    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        laid.groupBy(PART, *by)
+        laid.groupBy(PART, GROUP)
         .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_end_{c}") for c in columns])
         .withColumns({f"_end_{c}": F.last(f"_end_{c}", ignorenulls=True).over(earlier) for c in columns})
     )
-    joined = local.alias("l").join(
-        carry.alias("c"), (F.col(f"l.{PART}") == F.col(f"c.{PART}")) & _equal("l", "c", by), "left"
-    )
+    joined = _with_carry(local, carry)
     return joined.select(
         *[
             F.coalesce(F.col(f"l.{c}"), F.col(f"c._end_{c}")).alias(c) if c in columns else F.col(f"l.{c}").alias(c)
@@ -221,6 +221,42 @@ def rolling_centred(
     return out.withColumn("trend", F.when(F.col("_n") >= min_periods, F.col("trend"))).drop("_n")
 
 
+def trend_line(
+    df: DataFrame,
+    value: str,
+    order: Sequence[str],
+    by: Sequence[str] = (),
+    share: int = 50,
+    least: int = 20,
+    min_periods: int = 5,
+    min_rows: int = 51,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Centred mean whose window grows with the group, ``max(least, n // share)`` rows.
+
+    Such a window outgrows any block, so it is the difference of two running totals, looked up by
+    ordinal. NULL in groups below ``min_rows`` and where fewer than ``min_periods`` values fall in.
+    """
+    by = list(by)
+    means = df.groupBy(*by).agg(F.avg(value).alias("_m"))
+    centred = attach(df, means, by).withColumn("_x", F.col(value) - F.col("_m"))
+    terms = {"_i": F.lit(1).cast("long"), "_s": F.col("_x"), "_c": F.col(value).isNotNull().cast("long")}
+    run = materialise(running_totals(centred, by, order, terms, partitions, overall=True), "trend").withColumn(GROUP, group_key(by))
+    n, i = F.col("_i_all"), F.col("_i")
+    width = F.greatest(F.lit(least).cast("long"), F.floor(n / share))
+    ends = run.withColumns(
+        {"_hi": F.least(i + F.floor((width - 1) / 2), n), "_lo": F.greatest(i - F.floor(width / 2) - 1, F.lit(0).cast("long"))}
+    )
+    at = run.select(GROUP, "_i", "_s", "_c")
+    hi = at.select(F.col(GROUP), F.col("_i").alias("_hi"), F.col("_s").alias("_s1"), F.col("_c").alias("_c1"))
+    lo = at.select(F.col(GROUP), F.col("_i").alias("_lo"), F.col("_s").alias("_s0"), F.col("_c").alias("_c0"))
+    both = ends.join(hi, [GROUP, "_hi"]).join(lo, [GROUP, "_lo"], "left")
+    count = F.col("_c1") - F.coalesce("_c0", F.lit(0))
+    total = F.col("_s1") - F.coalesce("_s0", F.lit(0.0))
+    trend = F.when((n >= min_rows) & (count >= min_periods), F.col("_m") + total / count)
+    return both.select(*df.columns, trend.alias("trend"))
+
+
 def lagged(df: DataFrame, value: str, lags: int, order: Sequence[str], by: Sequence[str] = (), idx: str | None = None, **kw) -> DataFrame:
     """Add ``lag_1 .. lag_k`` of ``value``."""
     numbered = df if idx else with_ordinal(df, order, by, "_idx", kw.get("partitions"))
@@ -247,9 +283,9 @@ def ewma(
 ) -> DataFrame:
     """Adjusted exponentially weighted mean, ``sum(b^i x[t-i]) / sum(b^i)`` with ``b = 1 - alpha``.
 
-    A block of M consecutive rows is a plain running sum of ``x * b^-pos``; M keeps the weights in
-    double range. What earlier blocks add is their end state times a power of ``b``, so a shifted
-    equi-join on the block number brings it in. ``seed`` names a column holding, per group, one
+    Weights older than K rows are below e^-45, so a block of consecutive rows with the K rows before
+    it is self-contained: inside, the sum is a plain running sum of ``x * b^-pos``, with the block
+    length chosen to keep the weights in double range. ``seed`` names a column holding, per group, one
     earlier smoothed value that counts as a single observation before the first row; with
     ``seed_weight`` it counts with that weight, which continues an earlier series exactly when the
     weight is the one ``weight_out`` reported for its last row.
@@ -261,49 +297,30 @@ def ewma(
     by = list(by)
     beta = 1.0 - alpha
     rate = -math.log(beta)
-    rows = max(1, min(size, int(600 / rate)))
-    reach = max(1, math.ceil(45 / (rows * rate)))
+    back = math.ceil(45 / rate)
+    rows = max(1, int(550 / rate))
     numbered = df if idx else with_ordinal(df, order, by, "_idx", partitions)
     name = idx or "_idx"
-
-    b = F.lit(beta)
-    placed = numbered.withColumns(
-        {
-            "_blk": F.floor(F.col(name) / rows),
-            "_pos": F.pmod(F.col(name), F.lit(rows)).cast("double"),
-            "_x": F.coalesce(F.col(value).cast("double"), F.lit(0.0)),
-            "_one": F.col(value).isNotNull().cast("double"),
-        }
-    )
+    b, x = F.lit(beta), F.col(value).cast("double")
+    block = max(min(rows, size), 4 * back)
+    first = F.greatest(F.col("_blk") * block - back, F.lit(0).cast("long"))
+    placed = in_blocks(numbered, name, back, 0, block).withColumn("_pos", (F.col(name) - first).cast("double"))
     frame = Window.partitionBy(*by, "_blk").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-    grow = F.pow(b, -F.col("_pos"))
+    grow, fade = F.pow(b, -F.col("_pos")), F.pow(b, F.col("_pos"))
     local = placed.withColumns(
         {
-            "_num": F.pow(b, F.col("_pos")) * F.sum(F.col("_x") * grow).over(frame),
-            "_den": F.pow(b, F.col("_pos")) * F.sum(F.col("_one") * grow).over(frame),
+            "_num": fade * F.sum(F.coalesce(x, F.lit(0.0)) * grow).over(frame),
+            "_den": fade * F.sum(x.isNotNull().cast("double") * grow).over(frame),
         }
-    )
-    fade = F.pow(b, F.lit(float(rows - 1)) - F.col("_pos"))
-    ends = placed.groupBy(*by, "_blk").agg(F.sum(F.col("_x") * fade).alias("_num"), F.sum(F.col("_one") * fade).alias("_den"))
-    step = F.pow(b, (F.col("_j") - 1) * F.lit(float(rows)))
-    carry = (
-        ends.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-        .groupBy(*by, (F.col("_blk") + F.col("_j")).alias("_blk"))
-        .agg(F.sum(F.col("_num") * step).alias("_num"), F.sum(F.col("_den") * step).alias("_den"))
-    )
-    joined = local.alias("l").join(
-        carry.alias("c"), (F.col("l._blk") == F.col("c._blk")) & _equal("l", "c", by), "left"
-    )
-    since = F.pow(b, F.col("l._pos") + 1)
-    num = F.col("l._num") + F.coalesce(F.col("c._num"), F.lit(0.0)) * since
-    den = F.col("l._den") + F.coalesce(F.col("c._den"), F.lit(0.0)) * since
+    ).where("_own")
+    num, den = F.col("_num"), F.col("_den")
     if seed:
-        age = F.pow(b, F.col(f"l.{name}").cast("double") + 1)
-        mass = F.coalesce(F.col(f"l.{seed_weight}"), F.lit(0.0)) if seed_weight else F.lit(1.0)
-        num = num + F.coalesce(F.col(f"l.{seed}"), F.lit(0.0)) * mass * age
-        den = den + F.col(f"l.{seed}").isNotNull().cast("double") * mass * age
-    return joined.select(
-        *[F.col(f"l.{c}").alias(c) for c in df.columns],
+        age = F.pow(b, F.col(name).cast("double") + 1)
+        mass = F.coalesce(F.col(seed_weight), F.lit(0.0)) if seed_weight else F.lit(1.0)
+        num = num + F.coalesce(F.col(seed), F.lit(0.0)) * mass * age
+        den = den + F.col(seed).isNotNull().cast("double") * mass * age
+    return local.select(
+        *df.columns,
         F.try_divide(num, F.nullif(den, F.lit(0.0))).alias(out),
         *([den.alias(weight_out)] if weight_out else []),
     )

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.operators.quantiles import attach, exact_quantiles
+from truegauge.operators.lookup import attach
+from truegauge.operators.quantiles import exact_quantiles
 from truegauge.session import materialise
 from truegauge.spec import EPSILON, CleaningRules, Spec, Surface
 

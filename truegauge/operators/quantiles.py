@@ -7,26 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from truegauge.operators.ordered import PART, lay_out, running_totals
+from truegauge.operators.ordered import GROUP, PART, group_key, lay_out, running_totals
 from truegauge.session import materialise
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Bring per-group statistics to the rows; one-row statistics arrive as a scalar subquery.
-
-    No broadcast hint: the planner broadcasts when the measured size allows and otherwise
-    shuffles, where adaptive execution splits hot keys.
-    """
-    fresh = [c for c in stats.columns if c not in by]
-    if by:
-        keys = {c: f"_k_{c}" for c in by}
-        right = stats.withColumnsRenamed(keys)
-        cond = [df[c].eqNullSafe(right[keys[c]]) for c in by]
-        return df.join(right, cond, "left").drop(*keys.values())
-    packed = stats.select(F.struct(*fresh).alias("_s")).scalar()
-    return df.withColumn("_s", packed).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in fresh])
-
-
 def value_positions(
     df: DataFrame, value: str, by: Sequence[str] = (), weight: dict[str, Column] | None = None, partitions: int | None = None
 ) -> DataFrame:
@@ -59,18 +43,18 @@ def exact_quantiles(
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    laid = lay_out(counts, by, [value], partitions)
+    laid = lay_out(counts, by, [value], partitions).withColumn(GROUP, group_key(by))
 
     # One summary row per (group, partition) tells which partition holds each wanted rank.
-    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     parts = (
-        laid.groupBy(*by, PART)
+        laid.groupBy(PART, GROUP)
         .agg(F.sum("_cnt").alias("_c"), F.sum(F.col(value).cast("double") * F.col("_cnt")).alias("_s"))
         .withColumns(
             {
                 "_before": F.coalesce(F.sum("_c").over(earlier), F.lit(0)),
-                "_n": F.sum("_c").over(Window.partitionBy(*by)),
-                "_sum": F.sum("_s").over(Window.partitionBy(*by)),
+                "_n": F.sum("_c").over(Window.partitionBy(GROUP)),
+                "_sum": F.sum("_s").over(Window.partitionBy(GROUP)),
             }
         )
     )
@@ -80,15 +64,11 @@ def exact_quantiles(
         for side, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             wanted.append(F.struct(F.lit(f"_{side}{i}").alias("slot"), (k - F.col("_before")).alias("k")))
     here = F.filter(F.array(*wanted), lambda w: (w["k"] >= 0) & (w["k"] < F.col("_c")))
-    targets = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(PART).alias("_p"), "_n", "_sum", here.alias("_wanted"))
-    targets = targets.where(F.size("_wanted") > 0)
+    targets = parts.select(PART, GROUP, "_n", "_sum", here.alias("_wanted")).where(F.size("_wanted") > 0)
 
     # Only those partitions are ordered; the rest of the data is not moved again.
-    match = F.col(PART) == F.col("_p")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inner = Window.partitionBy(PART, *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    local = laid.join(targets, match).withColumn("_upto", F.sum("_cnt").over(inner))
+    inner = Window.partitionBy(PART, GROUP).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = laid.join(targets, [PART, GROUP]).withColumn("_upto", F.sum("_cnt").over(inner))
     start = F.col("_upto") - F.col("_cnt")
     hits = F.filter("_wanted", lambda w: (w["k"] >= start) & (w["k"] < F.col("_upto")))
     found = local.select(*by, value, "_n", "_sum", F.explode(hits["slot"]).alias("_slot"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegauge.operators.ordered import forward_fill, with_ordinal
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 from truegauge.spec import ModelParams
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from truegauge.operators.incidence import rate_columns
 from truegauge.operators.ordered import ewma
 from truegauge.operators.quality import reasons
-from truegauge.operators.quantiles import attach
+from truegauge.operators.lookup import attach
 from truegauge.session import materialise
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
