@@ -239,12 +239,12 @@ def merge_left(t):
 @query(
     "J5_collision_suffix",
     f"""SELECT o_orderkey, o_orderstatus, o_totalprice, o_totalprice_sub FROM orders
-      LEFT JOIN (SELECT o_custkey AS k, {r('avg(o_totalprice)', 4)} AS o_totalprice_sub FROM orders GROUP BY 1) ON o_custkey = k""",
+      LEFT JOIN (SELECT o_custkey AS k, {r('avg(o_totalprice)', 8)} AS o_totalprice_sub FROM orders GROUP BY 1) ON o_custkey = k""",
 )
 def collision_suffix(t):
     sub = merge.SubTable(t.orders.withColumnRenamed("o_custkey", "sub_key"), "sub_key", {"o_totalprice": "mean"})
     out = merge.merge_one(t.orders, "o_custkey", sub)
-    return rounded(out.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_totalprice_sub"), 4)
+    return rounded(out.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_totalprice_sub"), 8)
 
 
 @query(

@@ -71,6 +71,21 @@ def monotone_scores(t):
     return models.monotone_scores(rows.where("role = 'test'").select(*FEATURES, "o_orderkey"), model.transform, "online", ["o_orderkey"], 8)
 
 
+@query(
+    "M8_monotone_rearrangement",
+    f"""WITH {PAIRS_CTE}, e AS (SELECT min(online) AS lo, max(online) AS hi FROM pairs)
+      SELECT o_orderkey, {r('0.5::DOUBLE * (lo + hi - online) + 10 * qty', 4)} AS predicted_delta FROM pairs, e""",
+)
+def monotone_rearrangement(t):
+    """A rising line made to fall: the rearranged curve is its mirror image over the grid."""
+
+    def rising(df):
+        return df.withColumn("predicted_delta", 0.5 * F.col("online") + 10 * F.col("qty"))
+
+    out = models.monotone_scores(t.pairs.select("o_orderkey", "online", "qty"), rising, "online", ["o_orderkey"], 8)
+    return rounded(out.select("o_orderkey", "predicted_delta"), 4)
+
+
 @query("M9_direct_model")
 def direct_model(t):
     scored = calibrate.train_direct(pair_rows(t), PAIR_ROLES, QUICK)
@@ -481,6 +496,24 @@ def pluggable_model(t):
     return sign_balance(scored.withColumn("residual", F.col("delta") - F.col("predicted_delta")), "residual", ["grp"])
 
 
+@query(
+    "X4_pluggable_closed_form",
+    ROLES + """, f AS (SELECT regr_slope(delta, qty) AS b, regr_intercept(delta, qty) AS a FROM o WHERE role = 'train')
+      SELECT grp, count(*) AS total, count(*) FILTER (delta > a + b * qty) AS pos, count(*) FILTER (delta < a + b * qty) AS neg FROM o, f WHERE role = 'test' GROUP BY 1""",
+)
+def pluggable_closed_form(t):
+    """A learner handed in from outside, with a fit that SQL knows too."""
+    from pyspark.ml.regression import LinearRegression
+
+    def least_squares(params):
+        return LinearRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="predicted_delta", tol=1e-12)
+
+    rows = pair_rows(t)
+    model = models.ResidualCorrection(["qty"], "delta", ModelParams(), least_squares).fit(rows.where("role = 'train'"))
+    scored = model.transform(rows.where("role = 'test'")).withColumn("residual", F.col("delta") - F.col("predicted_delta"))
+    return sign_balance(scored, "residual", ["grp"]).select("grp", "total", "pos", "neg")
+
+
 @query("W4_ewma_no_smoothing", "SELECT event_id, value AS smoothed FROM events")
 def ewma_no_smoothing(t):
     return ewma(t.events.select("event_id", "ts", "value"), "value", ["ts", "event_id"], 1.0).select("event_id", "smoothed")

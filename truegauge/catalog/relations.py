@@ -113,9 +113,20 @@ def distance_correlation_matrix(t):
     return rounded(association.distance_correlation_matrix(small(t), "p_partkey", list(TRIPLE)))
 
 
-@query("C6_distance_correlation_orders")
+def _dcor_sums(a, b):
+    """The definition expanded into row means, so that the pairs are aggregated as they are formed."""
+
+    def v(xy, x, y):
+        return f"(avg({xy}) - 2 * avg({x} * {y}) + avg({x}) * avg({y}))"
+
+    return f"""SELECT '{a}' AS a, '{b}' AS b, {r(f"sqrt({v('ab', 'ma', 'mb')} / sqrt({v('aa', 'ma', 'ma')} * {v('bb', 'mb', 'mb')}))")} AS dcor FROM (
+      SELECT avg(abs(p.{a} - q.{a})) AS ma, avg(abs(p.{b} - q.{b})) AS mb, avg(abs(p.{a} - q.{a}) * abs(p.{b} - q.{b})) AS ab,
+        avg(pow(p.{a} - q.{a}, 2)) AS aa, avg(pow(p.{b} - q.{b}, 2)) AS bb FROM pairs p, pairs q GROUP BY p.o_orderkey)"""
+
+
+@query("C6_distance_correlation_orders", f"WITH {PAIRS_CTE} {_dcor_sums('online', 'delta')} UNION ALL {_dcor_sums('qty', 'delta')}")
 def distance_correlation_orders(t):
-    """The same on the full order table, above what the quadratic SQL definition can do."""
+    """The same on the order table, many blocks long at scale."""
     return rounded(association.distance_correlation(numeric(t), "o_orderkey", [("online", "delta"), ("qty", "delta")]))
 
 
@@ -145,6 +156,25 @@ def lowess_curve(t):
     return rounded(association.lowess(numeric(t), "online", "delta", "o_orderkey", robust=0), 6, fitted=4)
 
 
+_fit = "(sum(w * y) * sum(w * d * d) - sum(w * d) * sum(w * d * y)) / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d))"
+SUMMARY_SQL = LOWESS_SQL[: LOWESS_SQL.index("  SELECT point, (round(")] + f""", c AS (SELECT point, any_value(gx) AS x, {_fit} AS fitted FROM s GROUP BY 1),
+  m AS (SELECT *, x - avg(x) OVER () AS c FROM c),
+  a AS (SELECT regr_slope(fitted, x) AS slope, max(fitted) - min(fitted) AS ry, max(x) - min(x) AS rx, arg_min(x, abs(fitted)) AS extreme_x, arg_min(fitted, abs(fitted)) AS extreme_delta,
+    max(fitted) FILTER (point = 5) AS lo, max(fitted) FILTER (point = 95) AS hi, count(*)::DOUBLE AS n, sum(c * c) AS s2, sum(c * c * c) AS s3, sum(c * c * c * c) AS s4,
+    sum(fitted) AS sy, sum(c * fitted) AS sxy, sum(c * c * fitted) AS sx2y FROM m),
+  q AS (SELECT *, (n * (s2 * sx2y - s3 * sxy) - s2 * s2 * sy) / (n * (s2 * s4 - s3 * s3) - s2 * s2 * s2) AS quad FROM a)
+  SELECT CASE WHEN abs(slope) < 0.001 * ry / (rx + 1e-10) THEN 'flat' WHEN slope > 0 THEN 'up' ELSE 'down' END AS direction,
+    CASE WHEN quad > 0 THEN 'U' WHEN quad < 0 THEN 'inverted U' ELSE 'linear' END AS shape, {rs(6, slope='slope')}, {r('quad * 1e6', 4)} AS quadratic,
+    {rs(4, extreme_x='extreme_x', extreme_delta='extreme_delta', delta_range='abs(hi - lo)')} FROM q"""
+
+
+@query("C9_lowess_summary_plain", SUMMARY_SQL)
+def lowess_summary_plain(t):
+    curve = association.lowess(numeric(t), "online", "delta", "o_orderkey", robust=0)
+    out = association.lowess_summary(curve).withColumn("quadratic", F.col("quadratic") * 1e6)
+    return rounded(out, 4, slope=6)
+
+
 @query("C9_lowess_summary")
 def lowess_summary(t):
     curve = association.lowess(numeric(t), "online", "delta", "o_orderkey", robust=3)

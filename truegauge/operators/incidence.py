@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from truegauge.operators.lookup import attach
 
 DAY = 86_400_000_000
-TWO_HOURS = 7_200_000_000
 
 
 def rate_columns(low: Column) -> list[Column]:
@@ -30,8 +29,8 @@ def incidence(df: DataFrame, ts: str, low: Column, by: Sequence[str] = ()) -> Da
     df = df.where(F.col(ts).isNotNull() & low.isNotNull())
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = df.agg((F.max(micros) - F.min(micros)).alias("_span"))
-    width = F.when(F.col("_span") >= 2 * DAY, F.lit(DAY)).otherwise(F.lit(TWO_HOURS))
-    placed = attach(df, span).withColumn(
-        "window_start", F.timestamp_micros((F.floor(micros / width) * width).cast("long"))
-    )
+    # Truncation follows the wall clock of the session zone, as a naive timestamp means it.
+    two_hours = F.date_trunc("HOUR", ts) - F.make_dt_interval(F.lit(0), F.hour(ts) % 2)
+    start = F.when(F.col("_span") >= 2 * DAY, F.date_trunc("DAY", ts)).otherwise(two_hours)
+    placed = attach(df, span).withColumn("window_start", start)
     return placed.groupBy(*by, "window_start").agg(*rate_columns(low))
