@@ -107,3 +107,15 @@ def test_quantiles_and_ranks(frame):
     np.testing.assert_allclose(got[list(probs)], want.sort_index(), atol=1e-12)
     ranks = average_ranks(df, "v", partitions=6).toPandas().set_index("v")["rank"]
     np.testing.assert_allclose(pdf.v.dropna().map(ranks), pdf.v.dropna().rank(), atol=1e-12)
+
+
+@pytest.mark.parametrize("prune", [True, False, None])
+def test_merge_is_the_same_with_and_without_pruning(spark, prune):
+    from truegauge.operators import merge
+
+    master = spark.createDataFrame([(1, "x"), (2, "y"), (4, None)], "k int, s string")
+    sub = spark.createDataFrame([(" 1 ", 5.0), ("1", 7.0), ("3", 1.0), (None, 9.0)], "k string, v double")
+    got = merge.merge_one(master, "k", merge.SubTable(sub, "k", {"v": "mean"}), prune).orderBy("k").collect()
+    assert [(r["k"], r["v"]) for r in got] == [(1, 6.0), (2, None), (4, None)]
+    inner = merge.merge_one(master, "k", merge.SubTable(sub, "k", {"v": "sum"}, unmatched="drop"), prune).collect()
+    assert [(r["k"], r["v"]) for r in inner] == [(1, 12.0)]

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from truegauge.session import prepare
 from truegauge.spec import Spec, Surface
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,7 @@ class Tables:
     """Lazy access to the tables of one data folder, and the role bindings built on them."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = prepare(spark), root.rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.scalar import join_key
+from truegauge.session import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -63,9 +64,16 @@ def aggregate_sub(sub: SubTable) -> DataFrame:
     return out.na.drop("all", subset=list(sub.columns)) if sub.all_null == "drop" else out
 
 
-def merge_one(master: DataFrame, master_key: str, sub: SubTable, semi_prune: bool = True) -> DataFrame:
-    """Equi-join the aggregated sub table; clashing names get ``_sub``, the sub key is dropped."""
+def merge_one(master: DataFrame, master_key: str, sub: SubTable, semi_prune: bool | None = None) -> DataFrame:
+    """Equi-join the aggregated sub table; clashing names get ``_sub``, the sub key is dropped.
+
+    Pruning first only pays while the master's keys fit a broadcast, which is the default test. A
+    shuffled semi-join would send every raw row of a hot key to one task; without it the rows are
+    pre-aggregated before they move, and the join prunes the rest. The result is the same.
+    """
     pruned = sub
+    if semi_prune is None:
+        semi_prune = fits_broadcast(master.select(master_key))
     if semi_prune:
         pruned = SubTable(**{**sub.__dict__, "df": prune(sub.df, sub.key, master, master_key)})
     right = aggregate_sub(pruned)

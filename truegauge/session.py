@@ -24,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the plans rely on: adaptive execution, and splitting of skewed join
+    partitions even where that costs one more shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the planner's own size estimate lets ``df`` be broadcast. Runs no job."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
