@@ -79,6 +79,15 @@ def test_tail_values(spark):
     assert all(row[c] == pytest.approx(0.05, abs=2e-6) for c in "ftczk")
 
 
+def test_normal_quantile_expression(spark):
+    from statistics import NormalDist
+
+    at = [1e-300, 1e-12, 1e-5, 0.01, 0.074, 0.3, 0.5, 0.9, 0.999, 1 - 1e-9]
+    df = spark.createDataFrame([(x,) for x in at], "p double")
+    got = [r[0] for r in df.select(tails.normal_quantile(F.col("p"))).collect()]
+    np.testing.assert_allclose(got, [NormalDist().inv_cdf(x) for x in at], rtol=1e-12, atol=1e-15)
+
+
 def test_shapiro_wilk_published_example(spark):
     # Eleven weights of men in pounds: W = 0.79 (Shapiro and Wilk 1965), p about 0.007 (Royston).
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])], "k int, v double")

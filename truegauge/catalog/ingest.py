@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from truegauge.catalog.registry import PAIRS_CTE, SUB_CTE, Tables, query, r, rnd, rounded, rs
+from truegauge.catalog.registry import PAIRS_CTE, Tables, query, r, rnd, rounded, rs
 from truegauge.functions import scalar
 from truegauge.operators import merge
 from truegauge.sources import readers, sinks

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs, text_time
+from truegauge.catalog.registry import PAIRS_CTE, query, r, rounded, text_time
 from truegauge.operators.lookup import attach
 from truegauge.operators import incidence, ordered, quantiles, shaping, splits
 

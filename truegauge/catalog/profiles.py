@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs
+from truegauge.catalog.registry import PAIRS_CTE, query, r, rounded, rs
 from truegauge.operators import aggregates, binning
 from truegauge.catalog.shaping import BINNED
 

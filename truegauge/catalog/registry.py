@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from truegauge.functions.tails import CENTRE, FAR, SHOULDER
 from truegauge.session import prepare
 from truegauge.spec import Spec, Surface
 
@@ -191,6 +192,22 @@ def rs(digits: int = 6, **exprs: str) -> str:
     return ", ".join(f"{r(e, digits)} AS {n}" for n, e in exprs.items())
 
 
+def _horner(coefficients, x: str) -> str:
+    out = f"{coefficients[-1]!r}::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def sql_normal_quantile(p: str) -> str:
+    """SQL twin of the normal quantile expression."""
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    parts = []
+    for (num, den), x in ((CENTRE, f"(0.180625 - {q} * {q})"), (SHOULDER, f"({r} - 1.6)"), (FAR, f"({r} - 5)")):
+        parts.append(f"{_horner(num, x)} / {_horner(den, x)}")
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {parts[0]} WHEN {r} <= 5 THEN sign({q}) * {parts[1]} ELSE sign({q}) * {parts[2]} END"
+
+
 def text_time(c: str) -> Column:
     return F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
 

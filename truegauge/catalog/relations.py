@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs
+from truegauge.catalog.registry import PAIRS_CTE, query, r, rounded, rs, sql_normal_quantile
 from truegauge.catalog.shaping import BINNED
 from truegauge.functions.scalar import effect_label, elapsed_days
 from truegauge.operators import association, binning, diagnostics, splits
@@ -225,6 +225,22 @@ def normality(t):
     return rounded(diagnostics.normality(t.pairs, "delta", ["grp"]), 4)
 
 
+SW_SQL = f"""WITH {PAIRS_CTE}, o AS (SELECT grp, delta AS x, row_number() OVER (PARTITION BY grp ORDER BY delta, o_orderkey) AS i, count(*) OVER (PARTITION BY grp) AS n FROM pairs),
+  p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM o WHERE n <= 5000),
+  z AS (SELECT *, {sql_normal_quantile('p')} AS m FROM p),
+  g AS (SELECT grp, any_value(n) AS n, sum(m * m) AS mm, max(m) AS ml, max(m) FILTER (i = n - 1) AS mp, max(x) FILTER (i = n) AS x1, max(x) FILTER (i = n - 1) AS x2,
+    max(x) FILTER (i = 1) AS y1, max(x) FILTER (i = 2) AS y2, sum(m * x) FILTER (i > 2 AND i < n - 1) AS mx, var_pop(x) * count(*) AS ss, 1 / sqrt(any_value(n)) AS u FROM z GROUP BY 1),
+  a AS (SELECT *, 0.221157 * u - 0.147981 * pow(u, 2) - 2.07119 * pow(u, 3) + 4.434685 * pow(u, 4) - 2.706056 * pow(u, 5) + ml / sqrt(mm) AS a1,
+    0.042981 * u - 0.293762 * pow(u, 2) - 1.752461 * pow(u, 3) + 5.682633 * pow(u, 4) - 3.582633 * pow(u, 5) + mp / sqrt(mm) AS a2 FROM g),
+  f AS (SELECT *, a1 * (x1 - y1) + a2 * (x2 - y2) + mx / sqrt((mm - 2 * ml * ml - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS t FROM a)
+  SELECT grp, n, {r('t * t / ss')} AS w FROM f"""
+
+
+@query("H2_shapiro_wilk_statistic", SW_SQL)
+def shapiro_wilk_statistic(t):
+    return rounded(diagnostics.shapiro_wilk(t.pairs, "delta", ["o_orderkey"], ["grp"]).drop("w_p").where("n <= 5000"))
+
+
 @query("H2_shapiro_wilk")
 def shapiro_wilk(t):
     return rounded(diagnostics.shapiro_wilk(t.pairs, "delta", ["o_orderkey"], ["grp"]))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from truegauge.catalog.registry import COILS_CTE, PAIRS_CTE, query, r, rnd, rounded, rs
+from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs, sql_normal_quantile
 from truegauge.functions import scalar
 from truegauge.operators import binning, charts, shaping, splits
-from truegauge.operators.aggregates import directional_mae
 
 
 @query("K1_sort_by_abs", f"WITH {PAIRS_CTE} SELECT o_orderkey, abs(delta) AS abs_residual, row_number() OVER (ORDER BY abs(delta) DESC, o_orderkey) - 1 AS position FROM pairs")
@@ -209,7 +208,12 @@ def histogram_by_role(t):
     return binning.histogram(split, "delta", 20, ["role"]).select("role", "bin", "count")
 
 
-@query("G2_normal_quantile_pairs")
+@query(
+    "G2_normal_quantile_pairs",
+    f"""WITH {PAIRS_CTE}, o AS (SELECT grp, o_orderkey, delta, row_number() OVER (PARTITION BY grp ORDER BY delta, o_orderkey)::DOUBLE AS i, count(*) OVER (PARTITION BY grp)::DOUBLE AS n FROM pairs),
+      p AS (SELECT *, CASE WHEN i = n THEN pow(0.5::DOUBLE, 1 / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1 / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o)
+      SELECT grp, o_orderkey, {r('delta')} AS ordered_value, {r(sql_normal_quantile('p'))} AS theoretical FROM p""",
+)
 def normal_quantile_pairs(t):
     return rounded(charts.normal_quantile_pairs(t.pairs.select("grp", "o_orderkey", "delta"), "delta", ["o_orderkey"], ["grp"]))
 

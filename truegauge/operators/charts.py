@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from statistics import NormalDist
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from truegauge.functions.tails import normal_quantile
 from truegauge.operators.quality import holds
 from truegauge.operators.lookup import attach
 from truegauge.operators.quantiles import exact_quantiles
 from truegauge.operators.splits import numbered
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Inverse of the standard normal distribution function."""
-    inv = NormalDist().inv_cdf
-    for p in batches:
-        yield pd.Series([inv(x) if 0 < x < 1 else np.nan for x in p], index=p.index, dtype="float64")
-
-
 def normal_quantile_pairs(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Ordered values against normal order-statistic medians: ``.5^(1/n)`` at the top end,
     ``(i - .3175) / (n + .365)`` inside."""

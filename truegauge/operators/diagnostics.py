@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.functions.tails import chi2_tail, f_tail, kolmogorov_tail, normal_tail, t_tail
+from truegauge.functions.tails import chi2_tail, f_tail, kolmogorov_tail, normal_quantile, normal_tail, polynomial, t_tail
 from truegauge.operators.binning import quantile_bins
-from truegauge.operators.charts import normal_quantile
 from truegauge.operators.ordered import lagged
 from truegauge.operators.lookup import attach
 from truegauge.operators.quantiles import exact_quantiles, value_positions
@@ -72,13 +71,6 @@ SW_MEAN_SMALL = (0.544, -0.39978, 0.025054, -0.0006714)
 SW_DEV_SMALL = (1.3822, -0.77857, 0.062767, -0.0020322)
 
 
-def _poly(coefficients: Sequence[float], x: Column) -> Column:
-    out = F.lit(0.0)
-    for c in reversed(coefficients):
-        out = out * x + F.lit(c)
-    return out
-
-
 def shapiro_wilk(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = (), limit: int = 5000) -> DataFrame:
     """W and p per group of 12..limit rows; larger groups are reported with NULL, as the test is not defined for them."""
     sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -104,15 +96,15 @@ def shapiro_wilk(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str
     nn = F.col("n").cast("double")
     u = 1 / F.sqrt(nn)
     root = F.sqrt("mm")
-    a1, a2 = _poly(SW_LAST, u) + F.col("m_last") / root, _poly(SW_NEXT, u) + F.col("m_prev") / root
+    a1, a2 = polynomial(SW_LAST, u) + F.col("m_last") / root, polynomial(SW_NEXT, u) + F.col("m_prev") / root
     ml, mp = F.col("m_last"), F.col("m_prev")
     phi = (F.col("mm") - 2 * ml * ml - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
     fit = a1 * (F.col("x_last") - F.col("x_first")) + a2 * (F.col("x_prev") - F.col("x_second")) + F.coalesce(F.col("mx"), F.lit(0.0)) / F.sqrt(phi)
     w = F.least(fit * fit / F.col("ss"), F.lit(1.0))
     ln = F.log(nn)
-    z_large = (F.log(1 - F.col("w")) - _poly(SW_MEAN, ln)) / F.exp(_poly(SW_DEV, ln))
+    z_large = (F.log(1 - F.col("w")) - polynomial(SW_MEAN, ln)) / F.exp(polynomial(SW_DEV, ln))
     small = -F.log(F.lit(-2.273) + 0.459 * nn - F.log(1 - F.col("w")))
-    z_small = (small - _poly(SW_MEAN_SMALL, nn)) / F.exp(_poly(SW_DEV_SMALL, nn))
+    z_small = (small - polynomial(SW_MEAN_SMALL, nn)) / F.exp(polynomial(SW_DEV_SMALL, nn))
     tested = agg.where(F.col("n") > 5).withColumn("w", w).select(
         *by, "w", normal_tail(F.when(F.col("n") > 11, z_large).otherwise(z_small)).alias("w_p")
     )
