@@ -324,7 +324,10 @@ def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     # Lists whose members are of one class already can't change the result.
     marked = listed.join(label.select(F.col("id").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     marked = materialise(marked, "marked")
-    open_ = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    # Lists with the same members make the same blocks, so one of them is enough (members compared by two 64-bit sums).
+    members = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.hash("rid").cast("long")).alias("y")]
+    open_ = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *members).where("lo <> hi")
+    open_ = open_.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
     left = materialise(marked.join(open_, "token"), "open")
     wanted = left.select("rid").distinct()
     level = F.least(F.lit(1 + LONGEST), (1 + F.floor(F.log2(1 + F.col("cost") / (4 * F.col("s"))))).cast("long"))

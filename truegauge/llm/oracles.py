@@ -18,3 +18,18 @@ reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l O
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
 FROM documents d LEFT JOIN size s USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, s.n
 """
+
+ORACLE["op10_decontamination"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM texts),
+shingle AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words),
+size AS (SELECT id, count(*) AS n FROM shingle WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n AS n_item, count(*) AS n_shared, round(count(*) / n, 6) AS containment
+FROM shingle d JOIN shingle i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN size ON size.id = i.id
+GROUP BY d.id, i.id, n HAVING count(*) * 100 >= n * 80
+"""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truegauge.llm.common import table
+from truegauge.llm.decontaminate import find_items
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
+from truegauge.llm.token_store import keys_of, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,11 +25,24 @@ def query(name: str):
     return add
 
 
+@query("op3_token_store")
+def token_store(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    store = write_store(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return read_store(store, keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op5_ngram_join")
 def ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return link_classes(table(spark, root, "documents"), words=3, percent=90)
 
 
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = find_items(table(spark, root, "documents"), table(spark, root, "benchmark"), words=5, percent=80)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
+
+
 def load():
     """(queries, SQL twins) of the package."""
     return dict(QUERIES), dict(ORACLE)
