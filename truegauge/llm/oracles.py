@@ -1,7 +1,38 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from truegauge.llm import quality_rules as q
+
 ORACLE: dict[str, str] = {}
 
+
+def _count(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+ORACLE["op1_quality_rules"] = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT doc_id, t, regexp_extract_all(t, '{q.WORD}+') AS w FROM docs),
+spot AS (SELECT doc_id, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i, w FROM base),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + {q.WINDOW - 1}], ' ') AS x FROM spot),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+rep AS (SELECT doc_id, sum(least({q.WINDOW}, coalesce(i - before, {q.WINDOW}))) AS n FROM (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice) GROUP BY doc_id),
+line AS (SELECT doc_id, x, {_count("x", q.WORD + "+")} AS n, {_count("x", q.WORD)} AS c FROM (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '{q.WORD}')),
+judged AS (SELECT *, NOT (100 * greatest({_count("x", q.SYMBOL)}, {_count("x", q.DOUBLED)}) >= {q.SYMBOL_SHARE} * n
+    OR (n > {q.LONG_LINE} AND NOT regexp_matches(x, '{q.SENTENCE_MARK}'))
+    OR ({_count("x", q.SEPARATOR)} >= 3 AND 4 * {_count("x", q.SEPARATOR)} >= n) OR regexp_matches(x, '{q.BOILERPLATE}')) AS ok FROM line),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS dup, count(*) FILTER (NOT ok) AS bad,
+  sum(c) AS line_chars, coalesce(sum(c) FILTER (ok), 0) AS clean_chars FROM judged GROUP BY doc_id),
+cols AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, {_count("t", q.WORD)}::BIGINT AS word_chars, {_count("t", q.SYMBOL)}::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    len(w) < {q.LEAST_WORDS} OR 100 * coalesce(rep.n, 0) > {q.REPEAT_SHARE} * len(w) AS base_failed, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    coalesce(bad, 0)::BIGINT AS n_bad_lines, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(clean_chars, 0)::BIGINT AS clean_chars
+  FROM base LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT *, NOT base_failed AND 100 * clean_chars >= {q.KEPT_SHARE} * line_chars AS kept FROM cols
+"""
+
 ORACLE["op5_ngram_join"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

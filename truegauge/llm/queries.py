@@ -12,6 +12,7 @@ from truegauge.llm.common import table
 from truegauge.llm.decontaminate import find_items
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
+from truegauge.llm.quality_rules import judged
 from truegauge.llm.token_store import keys_of, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ def query(name: str):
     return add
 
 
+@query("op1_quality_rules")
+def quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return judged(table(spark, root, "documents")).drop("clean_text")
+
+
 @query("op3_token_store")
 def token_store(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
