@@ -12,6 +12,7 @@ from truegauge.llm.common import table
 from truegauge.llm.decontaminate import find_items
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
+from truegauge.llm.pii import report
 from truegauge.llm.quality_rules import judged
 from truegauge.llm.token_store import keys_of, read_store, write_store
 
@@ -43,6 +44,11 @@ def ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return link_classes(table(spark, root, "documents"), words=3, percent=90)
 
 
+@query("op8_pii")
+def pii(spark: SparkSession, root: str) -> DataFrame:
+    return report(table(spark, root, "documents"))
+
+
 @query("op10_decontamination")
 def decontamination(spark: SparkSession, root: str) -> DataFrame:
     found = find_items(table(spark, root, "documents"), table(spark, root, "benchmark"), words=5, percent=80)
