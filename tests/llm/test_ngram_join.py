@@ -45,6 +45,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("seed,k,percent,chunk", [(1, 3, 90, 192), (2, 3, 90, 8), (3, 5, 80, 5)])
 def test_matches_all_pairs(spark, monkeypatch, seed, k, percent, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "COLD", 32 if chunk > 100 else chunk - 4)
     rows = corpus(seed, 220) + [(900, None), (901, ""), (902, " \t"), (903, "one"), (904, "One"), (3, "again words"), (None, "one"), (None, "x y")]
     rows += [(905, rows[0][1]), (906, rows[0][1])]
     got = ngram_join.link_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=k, percent=percent)
@@ -53,7 +54,7 @@ def test_matches_all_pairs(spark, monkeypatch, seed, k, percent, chunk):
 
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (2, "other text of its own", "z"), (2, "other text of its own", "z"), (7, None, "n"), (8, None, "n"), (None, "A b c d e f g", "q")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n long" if False else "doc_id long, text string, label string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
     got = sorted((tuple(r) for r in ngram_join.keep_one(docs).collect()), key=str)
     assert got == sorted([(2, "a b c d e f g", "y"), (2, "other text of its own", "z"), (7, None, "n"), (8, None, "n")], key=str)
 

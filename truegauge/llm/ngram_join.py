@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.llm.common import WordHasher, bitmap_of, in_bitmap, ready, run_shingles, text_slices
@@ -29,8 +29,10 @@ from truegauge.llm.components import components
 from truegauge.session import materialise
 
 #: log2 of the number of counters behind the global order, and counters in one shuffled row.
-COUNTER_BITS = 21
+COUNTER_BITS = 24
 SLAB = 1 << 16
+#: Lists of up to so many members are joined pair by pair, longer ones go through blocks.
+COLD = 32
 #: Most tokens beyond the base prefix that a document's prefix may be lengthened by.
 LONGEST = 7
 #: Documents of one chunk of a token's list.
@@ -71,50 +73,39 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _slabs(total: np.ndarray):
+def _count_task(batches):
+    """Tokens of a task's sets, counted in ``2 ** COUNTER_BITS`` counters: one row for each slab of counters that isn't empty."""
+    total = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
+    for batch in batches:
+        data = b"".join(x for x in batch.column(0).to_pylist() if x is not None)
+        np.add.at(total, _counter(np.frombuffer(data, np.uint64)), np.uint32(1))
     for slab in range(0, len(total), SLAB):
         part = total[slab : slab + SLAB]
         where = np.flatnonzero(part)
         if len(where):
-            yield slab // SLAB, where.astype(np.uint16).tobytes(), part[where].astype(np.int64).tobytes()
-
-
-def _slab_batch(rows) -> pa.RecordBatch:
-    s, w, c = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(w, pa.binary()), pa.array(c, pa.binary())], names=["slab", "places", "counts"])
-
-
-def _count_task(batches):
-    total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    for batch in batches:
-        data = b"".join(x for x in batch.column(0).to_pylist() if x is not None)
-        total += np.bincount(_counter(np.frombuffer(data, np.uint64)), minlength=len(total))
-    if rows := list(_slabs(total)):
-        yield _slab_batch(rows)
+            yield pa.RecordBatch.from_pylist([{"slab": slab // SLAB, "places": where.astype(np.uint16).tobytes(), "counts": part[where].tobytes()}])
 
 
 def _merge_slabs(batches):
-    """Sum of the slabs that came to this task, kept as one array a slab."""
+    """Sums of the slabs that came to this task, on a logarithmic scale of one byte."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for slab, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
             mine = total.setdefault(slab, np.zeros(SLAB, dtype=np.int64))
-            mine[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int64)
-    rows = [(slab, *next(iter((w, c) for _, w, c in _slabs(part)))) for slab, part in total.items() if part.any()]
-    if rows:
-        yield _slab_batch(rows)
+            mine[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+    for slab, part in total.items():
+        yield pa.RecordBatch.from_pylist([{"slab": slab, "weights": np.minimum(6 * np.log2(1 + part), 255).astype(np.uint8).tobytes()}])
 
 
 def _global_counts(sets: DataFrame) -> np.ndarray:
-    """Counters of all tokens, 8 MB at every input size."""
-    slabs = "slab long, places binary, counts binary"
+    """Weights of all counters, one byte each, whatever the input's size."""
     merged = (
-        sets.where("tokens is not null").select("tokens").mapInArrow(_count_task, slabs)
-        .repartition(1 << (COUNTER_BITS - 16), "slab").mapInArrow(_merge_slabs, slabs)
+        sets.where("tokens is not null").select("tokens").mapInArrow(_count_task, "slab long, places binary, counts binary")
+        .repartition(1 << (COUNTER_BITS - 18), "slab").mapInArrow(_merge_slabs, "slab long, weights binary")
     )
-    total = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-    for slab, places, counts in merged.collect():
-        total[slab * SLAB + np.frombuffer(places, np.uint16).astype(np.int64)] = np.minimum(np.frombuffer(counts, np.int64), (1 << 32) - 1)
+    total = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+    for slab, weights in merged.collect():
+        total[slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(weights, np.uint8)
     return total
 
 
@@ -317,38 +308,60 @@ def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     listed = materialise(posted.join(shared, "token"), "listed")
     cost = listed.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), F.sum("c").alias("cost"))
-    hub = listed.join(cost, "rid").groupBy("token").agg(F.max(F.struct("s", (-F.col("rid")).alias("h"))).alias("top")).select("token", (-F.col("top.h")).alias("hub"))
-    pairs = materialise(listed.join(hub, "token").where("hub <> rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "hubs")
-    first = materialise(_verify(sets, pairs, percent), "links")
+    level = F.least(F.lit(1 + LONGEST), F.ceil(F.log2("cost"))).cast("long")
+    known = materialise(prefixes.join(cost, "rid").select("rid", "n", "prefix", "s", level.alias("level")), "levels")
+    hub = listed.join(known.select("rid", "s"), "rid").groupBy("token").agg(F.max(F.struct("s", (-F.col("rid")).alias("h"))).alias("top"))
+    hub = hub.select("token", (-F.col("top.h")).alias("hub"))
+    pairs = listed.join(hub, "token").where("hub <> rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
+    first = _verify(sets, _matching(pairs, known, percent), percent)
     label = components(first)
     # Lists whose members are of one class already can't change the result.
     marked = listed.join(label.select(F.col("id").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     marked = materialise(marked, "marked")
-    # Lists with the same members make the same blocks, so one of them is enough (members compared by two 64-bit sums).
+    # Lists with the same members make the same pairs, so one of them is enough (members compared by two 64-bit sums).
     members = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.hash("rid").cast("long")).alias("y")]
     open_ = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *members).where("lo <> hi")
     open_ = open_.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
     left = materialise(marked.join(open_, "token"), "open")
-    wanted = left.select("rid").distinct()
-    level = F.least(F.lit(1 + LONGEST), (1 + F.floor(F.log2(1 + F.col("cost") / (4 * F.col("s"))))).cast("long"))
-    docs = _fetch(sets, wanted).join(prefixes.select("rid", "prefix"), "rid").join(cost.select("rid", level.alias("level")), "rid")
+    cold = left.where(F.col("c") <= COLD).select("token", "rid", "label")
+    other = cold.select("token", F.col("rid").alias("b"), F.col("label").alias("other"))
+    pairs = cold.join(other, "token").where("rid < b and label <> other").select(F.col("rid").alias("a"), "b").distinct()
+    second = _verify(sets, _matching(pairs, known, percent), percent)
+    return first.unionByName(second).unionByName(_hot_links(spark, sets, left.where(F.col("c") > COLD), known, percent))
+
+
+def _matching(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lengthened prefixes share as many tokens as the smaller of the two levels asks for."""
+    side = lambda x: known.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "prefix", "level")])
+    least = {x: F.floor((F.col(f"{x}_n") * percent + 99) / 100) for x in "ab"}
+    need = F.least("a_level", "b_level", least["a"], least["b"])
+    part = {x: F.slice(f"{x}_prefix", F.lit(1), (F.col(f"{x}_n") - least[x] + F.col("need")).cast("int")) for x in "ab"}
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", need)
+    both = both.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    return both.where(F.size(F.array_intersect(part["a"], part["b"])) >= F.col("need")).select("a", "b")
+
+
+def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links among members of different classes of long lists, found in blocks of bounded size."""
+    docs = _fetch(sets, left.select("rid").distinct()).join(known.select("rid", "prefix", "level"), "rid")
     chunks = F.ceil(F.col("c") / CHUNK).cast("long")
     dealt = left.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     blocks = dealt.join(docs, "rid").select(
         "token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rid", "label", "level", "prefix", "tokens"
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    second = blocks.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_blocks(percent), "a long, b long")
-    return first.unionByName(materialise(second, "links"))
+    links = blocks.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_blocks(percent), "a long, b long")
+    return materialise(links, "links")
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links."""
+    pairs = materialise(pairs, "pairs")
     have = materialise(_fetch(sets, pairs.select(F.explode(F.array("a", "b")).alias("rid"))), "candidates")
     both = pairs.join(have.select(F.col("rid").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
         have.select(F.col("rid").alias("b"), F.col("tokens").alias("b_tokens")), "b"
     )
-    return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_pair_filter(percent), "a long, b long")
+    return materialise(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_pair_filter(percent), "a long, b long"), "links")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
