@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from truegauge.llm.common import table
 from truegauge.llm.decontaminate import find_items
+from truegauge.llm.factorisation import score, train
+from truegauge.llm.licenses import scan
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
 from truegauge.llm.pii import report
@@ -44,11 +46,22 @@ def ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return link_classes(table(spark, root, "documents"), words=3, percent=90)
 
 
+@query("op6_quality_classifier")
+def quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return score(docs, train(docs, table(spark, root, "labels")), threshold=0.3)
+
+
 @query("op8_pii")
 def pii(spark: SparkSession, root: str) -> DataFrame:
     return report(table(spark, root, "documents"))
 
 
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return scan(table(spark, root, "documents"))
+
+
 @query("op10_decontamination")
 def decontamination(spark: SparkSession, root: str) -> DataFrame:
     found = find_items(table(spark, root, "documents"), table(spark, root, "benchmark"), words=5, percent=80)
