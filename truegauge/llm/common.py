@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,10 @@ class WordHasher:
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hash of every white-space separated word, A-Z folded if asked for; and each row's first word."""
         starts, ends, first = word_spans(raw, offsets)
+        return self.of(raw, starts, ends), first
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the given stretches of bytes."""
         if len(self.up) <= len(raw):
             size = 1 << max(16, len(raw).bit_length())
             p = np.full((2, size), _BASE, dtype=np.uint64)
@@ -108,7 +113,49 @@ class WordHasher:
             self.up, self.down = np.cumprod(p, axis=1, dtype=np.uint64)
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.values[raw] * self.up[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)), first
+        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+class WordStore:
+    """Id sequences of words that a task has encoded already, by the words' hashes; emptied when ``most`` is reached."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+
+    def rows(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
+        """Place of every word in the store; words it doesn't have are decoded and given to ``encode`` (a list of strings to ids and lengths)."""
+        code, distinct = pd.factorize(hashes.view(np.int64))
+        if len(self.known) + len(distinct) > self.most:
+            self.clear()
+        keys, known = distinct.tolist(), self.known
+        new = [i for i, x in enumerate(keys) if x not in known]
+        if new:
+            where = np.empty(len(distinct), dtype=np.int64)
+            where[code[::-1]] = np.arange(len(code))[::-1]
+            data = raw.tobytes()
+            self.add([keys[i] for i in new], *encode([data[starts[w] : ends[w]].decode("utf-8", "replace") for w in where[new]]))
+        return np.fromiter((known[x] for x in keys), dtype=np.int64, count=len(keys))[code]
+
+    def gather(self, rows: np.ndarray, first: np.ndarray, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``rows`` of all documents (``first``: each document's first word), ``tail`` behind each document, and where documents begin."""
+        length = np.diff(self.first)[rows] if len(rows) else np.zeros(0, np.int64)
+        end = np.concatenate(([0], np.cumsum(length)))
+        ids = self.flat[np.repeat(self.first[rows] - end[:-1], length) + np.arange(end[-1])] if len(rows) else self.flat[:0]
+        bounds = end[first]
+        if tail is None:
+            return ids, bounds
+        return np.insert(ids, bounds[1:], np.uint32(tail)), bounds + np.arange(len(bounds))
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -14,6 +14,7 @@ from truegauge.llm.factorisation import score, train
 from truegauge.llm.licenses import scan
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
+from truegauge.llm.pieces import digest, encode
 from truegauge.llm.pii import report
 from truegauge.llm.quality_rules import judged
 from truegauge.llm.token_store import keys_of, read_store, write_store
@@ -41,6 +42,11 @@ def token_store(spark: SparkSession, root: str) -> DataFrame:
     return read_store(store, keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op4_sentencepiece")
+def sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    return digest(encode(table(spark, root, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query("op5_ngram_join")
 def ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return link_classes(table(spark, root, "documents"), words=3, percent=90)

@@ -21,12 +21,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import WordHasher, mix, ready, text_slices, word_spans
+from truegauge.llm.common import WordHasher, WordStore, mix, ready, text_slices, word_spans
 from truegauge.session import materialise, shared_dir
 
 END = 1
@@ -143,18 +142,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.hasher = WordHasher(fold=False)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.add([0], np.array([END], np.uint32), np.array([1]))
-
-    def add(self, keys, ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(keys, range(n, n + len(keys))))
-        self.flat = np.concatenate([self.flat, ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+        self.store = WordStore(CACHED_WORDS)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, and how many each has. Words go to the tokenizer many at a time with a mark between them, a word of its
@@ -170,27 +158,9 @@ class WordEncoder:
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, ``END`` behind each, and each row's first id."""
-        starts, ends, _ = word_spans(raw, offsets)
-        hashes, first = self.hasher(raw, offsets)
-        code, distinct = pd.factorize(hashes.view(np.int64))
-        if len(self.known) + len(distinct) > CACHED_WORDS and len(self.known) > 1:
-            self.clear()
-        keys = distinct.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.known]
-        if new:
-            where = np.empty(len(distinct), dtype=np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
-            data = raw.tobytes()
-            words = [data[starts[w] : ends[w]].decode("utf-8", "replace") for w in where[new]]
-            self.add([keys[i] for i in new], *self.encode_words(words))
-        known = self.known
-        row = np.fromiter((known[x] for x in keys), dtype=np.int64, count=len(keys))[code] if len(keys) else np.zeros(0, np.int64)
-        row = np.insert(row, first[1:], 0)
-        length = np.diff(self.first)[row]
-        end = np.cumsum(length)
-        ids = self.flat[np.repeat(self.first[row] - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
-        bounds = first + np.arange(len(first))
-        return ids, np.concatenate(([0], end))[bounds]
+        starts, ends, first = word_spans(raw, offsets)
+        rows = self.store.rows(self.hasher.of(raw, starts, ends), raw, starts, ends, self.encode_words)
+        return self.store.gather(rows, first, END)
 
 
 def _open(folder: str):
