@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from truegauge.llm.common import table
 from truegauge.llm.decontaminate import find_items
+from truegauge.llm.edit_counts import apply_edits, count_trees
 from truegauge.llm.factorisation import score, train
+from truegauge.llm.html_text import extract
 from truegauge.llm.licenses import scan
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
@@ -35,6 +37,11 @@ def quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return judged(table(spark, root, "documents")).drop("clean_text")
 
 
+@query("op2_html_text")
+def html_text(spark: SparkSession, root: str) -> DataFrame:
+    return extract(table(spark, root, "pages"))
+
+
 @query("op3_token_store")
 def token_store(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
@@ -58,6 +65,21 @@ def quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return score(docs, train(docs, table(spark, root, "labels")), threshold=0.3)
 
 
+@query("op7_edit_counts")
+def edit_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Counts of all documents, then of the same after three edits each: a replacement in the middle, a deletion, and a new beginning."""
+    docs = table(spark, root, "documents")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    n = F.length("text").cast("long")
+    one = lambda seq, start, end, text: F.struct(F.lit(seq).alias("seq"), start.alias("start"), end.alias("end"), F.lit(text).alias("replacement"))
+    half, quarter, zero = F.floor(n / 2), F.floor(n / 4), F.lit(0).cast("long")
+    edits = docs.where("doc_id is not null").select(
+        "doc_id", F.inline(F.array(one(1, half, half + 12, "edited words"), one(2, quarter, quarter + 40, ""), one(3, zero, zero, "New first line.\n")))
+    )
+    after = apply_edits(count_trees(docs, path, pattern), edits, path, pattern)
+    return after.select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded")
+
+
 @query("op8_pii")
 def pii(spark: SparkSession, root: str) -> DataFrame:
     return report(table(spark, root, "documents"))
