@@ -1,6 +1,7 @@
 """Exact self-join of documents on the Jaccard similarity of their word n-gram sets, by adaptive multi-match prefixes.
 
-All tokens (64-bit n-gram hashes) have one global order, rare ones first. Two sets that are similar enough share a token among
+All tokens (64-bit n-gram hashes) have one global order, rare ones first: by the counts of their words, which stay telling however large the table is, and by a count of
+their own, as far as it stands out among the counters of fixed number. Any order gives the same result; a good one gives fewer candidates. Two sets that are similar enough share a token among
 their first ``n - ceil(t n) + 1`` ones (the base prefix), and ``l`` tokens among the first ``n - ceil(t n) + l``. A document whose base
 prefix leads to many candidates gets a larger ``l``: a longer prefix, and more tokens that must match before a pair is verified.
 
@@ -28,7 +29,8 @@ from truegauge.llm.common import WordHasher, bitmap_of, in_bitmap, ready, run_sh
 from truegauge.llm.components import components
 from truegauge.session import materialise
 
-#: log2 of the number of counters behind the global order, and counters in one shuffled row.
+#: log2 of the numbers of counters behind the global order (of words, of tokens), and counters in one shuffled row.
+WORD_BITS = 20
 COUNTER_BITS = 24
 SLAB = 1 << 16
 #: Lists of up to so many members are joined pair by pair, longer ones go through blocks.
@@ -41,49 +43,69 @@ CHUNK = 192
 SET_BITS = 25
 
 
-def _token_sets(k: int):
-    """Batches of (doc_id, text) to (doc_id, same, key, n, tokens); ``same`` tells texts apart, tokens come only at a set's first
-    row in the task."""
+def _token_sets(k: int, words):
+    """Batches of (doc_id, text) to (doc_id, same, key, n, tokens, weights); ``same`` tells texts apart, tokens and what their words weigh come only
+    at a set's first row in the task."""
 
     def run(batches):
         seen, hasher = set(), WordHasher()
         for batch in batches:
             ids = batch.column(0)
             for row, raw, offsets in text_slices(batch.column(1)):
-                got, first = run_shingles(*hasher(raw, offsets), k)
-                same, keys, sizes, tokens = [], [], [], []
+                hashes, begin = hasher(raw, offsets)
+                got, first = run_shingles(hashes, begin, k)
+                sums = np.concatenate(([0], np.cumsum(words.value[_counter(hashes, WORD_BITS)].astype(np.int64))))
+                same, keys, sizes, tokens, weights = [], [], [], [], []
                 for i in range(len(offsets) - 1):
-                    own = np.unique(got[first[i] : first[i + 1]])
+                    own, at = np.unique(got[first[i] : first[i + 1]], return_index=True)
                     data = own.tobytes()
                     key = hashlib.md5(data).digest()
+                    new = len(own) and key not in seen
+                    seen.add(key)
                     same.append(hashlib.md5(raw[offsets[i] : offsets[i + 1]]).digest())
                     keys.append(key)
                     sizes.append(len(own))
-                    tokens.append(data if len(own) and key not in seen else None)
-                    seen.add(key)
+                    tokens.append(data if new else None)
+                    width = min(k, begin[i + 1] - begin[i])
+                    weights.append(((sums[begin[i] + at + width] - sums[begin[i] + at]) // max(width, 1)).astype(np.uint8).tobytes() if new else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(keys)), pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())],
-                    names=["doc_id", "same", "key", "n", "tokens"],
+                    [ids.slice(row, len(keys)), pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(weights, pa.binary())],
+                    names=["doc_id", "same", "key", "n", "tokens", "weights"],
                 )
 
     return run
 
 
-def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count_task(batches):
-    """Tokens of a task's sets, counted in ``2 ** COUNTER_BITS`` counters: one row for each slab of counters that isn't empty."""
-    total = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
+def _token_hashes(batches):
     for batch in batches:
-        data = b"".join(x for x in batch.column(0).to_pylist() if x is not None)
-        np.add.at(total, _counter(np.frombuffer(data, np.uint64)), np.uint32(1))
-    for slab in range(0, len(total), SLAB):
-        part = total[slab : slab + SLAB]
-        where = np.flatnonzero(part)
-        if len(where):
-            yield pa.RecordBatch.from_pylist([{"slab": slab // SLAB, "places": where.astype(np.uint16).tobytes(), "counts": part[where].tobytes()}])
+        yield np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x is not None), np.uint64)
+
+
+def _text_hashes(batches):
+    hasher = WordHasher()
+    for batch in batches:
+        for _, raw, offsets in text_slices(batch.column(0)):
+            yield hasher(raw, offsets)[0]
+
+
+def _count_task(hashes, bits: int):
+    """Hashes of a task, counted in ``2 ** bits`` counters: one row for each slab of counters that isn't empty."""
+
+    def run(batches):
+        total = np.zeros(1 << bits, dtype=np.uint32)
+        for own in hashes(batches):
+            np.add.at(total, _counter(own, bits), np.uint32(1))
+        for slab in range(0, len(total), SLAB):
+            part = total[slab : slab + SLAB]
+            where = np.flatnonzero(part)
+            if len(where):
+                yield pa.RecordBatch.from_pylist([{"slab": slab // SLAB, "places": where.astype(np.uint16).tobytes(), "counts": part[where].tobytes()}])
+
+    return run
 
 
 def _merge_slabs(batches):
@@ -94,16 +116,18 @@ def _merge_slabs(batches):
             mine = total.setdefault(slab, np.zeros(SLAB, dtype=np.int64))
             mine[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
     for slab, part in total.items():
-        yield pa.RecordBatch.from_pylist([{"slab": slab, "weights": np.minimum(6 * np.log2(1 + part), 255).astype(np.uint8).tobytes()}])
+        yield pa.RecordBatch.from_pylist([{"slab": slab, "weights": np.minimum(STEPS * np.log2(1 + part), 255).astype(np.uint8).tobytes()}])
+
+
+#: Steps of the logarithmic scale for a doubling.
+STEPS = 6
 
 
-def _global_counts(sets: DataFrame) -> np.ndarray:
+def _global_counts(rows: DataFrame, hashes, bits: int) -> np.ndarray:
     """Weights of all counters, one byte each, whatever the input's size."""
-    merged = (
-        sets.where("tokens is not null").select("tokens").mapInArrow(_count_task, "slab long, places binary, counts binary")
-        .repartition(1 << (COUNTER_BITS - 18), "slab").mapInArrow(_merge_slabs, "slab long, weights binary")
-    )
-    total = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+    slabs = "slab long, places binary, counts binary"
+    merged = rows.mapInArrow(_count_task(hashes, bits), slabs).repartition(max(1, 1 << (bits - 18)), "slab").mapInArrow(_merge_slabs, "slab long, weights binary")
+    total = np.zeros(1 << bits, dtype=np.uint8)
     for slab, weights in merged.collect():
         total[slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(weights, np.uint8)
     return total
@@ -115,16 +139,17 @@ def _least(n, percent: int):
 
 
 def _prefixes(order, percent: int):
-    """(rid, n, tokens) to (rid, n, prefix): the first tokens in the global order, ``LONGEST`` beyond the base prefix."""
+    """(rid, n, tokens, weights) to (rid, n, prefix): the first tokens in the global order, ``LONGEST`` beyond the base prefix."""
 
     def run(batches):
-        counts = order.value
+        counts, usual = order.value
         for batch in batches:
             out = []
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for n, data, words in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 own = np.frombuffer(data, np.uint64)
                 most = min(n, n - _least(n, percent) + 1 + LONGEST)
-                weight = counts[_counter(own)]
+                hot = counts[_counter(own, COUNTER_BITS)].astype(np.int64) - usual
+                weight = np.frombuffer(words, np.uint8) + 4 * np.maximum(hot, 0)
                 if most < n:
                     near = weight <= np.partition(weight, most - 1)[most - 1]
                     own, weight = own[near], weight[near]
@@ -282,7 +307,8 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = rows.mapInArrow(_token_sets(words), "doc_id long, same binary, key binary, n long, tokens binary")
+    weights = spark.sparkContext.broadcast(_global_counts(rows.select("text"), _text_hashes, WORD_BITS))
+    sets = rows.mapInArrow(_token_sets(words, weights), "doc_id long, same binary, key binary, n long, tokens binary, weights binary")
     sets = materialise(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
     classes = sets.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.min(F.when(F.col("tokens").isNotNull(), F.col("rid"))).alias("node")
@@ -300,8 +326,11 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
 
 def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of node ids that connect whatever is connected by all links."""
-    order = spark.sparkContext.broadcast(_global_counts(sets))
-    cut = sets.where("tokens is not null").select("rid", "n", "tokens").mapInArrow(_prefixes(order, percent), "rid long, n long, prefix array<long>")
+    counts = _global_counts(sets.where("tokens is not null").select("tokens"), _token_hashes, COUNTER_BITS)
+    # A counter that says no more than the average of all says nothing of its tokens.
+    usual = int(STEPS * np.log2(2 + np.mean(np.exp2(counts / np.float32(STEPS)) - 1)))
+    order = spark.sparkContext.broadcast((counts, usual))
+    cut = sets.where("tokens is not null").select("rid", "n", "tokens", "weights").mapInArrow(_prefixes(order, percent), "rid long, n long, prefix array<long>")
     prefixes = materialise(cut.join(nodes, "rid"), "prefixes")
     base = F.slice("prefix", 1, (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
     posted = prefixes.select("rid", F.explode(base).alias("token"))
