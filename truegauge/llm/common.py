@@ -107,7 +107,7 @@ class WordHasher:
     def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the given stretches of bytes."""
         if len(self.up) <= len(raw):
-            size = 1 << max(16, len(raw).bit_length())
+            size = (len(raw) + (1 << 16)) // (1 << 16) * (1 << 16) + 1
             p = np.full((2, size), _BASE, dtype=np.uint64)
             p[1], p[:, 0] = _INVERSE, 1
             self.up, self.down = np.cumprod(p, axis=1, dtype=np.uint64)

@@ -22,7 +22,7 @@ from truegauge.llm.common import WordHasher, WordStore, mix, ready, text_slices
 
 SPACE = "▁"
 CACHED_WORDS = 400_000
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 3 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 UNIGRAM, BPE = 1, 2
