@@ -149,7 +149,7 @@ def _prefixes(order, percent: int):
                 own = np.frombuffer(data, np.uint64)
                 most = min(n, n - _least(n, percent) + 1 + LONGEST)
                 hot = counts[_counter(own, COUNTER_BITS)].astype(np.int64) - usual
-                weight = np.frombuffer(words, np.uint8) + 4 * np.maximum(hot, 0)
+                weight = np.frombuffer(words, np.uint8) + 10 * np.maximum(hot, 0)
                 if most < n:
                     near = weight <= np.partition(weight, most - 1)[most - 1]
                     own, weight = own[near], weight[near]
