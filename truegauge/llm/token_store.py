@@ -33,8 +33,8 @@ END = 1
 MARK = "\x01"
 #: Keys that an index part is sized for, words kept encoded in a task, and bytes of text that are encoded at once.
 PART_KEYS = 200_000
-CACHED_WORDS = 400_000
-ENCODE_BYTES = 2 << 20
+CACHED_WORDS = 150_000
+ENCODE_BYTES = 1 << 20
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _FINGER = np.uint64(0xD6E8FEB86659FD93)
@@ -135,8 +135,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
