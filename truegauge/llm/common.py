@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from truegauge.session import prepare
 
 #: Bytes of text that are expanded into numpy arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -27,7 +27,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 def ready(spark: SparkSession) -> SparkSession:
     """Adaptive settings, and Arrow batches small enough that a batch of long texts fits a worker."""
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
     return spark
 
 

@@ -31,7 +31,7 @@ from truegauge.session import materialise
 
 #: log2 of the numbers of counters behind the global order (of words, of tokens), and counters in one shuffled row.
 WORD_BITS = 20
-COUNTER_BITS = 24
+COUNTER_BITS = 23
 SLAB = 1 << 16
 #: Lists of up to so many members are joined pair by pair, longer ones go through blocks.
 COLD = 32
@@ -41,6 +41,8 @@ LONGEST = 7
 CHUNK = 192
 #: log2 of the bits of the bitmap that preselects token sets.
 SET_BITS = 25
+#: log2 of the bits of the bitmap that preselects shared tokens.
+TOKEN_BITS = 26
 
 
 def _token_sets(k: int, words):
@@ -280,7 +282,7 @@ def _links_batch(links) -> pa.RecordBatch:
 
 
 def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, tokens) of the wanted nodes. A bitmap of fixed size keeps most other sets out of the join."""
+    """(rid, tokens) of the wanted nodes and a few others: a bitmap of fixed size keeps most sets out of the joins to come."""
     bits = sets.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "rid", SET_BITS))
 
     def run(batches):
@@ -289,8 +291,25 @@ def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    near = sets.where("tokens is not null").select("rid", "tokens").mapInArrow(run, "rid long, tokens binary")
-    return near.join(wanted.select("rid").distinct(), "rid")
+    return sets.where("tokens is not null").select("rid", "tokens").mapInArrow(run, "rid long, tokens binary")
+
+
+def _listed(prefixes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(rid, token) of the base prefixes for the shared tokens and a few others, told by a bitmap of fixed size."""
+    bits = prefixes.sparkSession.sparkContext.broadcast(bitmap_of(shared, "token", TOKEN_BITS))
+
+    def run(batches):
+        for batch in batches:
+            rid, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(2)
+            tokens, first = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(rid)), np.diff(first))
+            tokens = tokens[first[0] : first[-1]]
+            inner = np.arange(len(tokens)) + first[0] - first[owner]
+            keep = (inner <= n[owner] - _least(n[owner], percent)) & in_bitmap(bits.value, tokens.view(np.uint64), TOKEN_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[owner[keep]]), pa.array(tokens[keep])], names=["rid", "token"])
+
+    return prefixes.select("rid", "n", "prefix").mapInArrow(run, "rid long, token long")
 
 
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -334,8 +353,8 @@ def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     prefixes = materialise(cut.join(nodes, "rid"), "prefixes")
     base = F.slice("prefix", 1, (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
     posted = prefixes.select("rid", F.explode(base).alias("token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    listed = materialise(posted.join(shared, "token"), "listed")
+    shared = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    listed = materialise(_listed(prefixes, shared, percent).join(shared, "token"), "listed")
     cost = listed.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), F.sum("c").alias("cost"))
     level = F.least(F.lit(1 + LONGEST), F.ceil(F.log2("cost"))).cast("long")
     known = materialise(prefixes.join(cost, "rid").select("rid", "n", "prefix", "s", level.alias("level")), "levels")
@@ -386,10 +405,8 @@ def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, percen
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links."""
     pairs = materialise(pairs, "pairs")
-    have = materialise(_fetch(sets, pairs.select(F.explode(F.array("a", "b")).alias("rid"))), "candidates")
-    both = pairs.join(have.select(F.col("rid").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
-        have.select(F.col("rid").alias("b"), F.col("tokens").alias("b_tokens")), "b"
-    )
+    side = lambda x: _fetch(sets, pairs.select(F.col(x).alias("rid"))).select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return materialise(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_pair_filter(percent), "a long, b long"), "links")
 
 
