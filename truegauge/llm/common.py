@@ -218,7 +218,14 @@ def bitmap_of(keys: DataFrame, column: str, bits: int) -> np.ndarray:
                 [pa.array((got >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (got & np.uint64(63))).view(np.int64))], names=["w", "m"]
             )
 
-    rows = keys.where(F.col(column).isNotNull()).select(column).mapInArrow(places, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    def packed(batches):
+        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        if parts:
+            w, m = (np.concatenate(x).astype(np.int64).tobytes() for x in zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([m], pa.binary())], names=["w", "m"])
+
+    rows = keys.where(F.col(column).isNotNull()).select(column).mapInArrow(places, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m"))
     words = np.zeros(max(1, (1 << bits) >> 6), dtype=np.uint64)
-    words[rows["w"].to_numpy()] = rows["m"].to_numpy().astype(np.int64).view(np.uint64)
+    for w, m in rows.mapInArrow(packed, "w binary, m binary").collect():
+        words[np.frombuffer(w, np.int64)] = np.frombuffer(m, np.int64).view(np.uint64)
     return words

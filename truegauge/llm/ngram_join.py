@@ -42,7 +42,7 @@ CHUNK = 192
 #: log2 of the bits of the bitmap that preselects token sets.
 SET_BITS = 25
 #: log2 of the bits of the bitmap that preselects shared tokens.
-TOKEN_BITS = 26
+TOKEN_BITS = 25
 
 
 def _token_sets(k: int, words):
