@@ -1,6 +1,6 @@
 """Exact self-join of documents on the Jaccard similarity of their word n-gram sets, by adaptive multi-match prefixes.
 
-All tokens (64-bit n-gram hashes) have one global order, rare ones first: by the counts of their words, which stay telling however large the table is, and by a count of
+All tokens (48-bit n-gram hashes, so that six bytes are stored for each) have one global order, rare ones first: by the counts of their words, which stay telling however large the table is, and by a count of
 their own, as far as it stands out among the counters of fixed number. Any order gives the same result; a good one gives fewer candidates. Two sets that are similar enough share a token among
 their first ``n - ceil(t n) + 1`` ones (the base prefix), and ``l`` tokens among the first ``n - ceil(t n) + l``. A document whose base
 prefix leads to many candidates gets a larger ``l``: a longer prefix, and more tokens that must match before a pair is verified.
@@ -39,6 +39,8 @@ COLD = 32
 LONGEST = 7
 #: Documents of one chunk of a token's list.
 CHUNK = 192
+#: The bits of a hash that make a token.
+HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 #: log2 of the bits of the bitmap that preselects token sets.
 SET_BITS = 25
 #: log2 of the bits of the bitmap that preselects shared tokens.
@@ -59,8 +61,8 @@ def _token_sets(k: int, words):
                 sums = np.concatenate(([0], np.cumsum(words.value[_counter(hashes, WORD_BITS)].astype(np.int64))))
                 same, keys, sizes, tokens, weights = [], [], [], [], []
                 for i in range(len(offsets) - 1):
-                    own, at = np.unique(got[first[i] : first[i + 1]], return_index=True)
-                    data = own.tobytes()
+                    own, at = np.unique(got[first[i] : first[i + 1]] & HIGH, return_index=True)
+                    data = _pack(own)
                     key = hashlib.md5(data).digest()
                     new = len(own) and key not in seen
                     seen.add(key)
@@ -78,13 +80,25 @@ def _token_sets(k: int, words):
     return run
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """The six high bytes of each token; order stays."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpack(data) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, 2:] = short
+    return out.view(np.uint64).ravel()
+
+
 def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _token_hashes(batches):
     for batch in batches:
-        yield np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x is not None), np.uint64)
+        yield _unpack(b"".join(x for x in batch.column(0).to_pylist() if x is not None))
 
 
 def _text_hashes(batches):
@@ -148,7 +162,7 @@ def _prefixes(order, percent: int):
         for batch in batches:
             out = []
             for n, data, words in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                own = np.frombuffer(data, np.uint64)
+                own = _unpack(data)
                 most = min(n, n - _least(n, percent) + 1 + LONGEST)
                 hot = counts[_counter(own, COUNTER_BITS)].astype(np.int64) - usual
                 weight = np.frombuffer(words, np.uint8) + 10 * np.maximum(hot, 0)
@@ -173,7 +187,7 @@ def _pair_filter(percent: int):
             a, b = batch.column("a_tokens"), batch.column("b_tokens")
             keep = []
             for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpack(x.as_buffer()), _unpack(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -254,7 +268,7 @@ def _blocks(percent: int):
 
     def one(rows):
         cols = list(zip(*rows))
-        sets = [np.frombuffer(x, np.uint64) for x in cols[8]]
+        sets = [_unpack(x) for x in cols[8]]
         prefixes = [np.asarray(x, dtype=np.int64) for x in cols[7]]
         sides = [int(low != high and chunk == high) for low, high, chunk in zip(cols[1], cols[2], cols[3])]
         return block_links(cols[4], cols[5], cols[6], prefixes, sets, [len(s) for s in sets], sides, percent)
