@@ -114,12 +114,13 @@ def test_clean_and_rejected_partition_the_input(rows):
 
 def test_restart_stream_counts_the_last_value_once(spark, tmp_path):
     df = spark.createDataFrame([("a", i, float(i % 5)) for i in range(30)], "g string, t long, v double")
-    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    src, out, state, chk = (str(tmp_path / n) for n in ("in", "out", "state", "chk"))
+    handler = streams.smoothing_batches("v", ["t"], ["g"], 0.3, out, state, restart=True)
     want, seed = [], None
     for lo in (0, 10, 20):
         df.where((F.col("t") >= lo) & (F.col("t") < lo + 10)).write.mode("append").parquet(src)
         stream = streams.file_stream(spark, src, df.schema)
-        streams.run_available(streams.smoothing_stream(stream, "g", ["t"], "v", 0.3, "restart"), out, chk)
+        streams.run_batches(stream, handler, chk)
         s = pd.Series(([seed] if seed is not None else []) + [float(i % 5) for i in range(lo, lo + 10)]).ewm(alpha=0.3).mean()
         part = s.tolist()[-10:]
         want, seed = want + part, part[-1]

@@ -47,27 +47,33 @@ def master_rows(t):
 
 @query(
     "S3_lab_csv_gbk",
-    "SELECT o_orderpriority AS grade, count(*) AS n, " + r("sum(o_totalprice)", 2) + " AS total, '镀层' AS label FROM orders GROUP BY 1",
+    "SELECT o_orderpriority AS grade, count(*) AS n, " + r("sum(o_totalprice)", 2) + " AS total, count(*) FILTER (o_orderkey % 7 = 0) AS labelled FROM orders GROUP BY 1",
 )
 def lab_csv(t):
     path = scratch(t, "lab-csv")
-    lab = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("grade"), "o_totalprice", F.lit("镀层").alias("材料"))
+    # Plain headers and first rows; the text that tells the encodings apart comes late, and the folder mixes both encodings.
+    label = F.when(F.col("o_orderkey") % 7 == 0, "镀层").otherwise("plain")
+    lab = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("grade"), "o_totalprice", label.alias("label"))
     readers.allow_java_charsets(t.spark)
-    lab.write.csv(path, header=True, encoding="gbk")
+    for odd, code in enumerate(("utf-8", "gbk")):
+        part = lab.where(F.col("o_orderkey") % 2 == odd).sortWithinPartitions(F.col("label") != "plain")
+        part.write.mode("append").csv(path, header=True, encoding=code)
     schema = T.StructType.fromDDL("o_orderkey bigint, grade string, o_totalprice double, label string")
     back = readers.lab_csv(t.spark, path, schema, encoding="utf-8", fallback="gbk")
     return back.groupBy("grade").agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"), F.max("label").alias("label")
+        F.count(F.lit(1)).alias("n"), rnd(F.sum("o_totalprice"), 2).alias("total"), F.count_if(F.col("label") == "镀层").alias("labelled")
     )
 
 
-@query("S4_offset_header", "SELECT p_brand, count(*) AS n, " + r("sum(p_retailprice)", 2) + " AS price FROM part GROUP BY 1")
+@query("S4_offset_header", "SELECT CASE WHEN p_partkey % 50 = 0 THEN 'b' ELSE p_brand END AS p_brand, count(*) AS n, " + r("sum(p_retailprice)", 2) + " AS price FROM part GROUP BY 1")
 def offset_header(t):
+    """Files with a banner, then the names, then data in which some cells equal a name."""
     path = scratch(t, "offset-header")
-    t.part.select("p_partkey", "p_brand", F.col("p_retailprice").cast("string")).toDF("a", "b", "c").write.csv(
-        path, header=True
-    )
-    # Each written file starts with a one-line banner (a,b,c) and no usable names; the names follow below it.
+    brand = F.when(F.col("p_partkey") % 50 == 0, "b").otherwise(F.col("p_brand"))
+    data = t.part.select(F.pmod("p_partkey", F.lit(3)).alias("file"), F.lit(1).alias("place"), F.concat_ws(",", "p_partkey", brand, F.col("p_retailprice").cast("string")).alias("line"))
+    top = data.select("file").distinct().select("file", F.lit(0).alias("place"), F.lit("Report of June,,\n a ,b,c ").alias("line"))
+    rows = top.unionByName(data).repartition("file").sortWithinPartitions("file", "place")
+    rows.select("file", "line").write.partitionBy("file").text(path)
     names = [" a ", "b", "c "]
     df = readers.offset_header_csv(t.spark, path, names, skip=1)
     return df.groupBy(F.col("b").alias("p_brand")).agg(

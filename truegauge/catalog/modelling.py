@@ -67,8 +67,9 @@ def boosted_huber(t):
 @query("M8_monotone_scores")
 def monotone_scores(t):
     rows = pair_rows(t)
-    model = models.ResidualCorrection(FEATURES, "delta", QUICK).fit(rows.where("role = 'train'"))
-    return models.monotone_scores(rows.where("role = 'test'").select(*FEATURES, "o_orderkey"), model.transform, "online", ["o_orderkey"], 8)
+    train = rows.where("role = 'train'")
+    model, span = models.ResidualCorrection(FEATURES, "delta", QUICK).fit(train), models.feature_range(train, "online")
+    return models.monotone_scores(rows.where("role = 'test'").select(*FEATURES, "o_orderkey"), model.transform, "online", ["o_orderkey"], 8, span=span)
 
 
 @query(

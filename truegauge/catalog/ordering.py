@@ -54,6 +54,16 @@ def trend_line(t):
     return rounded(ordered.trend_line(e, "value", ["ts", "event_id"], ["event_type"]).select("event_id", "trend"), 8)
 
 
+def ewma_gaps_sql(alpha, back, value):
+    """Mean of the present values up to each row, weighted by how many rows ago they were; ``back`` present values reach below double precision."""
+    b = f"{1 - alpha}::DOUBLE"
+    return f"""WITH e AS (SELECT event_id, event_type, {value} AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+      p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i) AS k FROM e WHERE v IS NOT NULL),
+      m AS (SELECT a.event_type, a.i, sum(b.v * pow({b}, a.i - b.i)) / sum(pow({b}, a.i - b.i)) AS s FROM p a JOIN p b
+        ON a.event_type = b.event_type AND b.k BETWEEN a.k - {back} AND a.k GROUP BY 1, 2)
+      SELECT event_id, {r("s")} AS smoothed FROM e ASOF LEFT JOIN m ON e.event_type = m.event_type AND e.i >= m.i"""
+
+
 def ewma_sql(alpha, terms, seed=""):
     return f"""WITH o AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
       k AS (SELECT unnest(range({terms})) AS k),
@@ -172,3 +182,9 @@ def random_holdout(t):
 def expanding_windows(t):
     out = splits.expanding_windows(t.pairs, ["o_orderdate", "o_orderkey"], ["grp"])
     return out.groupBy("grp", "fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("W4_ewma_null_runs", ewma_gaps_sql(0.7, 40, "CASE WHEN event_id % 997 < 400 THEN value END"))
+def ewma_null_runs(t):
+    rows = t.events.select("event_id", "ts", "event_type", F.when(F.col("event_id") % 997 < 400, F.col("value")).alias("value"))
+    return rounded(ordered.ewma(rows, "value", ["ts", "event_id"], 0.7, ["event_type"]).select("event_id", "smoothed"))

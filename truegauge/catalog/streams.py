@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from truegauge.catalog.cleaning import REQUIRED, RULE_SQL, RULES
+from truegauge.catalog.cleaning import FLAGGED_CTE, REQUIRED, RULE_SQL, RULES
 from truegauge.catalog.ingest import scratch
 from truegauge.catalog.modelling import FEATURES, QUICK, pair_rows
-from truegauge.catalog.ordering import ewma_sql
+from truegauge.catalog.ordering import ewma_gaps_sql, ewma_sql
 from truegauge.catalog.registry import COIL_SPEC, DERIVED_CTE, query, rounded, text_time
 from truegauge.operators import features, models, quality
 from truegauge.operators.lookup import attach
+from truegauge.session import materialise
 from truegauge.streaming import queries as streams
 
 ARRIVALS = 3
@@ -30,18 +31,26 @@ def arrive(df, time, path, step):
 EVENTS = ("event_id", "ts", "event_type", "value")
 
 
+def smoothed_stream(t, events, alpha):
+    src, out, state, chk = (scratch(t, n) for n in ("in", "out", "state", "chk"))
+    handler = streams.smoothing_batches("value", ["ts", "event_id"], ["event_type"], alpha, out, state)
+    arrive(events, "ts", src, lambda: streams.run_batches(streams.file_stream(t.spark, src, events.schema), handler, chk))
+    return rounded(t.spark.read.parquet(out).select("event_id", "smoothed"))
+
+
 @query("T1_stateful_ewma", ewma_sql(0.3, 100))
 def stateful_ewma(t):
-    """Keyed state: exact continuation over micro-batches."""
-    src, out, chk = scratch(t, "in"), scratch(t, "out"), scratch(t, "chk")
-    events = t.events.select(*EVENTS)
+    """Exact continuation over micro-batches, from a state of one row per group."""
+    return smoothed_stream(t, t.events.select(*EVENTS), 0.3)
 
-    def step():
-        stream = streams.file_stream(t.spark, src, events.schema)
-        streams.run_available(streams.smoothing_stream(stream, "event_type", ["ts", "event_id"], "value", 0.3), out, chk)
 
-    arrive(events, "ts", src, step)
-    return rounded(t.spark.read.parquet(out).select("event_id", "smoothed"))
+GAPS = "CASE WHEN event_id % 997 < 400 THEN value END"
+
+
+@query("T1_null_runs", ewma_gaps_sql(0.7, 40, GAPS))
+def null_runs(t):
+    """Gaps longer than the memory of the mean, across micro-batches: the last mean stays."""
+    return smoothed_stream(t, t.events.select("event_id", "ts", "event_type", F.expr(GAPS).alias("value")), 0.7)
 
 
 @query("T1_batch_state_ewma", ewma_sql(0.3, 100))
@@ -99,3 +108,20 @@ def stream_flags(t):
 
     arrive(coils, "produce_time", src, step)
     return t.spark.read.parquet(out)
+
+
+@query("T4_stream_flags_with_limits", f"WITH {FLAGGED_CTE} SELECT coil_id, filter_reason FROM flagged")
+def stream_flags_with_limits(t):
+    """Limits measured on history flag stream rows in the words of the batch cleaning."""
+    src, out, chk = scratch(t, "in"), scratch(t, "out"), scratch(t, "chk")
+    coils, rules = t.coils, quality.row_rules(COIL_SPEC, RULES, REQUIRED)
+    good = features.derive(coils, COIL_SPEC).where(quality.reasons(rules) == "")
+    parts = [quality.mad_limits(good, c, RULES).select(F.lit(n).alias("name"), F.lit(c).alias("column"), "centre", "limit") for n, c in (("Top", "top_delta"), ("Bot", "bot_delta"))]
+    limits = materialise(parts[0].unionByName(parts[1]), "limits")
+
+    def step():
+        stream = features.derive(streams.file_stream(t.spark, src, coils.schema), COIL_SPEC)
+        streams.run_available(streams.flag_stream(stream, rules, limits).select("coil_id", "filter_reason"), out, chk)
+
+    arrive(coils, "produce_time", src, step)
+    return t.spark.read.parquet(out)

@@ -113,8 +113,14 @@ def median_ordered(df: DataFrame, category: str, value: str, top: int = 15) -> D
 
 
 def best_per_tag(df: DataFrame, tag: str, order: Sequence[Column]) -> DataFrame:
-    """Whole best row per tag, by partial aggregation rather than by sorting each tag in one task."""
-    rank = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    """Whole best row per tag, by partial aggregation rather than by sorting each tag in one task. NULL and NaN rank last."""
+    keys = []
+    for i, c in enumerate(order):
+        missing = c.isNull()
+        if df.select(c.alias("_c")).schema["_c"].dataType.typeName() in ("double", "float"):
+            missing = missing | F.isnan(c)
+        keys += [missing.alias(f"_m{i}"), c.alias(f"_o{i}")]
+    rank = F.struct(*keys)
     row = F.struct(*df.columns)
     return df.groupBy(tag).agg(F.min_by(row, rank).alias("_row")).select("_row.*")
 

@@ -42,9 +42,11 @@ def equal_width_bins(df: DataFrame, value: str, bins: int, by: Sequence[str] = (
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Left-closed density histogram per group on the common range of the whole table."""
+    """Left-closed density histogram per group on the common range of the whole table; a single value gets half a unit on either side."""
     rows = df.where(F.col(value).isNotNull())
     span = rows.agg(F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"))
+    flat = F.when(F.col("_min") == F.col("_max"), 0.5).otherwise(0.0)
+    span = span.select((F.col("_min") - flat).alias("_min"), (F.col("_max") + flat).alias("_max"))
     width = (F.col("_max") - F.col("_min")) / F.lit(float(bins))
     placed = attach(rows, span).withColumns(
         {"bin": F.least(F.floor((F.col(value) - F.col("_min")) / width), F.lit(bins - 1)).cast("int"), "_w": width}
@@ -77,19 +79,22 @@ def bin_summary(binned: DataFrame, value: str, feature: str | None = None, by: S
 def interpolate(df: DataFrame, x: str, grid: DataFrame, gx: str, gy: str, out: str) -> DataFrame:
     """Piecewise-linear lookup of ``x`` on a grid of any size; clamped outside.
 
-    Rows and grid points are merged in one order and each row inherits the segment that starts at
-    or before it, so neither side is compared with all of the other.
+    The distinct values and the grid points are merged in one order and each value inherits the segment that
+    starts at or before it, so neither side is compared with all of the other; rows then take the result of their
+    value, so a value that many rows share is looked up once. NULL rows stay NULL.
     """
     pts = with_ordinal(grid.where(F.col(gx).isNotNull()).select(F.col(gx).cast("double").alias("x0"), F.col(gy).cast("double").alias("y0")), ["x0"], name="_i")
     nxt = pts.select((F.col("_i") - 1).alias("_i"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     segs = pts.join(nxt, "_i", "left").select(
         F.col("x0").alias("_x"), F.lit(0).alias("_kind"), F.struct("x0", "y0", "x1", "y1").alias("_seg")
     )
-    rows = df.withColumns({"_x": F.col(x).cast("double"), "_kind": F.lit(1)})
+    rows = df.select(F.col(x).cast("double").alias("_x")).where("_x is not null").distinct().withColumn("_kind", F.lit(1))
     merged = rows.unionByName(segs, allowMissingColumns=True)
     filled = forward_fill(merged, ["_x", "_kind"], ["_seg"]).where("_kind = 1")
     first = pts.agg(F.min_by("y0", "x0").alias("_first"))
     s = F.col("_seg")
     inner = s.y0 + (s.y1 - s.y0) * (F.col("_x") - s.x0) / (s.x1 - s.x0)
-    value = F.when(F.col("_x").isNull(), None).when(s.isNull(), F.col("_first")).when(s.x1.isNull(), s.y0).otherwise(inner)
-    return attach(filled, first).withColumn(out, value).select(*df.columns, out)
+    value = F.when(s.isNull(), F.col("_first")).when(s.x1.isNull(), s.y0).otherwise(inner)
+    found = attach(filled, first).select("_x", value.alias("_found"))
+    joined = df.withColumn("_own", F.col(x).cast("double")).join(found, F.col("_own") == F.col("_x"), "left")
+    return joined.select(*[c for c in df.columns if c != out], F.col("_found").alias(out))

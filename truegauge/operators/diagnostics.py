@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -71,10 +73,13 @@ SW_MEAN_SMALL = (0.544, -0.39978, 0.025054, -0.0006714)
 SW_DEV_SMALL = (1.3822, -0.77857, 0.062767, -0.0020322)
 
 
-def shapiro_wilk(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = (), limit: int = 5000) -> DataFrame:
-    """W and p per group of 12..limit rows; larger groups are reported with NULL, as the test is not defined for them."""
+def shapiro_wilk(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """W and p of every group of three rows or more; NULL for smaller and for constant groups.
+
+    ``p_in_range`` tells whether the group has at most 5,000 rows, for which the approximation of p was published.
+    """
     sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    rows = attach(df.where(F.col(value).isNotNull()), sizes, by).where((F.col("n") <= limit) & (F.col("n") >= 4)).drop("n")
+    rows = attach(df.where(F.col(value).isNotNull()), sizes, by).where(F.col("n") >= 3).drop("n")
     placed = numbered(rows.select(*by, *tie, value), [value, *tie], by)
     n, i = F.col("_n").cast("double"), F.col("_i").cast("double") + 1
     scored = placed.withColumn("_m", normal_quantile((i - 0.375) / (n + 0.25)))
@@ -95,20 +100,27 @@ def shapiro_wilk(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str
     )
     nn = F.col("n").cast("double")
     u = 1 / F.sqrt(nn)
-    root = F.sqrt("mm")
+    root = F.nullif(F.sqrt("mm"), F.lit(0.0))
     a1, a2 = polynomial(SW_LAST, u) + F.col("m_last") / root, polynomial(SW_NEXT, u) + F.col("m_prev") / root
     ml, mp = F.col("m_last"), F.col("m_prev")
-    phi = (F.col("mm") - 2 * ml * ml - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
-    fit = a1 * (F.col("x_last") - F.col("x_first")) + a2 * (F.col("x_prev") - F.col("x_second")) + F.coalesce(F.col("mx"), F.lit(0.0)) / F.sqrt(phi)
-    w = F.least(fit * fit / F.col("ss"), F.lit(1.0))
+    # From six rows on the two outer weights are approximated, up to five only the outermost; with three it is exact.
+    a1 = F.when(F.col("n") == 3, F.sqrt(F.lit(0.5))).otherwise(a1)
+    wide = (F.col("mm") - 2 * ml * ml - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
+    narrow = (F.col("mm") - 2 * ml * ml) / (1 - 2 * a1 * a1)
+    ends, mx = a1 * (F.col("x_last") - F.col("x_first")), F.coalesce(F.col("mx"), F.lit(0.0))
+    next_ = F.col("x_prev") - F.col("x_second")
+    fit = F.when(F.col("n") == 3, ends).when(F.col("n") <= 5, ends + (F.coalesce(mp * next_, F.lit(0.0)) + mx) / F.sqrt(narrow)).otherwise(
+        ends + a2 * next_ + mx / F.sqrt(wide)
+    )
+    w = F.when(F.col("ss") > 0, F.least(F.try_divide(fit * fit, F.col("ss")), F.lit(1.0)))
     ln = F.log(nn)
     z_large = (F.log(1 - F.col("w")) - polynomial(SW_MEAN, ln)) / F.exp(polynomial(SW_DEV, ln))
     small = -F.log(F.lit(-2.273) + 0.459 * nn - F.log(1 - F.col("w")))
     z_small = (small - polynomial(SW_MEAN_SMALL, nn)) / F.exp(polynomial(SW_DEV_SMALL, nn))
-    tested = agg.where(F.col("n") > 5).withColumn("w", w).select(
-        *by, "w", normal_tail(F.when(F.col("n") > 11, z_large).otherwise(z_small)).alias("w_p")
-    )
-    return attach(sizes, tested, by)
+    exact = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75)))), F.lit(0.0))
+    p = F.when(F.col("n") == 3, exact).otherwise(normal_tail(F.when(F.col("w") < 1, F.when(F.col("n") > 11, z_large).otherwise(z_small))))
+    tested = agg.withColumn("w", w).select(*by, "w", F.when(F.col("w") >= 1, 1.0).otherwise(p).alias("w_p"))
+    return attach(sizes, tested, by).withColumn("p_in_range", F.col("n") <= 5000)
 
 
 # --- variance analysis ---------------------------------------------------------------------------
@@ -154,7 +166,8 @@ def levene(df: DataFrame, group: str, value: str, by: Sequence[str] = (), min_pe
 
 def heteroscedasticity(df: DataFrame, prediction: str, residual: str, bins: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """Levene's test over equal-frequency bins of the prediction."""
-    return levene(quantile_bins(df.select(*by, prediction, residual), prediction, bins, by), "bin", residual, by)
+    rows = materialise(df.select(*by, prediction, residual), "residuals")
+    return levene(materialise(quantile_bins(rows, prediction, bins, by).select(*by, "bin", residual), "binned"), "bin", residual, by)
 
 
 def feature_tests(
@@ -162,6 +175,7 @@ def feature_tests(
 ) -> DataFrame:
     """F test of the residual over bins (numeric) or categories of every feature, most significant first."""
     parts = []
+    df = materialise(df.select(residual, *[c for c in dict.fromkeys([*numeric, *categorical]) if c != residual]), "features")
     if numeric:
         long = df.select(F.col(residual).alias("_r"), *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             ["_r"], list(numeric), "feature", "_x"

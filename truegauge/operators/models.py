@@ -305,25 +305,38 @@ def fit_staged(
 # --- monotone rearrangement ---------------------------------------------------------------------------
 
 
+def feature_range(df: DataFrame, feature: str) -> tuple[float, float] | None:
+    """(low, high) of a feature, to be kept with a model; None without values."""
+    low, high = df.agg(F.min(feature).cast("double"), F.max(feature).cast("double")).first()
+    return None if low is None else (low, high)
+
+
 def monotone_scores(
-    df: DataFrame, predict: Callable[[DataFrame], DataFrame], feature: str, key: Sequence[str], points: int = 16, decreasing: bool = True
+    df: DataFrame, predict: Callable[[DataFrame], DataFrame], feature: str, key: Sequence[str], points: int = 16, decreasing: bool = True,
+    span: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Predictions forced monotone in one feature.
 
-    Each row is scored on a fixed grid of that feature (equally spaced over its range), the grid
-    predictions are sorted, and the row's own value is interpolated on the sorted curve.
-    """
-    span = df.agg(F.min(feature).cast("double").alias("_lo"), F.max(feature).cast("double").alias("_hi"))
-    grid = F.sequence(F.lit(0), F.lit(points - 1))
-    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_g") / F.lit(float(points - 1))
-    spread = attach(df, span).withColumn("_own", F.col(feature).cast("double")).withColumn("_g", F.explode(grid)).withColumn(feature, at)
-    scored = predict(spread)
-    curve = scored.groupBy(*key).agg(
-        F.sort_array(F.collect_list("predicted_delta"), asc=not decreasing).alias("_c"),
-        F.first("_own").alias("_own"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-    pos = F.when(F.col("_hi") > F.col("_lo"), (F.col("_own") - F.col("_lo")) / width).otherwise(0.0)
-    low = F.least(F.floor(pos), F.lit(points - 2)).cast("int")
-    a, b = F.element_at("_c", low + 1), F.element_at("_c", low + 2)
-    return curve.select(*key, F.col("_own").alias(feature), (a + (b - a) * (pos - low)).alias("predicted_delta"))
+    Each row is scored on a fixed grid of that feature, equally spaced over ``span``, the range of the training rows (of ``df`` if it isn't
+    given). The grid predictions are sorted, and the row's own value, brought into the range, is interpolated on the sorted curve. The
+    grid is a set of columns of the same row: no shuffle. Rows without the feature get the plain prediction.
+    """
+    span = span or feature_range(df, feature)
+    own, kept = f"_own_{feature}", list(df.columns)
+    rows = predict(df.withColumn(own, F.col(feature).cast("double"))).select(*kept, own, F.col("predicted_delta").alias("_plain"))
+    if span is None:
+        return rows.select(*key, F.col(own).alias(feature), F.col("_plain").alias("predicted_delta"))
+    low, high = span
+    made = []
+    for g in range(points):
+        at = rows.withColumn(feature, F.lit(low + (high - low) * g / (points - 1)))
+        made.append(f"_g{g}")
+        rows = predict(at).select(*kept, own, "_plain", *made[:-1], F.col("predicted_delta").alias(made[-1]))
+    curve = F.sort_array(F.array(*made), asc=not decreasing)
+    width = (high - low) / (points - 1)
+    inside = F.greatest(F.lit(low), F.least(F.lit(high), F.col(own)))
+    pos = (inside - low) / width if width else F.lit(0.0)
+    first = F.least(F.floor(pos), F.lit(points - 2)).cast("int")
+    a, b = F.element_at(curve, first + 1), F.element_at(curve, first + 2)
+    value = F.when(F.col(own).isNull(), F.col("_plain")).otherwise(a + (b - a) * (pos - first))
+    return rows.select(*key, F.col(own).alias(feature), value.alias("predicted_delta"))

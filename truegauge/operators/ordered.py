@@ -288,7 +288,8 @@ def ewma(
     length chosen to keep the weights in double range. ``seed`` names a column holding, per group, one
     earlier smoothed value that counts as a single observation before the first row; with
     ``seed_weight`` it counts with that weight, which continues an earlier series exactly when the
-    weight is the one ``weight_out`` reported for its last row.
+    weight is the one ``weight_out`` reported for its last row. A NULL row takes the value of the last row
+    that has one, however far back it is (the mean doesn't change while weights only decay), else the seed.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
@@ -307,6 +308,7 @@ def ewma(
     placed = in_blocks(numbered, name, back, 0, block).withColumn("_pos", (F.col(name) - first).cast("double"))
     frame = Window.partitionBy(*by, "_blk").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
     grow, fade = F.pow(b, -F.col("_pos")), F.pow(b, F.col("_pos"))
+    sparse = not numbered.where(x.isNull()).isEmpty()
     local = placed.withColumns(
         {
             "_num": fade * F.sum(F.coalesce(x, F.lit(0.0)) * grow).over(frame),
@@ -319,8 +321,23 @@ def ewma(
         mass = F.coalesce(F.col(seed_weight), F.lit(0.0)) if seed_weight else F.lit(1.0)
         num = num + F.coalesce(F.col(seed), F.lit(0.0)) * mass * age
         den = den + F.col(seed).isNotNull().cast("double") * mass * age
+    mean = F.try_divide(num, F.nullif(den, F.lit(0.0)))
+    if sparse:
+        # The last present value of a block reaches its later NULL rows by a window, those of later blocks by a fill over block ends.
+        keep = dict.fromkeys([*df.columns, *by, name, "_blk"])
+        local = materialise(local.select(*keep, mean.alias("_mean"), den.alias("_mass_at")), "ewma")
+        seen = F.when(F.col(value).isNotNull(), F.struct(F.col("_mean"), F.col("_mass_at"), F.col(name).alias("_at")))
+        ends = local.groupBy(*by, "_blk").agg(F.max_by(seen, F.when(F.col(value).isNotNull(), F.col(name))).alias("_end"))
+        # What a block starts from is the end of the block before it, or what that one started from.
+        ends = ends.withColumn("_blk", F.col("_blk") + 1)
+        starts = forward_fill(ends.unionByName(local.groupBy(*by, "_blk").agg(F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"))).groupBy(*by, "_blk").agg(F.max("_end").alias("_end")), ["_blk"], ["_end"], by)
+        within = F.last(seen, ignorenulls=True).over(frame)
+        local = attach(local.withColumn("_seen", within), starts.withColumnRenamed("_end", "_before"), [*by, "_blk"])
+        kept = F.coalesce("_seen", "_before")
+        mean = F.coalesce(kept["_mean"], *([F.col(seed).cast("double")] if seed else []))
+        den = F.coalesce(kept["_mass_at"] * F.pow(b, (F.col(name) - kept["_at"]).cast("double")), F.col("_mass_at"))
     return local.select(
         *df.columns,
-        F.try_divide(num, F.nullif(den, F.lit(0.0))).alias(out),
+        mean.alias(out),
         *([den.alias(weight_out)] if weight_out else []),
     )

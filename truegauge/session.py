@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders of local applications that named none, by application id.
+_FOLDERS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
@@ -19,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="truegauge-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = tempfile.mkdtemp(prefix="truegauge-")
+    return _FOLDERS[app]
 
 
 def prepare(spark: SparkSession) -> SparkSession:

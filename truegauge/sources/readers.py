@@ -34,26 +34,37 @@ def allow_java_charsets(spark: SparkSession) -> None:
 
 
 def lab_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "utf-8", fallback: str = "gbk") -> DataFrame:
-    """CSV with a declared schema. A bounded probe of the header decides the encoding."""
+    """CSV with a declared schema. A file that can't be read in ``encoding`` anywhere is read in ``fallback``, each file by itself.
+
+    One pass over all lines finds the files with a malformed character; only their names come to the driver.
+    """
     allow_java_charsets(spark)
-    chosen = encoding
-    head = spark.read.option("encoding", encoding).csv(path).limit(1).collect()
-    if head and any("�" in (v or "") for v in head[0]):
-        chosen = fallback
-    return spark.read.csv(path, schema=schema, header=True, encoding=chosen, enforceSchema=True)
+    read = lambda paths, code: spark.read.csv(paths, schema=schema, header=True, encoding=code, enforceSchema=True)
+    lines = spark.read.schema("line string").option("encoding", encoding).option("sep", "\x01").option("quote", "\x02").csv(path)
+    lines = lines.select("line", F.col("_metadata.file_path").alias("file"))
+    bad = {r["file"] for r in lines.where(F.col("line").contains("\ufffd")).select("file").distinct().collect()}
+    if not bad:
+        return read(path, encoding)
+    good = [r["file"] for r in lines.select("file").distinct().collect() if r["file"] not in bad]
+    other = read(sorted(bad), fallback)
+    return read(sorted(good), encoding).unionByName(other) if good else other
 
 
 def offset_header_csv(spark: SparkSession, path: str, names: Sequence[str], skip: int, **options) -> DataFrame:
-    """All-text CSV whose names sit ``skip`` lines below the top of each file; names are stripped."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.csv(path, schema=schema, header=skip == 0, **options)
+    """All-text CSV whose names sit ``skip`` lines below the top of each file; names are stripped.
+
+    Lines are told by their place, never by what they hold: everything up to the header line goes, all behind it stays but for empty
+    lines. The place of a line is its block's offset in the file and the line's number in that block, so files may be split.
+    """
     clean = [n.strip() for n in names]
-    if skip:
-        heading = F.lit(False)
-        for i, n in enumerate(clean):
-            heading = heading | (F.trim(F.col(f"_c{i}")) == n)
-        raw = raw.where(~F.coalesce(heading, F.lit(False))).na.drop("all")
-    return raw.toDF(*clean)
+    lines = spark.read.option("wholetext", "false").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")
+    )
+    # The first lines of a file are the first ones of its first block; ``skip`` and the header itself are few.
+    top = lines.where("_block = 0").groupBy("_file").agg(F.min("_line").alias("_top"))
+    body = lines.join(top, "_file").where((F.col("_block") > 0) | (F.col("_line") > F.col("_top") + skip)).where(F.length(F.trim("value")) > 0)
+    schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+    return body.select(F.from_csv("value", F.lit(schema), {k: str(v) for k, v in options.items()}).alias("r")).select("r.*").toDF(*clean)
 
 
 def patch_names(df: DataFrame, patch: dict[str, str]) -> DataFrame:

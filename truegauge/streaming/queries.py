@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from truegauge.operators.incidence import rate_columns
 from truegauge.operators.ordered import ewma
@@ -19,9 +15,6 @@ from truegauge.operators.quality import reasons
 from truegauge.operators.lookup import attach
 from truegauge.session import materialise
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
@@ -51,85 +44,19 @@ def incidence_stream(events: DataFrame, ts: str, low: Column, width: str = "1 da
 
 def flag_stream(rows: DataFrame, rules: dict[str, Column], limits: DataFrame | None = None) -> DataFrame:
     """Row rules on a stream. Residual limits measured on history may be joined in:
-    ``limits(column, centre, limit)`` with one row per delta column."""
+    ``limits(name, column, centre, limit)`` with one row per surface and its delta column."""
     flagged = rows.withColumn("filter_reason", reasons(rules))
     if limits is None:
         return flagged
+    # Only rows that pass all rules are held against the limits, and a row beyond several of them names each.
+    far = {}
     for r in limits.collect():  # one row per surface
         c = r["column"]
-        far = (F.col("filter_reason") == "") & F.coalesce(F.abs(F.col(c) - F.lit(r["centre"])) > F.lit(r["limit"]), F.lit(False))
-        flagged = flagged.withColumn("filter_reason", F.when(far, F.lit(f"{c} residual outlier")).otherwise(F.col("filter_reason")))
-    return flagged
-
-
-# --- smoothing: keyed state --------------------------------------------------------------------------
-
-
-class SmoothingState(StatefulProcessor):
-    """Per-group weighted sum and weight. ``restart`` keeps only the last smoothed value, which then
-    counts as one observation before the next micro-batch.
-
-    A group's rows of one micro-batch are sorted in memory, so ``max_rows`` bounds them: set the
-    source's rate limit below it, or use :func:`smoothing_batches`, which has no such bound.
-    """
-
-    def __init__(
-        self, alpha: float, group: str, order: Sequence[str], value: str, mode: str = "exact", max_rows: int = 5_000_000
-    ):
-        self.alpha, self.group, self.order, self.value = alpha, group, list(order), value
-        self.mode, self.max_rows = mode, max_rows
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
-        self.state = handle.getValueState("smoothing", schema)
-
-    def handleInputRows(self, key, rows, timerValues):
-        parts, count = [], 0
-        for part in rows:
-            parts.append(part)
-            count += len(part)
-            if count > self.max_rows:
-                raise ValueError(f"more than {self.max_rows} rows of one group in a micro-batch: lower the source's rate limit")
-        pdf = pd.concat(parts).sort_values(self.order, kind="stable")
-        num, den = self.state.get() if self.state.exists() else (0.0, 0.0)
-        x = pdf[self.value].to_numpy(dtype="float64")
-        present = ~np.isnan(x)
-        keep = 1.0 - self.alpha
-        span = len(x) if keep == 0 else max(1, min(len(x), int(600 / -math.log(keep))))
-        out = np.empty(len(x))
-        for lo in range(0, len(x), span):
-            seen, v = present[lo : lo + span], np.nan_to_num(x[lo : lo + span])
-            if keep == 0:
-                nums, dens = v, seen.astype("float64")
-            else:
-                pos = np.arange(len(v), dtype="float64")
-                fade, grow = keep**pos, keep**-pos
-                nums = fade * np.cumsum(v * grow) + num * fade * keep
-                dens = fade * np.cumsum(seen * grow) + den * fade * keep
-            out[lo : lo + span] = np.divide(nums, dens, out=np.full(len(v), np.nan), where=dens > 0)
-            num, den = float(nums[-1]), float(dens[-1])
-        if self.mode == "restart" and den:
-            num, den = num / den, 1.0
-        self.state.update((num, den))
-        yield pd.DataFrame({self.group: pdf[self.group], **{c: pdf[c] for c in self.order}, "smoothed": out})
-
-    def close(self) -> None:
-        pass
-
-
-def smoothing_stream(rows: DataFrame, group: str, order: Sequence[str], value: str, alpha: float, mode: str = "exact") -> DataFrame:
-    """Stateful EWMA per group for streams with bounded micro-batches (set the source's rate limit)."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([fields[c] for c in [group, *order]] + [T.StructField("smoothed", T.DoubleType())])
-    return (
-        rows.select(group, *order, value)
-        .groupBy(group)
-        .transformWithStateInPandas(SmoothingState(alpha, group, order, value, mode), schema, "Append", "none")
-    )
+        far[f"{r['name']} residual outlier"] = F.coalesce(F.abs(F.col(c) - F.lit(r["centre"])) > F.lit(r["limit"]), F.lit(False))
+    return flagged.withColumn("filter_reason", F.when(F.col("filter_reason") == "", reasons(far)).otherwise(F.col("filter_reason")))
 
 
-# --- smoothing: state table, no group in one task ------------------------------------------------------
+# --- smoothing with a state table, no group in one task ------------------------------------------------------
 
 
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
@@ -155,6 +82,8 @@ def smoothing_batches(
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         before = _read_if_there(batch.sparkSession, f"{state}/batch={batch_id - 1}")
+        if before is None and batch_id > 0:
+            raise FileNotFoundError(f"state of batch {batch_id - 1} is missing in {state}: smoothing can't go on from it")
         seeds = {}
         if before is not None:
             rows = attach(rows, before, by)
