@@ -48,6 +48,15 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows (of a few numbers each) up to which a written table is broadcast, some 30 MB.
+SMALL_ROWS = 400_000
+
+
+def small(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``SMALL_ROWS`` rows; else it is joined by shuffling."""
+    return F.broadcast(written) if written.count() <= SMALL_ROWS else written
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (constants of a public hash)."""
     x = x ^ (x >> np.uint64(33))

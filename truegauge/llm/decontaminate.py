@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import WordHasher, bind, bitmap_of, in_bitmap, mix, ready, run_shingles, text_slices
+from truegauge.llm.common import WordHasher, bind, bitmap_of, in_bitmap, mix, ready, run_shingles, small, text_slices
 from truegauge.session import materialise
 
 #: log2 of the bits of the bitmap of all item minima (8 MB); more items than it can tell apart only mean more candidates.
@@ -147,5 +147,5 @@ def find_items(
 def without_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Rows of ``docs`` in which no item is found (arguments as for :func:`find_items`); NULL and empty texts stay."""
     found = find_items(docs, items, key, text, **how).select(F.col("doc_id").alias("_key"), F.col("same").alias("_same")).distinct()
-    found = materialise(found, "leaks")
+    found = small(materialise(found, "leaks"))
     return docs.join(found, F.col(key).eqNullSafe(found["_key"]) & (F.md5(F.col(text).cast("string")) == found["_same"]), "left_anti")
