@@ -232,46 +232,49 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def block_links(nodes, labels, levels, prefixes, sets, sizes, sides, percent: int) -> list[tuple[int, int]]:
-    """Links of one block between documents of different classes, at most one for each document.
-
-    A pair has to share as many tokens of its lengthened prefixes as the smaller of its two levels asks for; then the whole sets
-    are compared. ``sides`` are 0 or 1 when only pairs across the two chunks belong to this block, all 0 when it is one chunk.
+def block_pairs(labels, levels, prefixes, sizes, sides, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block whose classes differ, whose sizes allow a link, and whose lengthened prefixes share as many tokens as the smaller of the two
+    levels asks for. ``sides`` are 0 or 1 when only pairs across the two chunks belong to this block, all 0 when it is one chunk.
     """
-    m = len(nodes)
-    sizes = np.asarray(sizes)
+    labels, sides, sizes = np.asarray(labels), np.asarray(sides), np.asarray(sizes)
     least = _least(sizes, percent)
     level = np.minimum(np.asarray(levels), np.maximum(least, 1))
-    a, b = np.triu_indices(m, 1)
-    labels, sides = np.asarray(labels), np.asarray(sides)
+    a, b = np.triu_indices(len(sizes), 1)
     fit = (labels[a] != labels[b]) & ((sides[a] != sides[b]) | (not sides.any()))
     fit &= 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
     a, b = a[fit], b[fit]
-    if not len(a):
-        return []
     need = np.minimum(level[a], level[b])
     match = np.zeros(len(a), dtype=np.int64)
     for want in np.unique(need):
         at = need == want
         shared = _overlaps([p[: n - s + want] for p, n, s in zip(prefixes, sizes, least)])
         match[at] = shared[a[at], b[at]]
-    a, b = a[match >= need], b[match >= need]
+    return a[match >= need], b[match >= need]
+
+
+def block_links(nodes, labels, levels, prefixes, sets, sides, percent: int) -> list[tuple[int, int]]:
+    """Links of one block between documents of different classes, at most one for each document."""
+    sizes = np.array([len(s) for s in sets])
+    a, b = block_pairs(labels, levels, prefixes, sizes, sides, percent)
     if not len(a):
         return []
-    both = _overlaps(sets)[a, b] if len(a) > m else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
+    both = _overlaps(sets)[a, b] if len(a) > len(sets) else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
     linked = 100 * both >= percent * (sizes[a] + sizes[b] - both)
-    return [(nodes[x], nodes[y]) for x, y in _forest(a[linked], b[linked], m)]
+    return [(nodes[x], nodes[y]) for x, y in _forest(a[linked], b[linked], len(sets))]
 
 
-def _blocks(percent: int):
-    """Rows sorted by block (token, low, high) to links; one block is held at a time."""
+def _blocks(percent: int, whole: bool):
+    """Rows sorted by block (token, low, high); one block is held at a time. With whole sets the block's links, else (token, node) of the
+    members that have a matching partner in it."""
 
     def one(rows):
         cols = list(zip(*rows))
-        sets = [_unpack(x) for x in cols[8]]
         prefixes = [np.asarray(x, dtype=np.int64) for x in cols[7]]
         sides = [int(low != high and chunk == high) for low, high, chunk in zip(cols[1], cols[2], cols[3])]
-        return block_links(cols[4], cols[5], cols[6], prefixes, sets, [len(s) for s in sets], sides, percent)
+        if whole:
+            return block_links(cols[4], cols[5], cols[6], prefixes, [_unpack(x) for x in cols[8]], sides, percent)
+        a, b = block_pairs(cols[5], cols[6], prefixes, cols[8], sides, percent)
+        return [(cols[0][i], cols[4][i]) for i in np.unique(np.concatenate((a, b)))]
 
     def run(batches):
         key, held = None, []
@@ -404,16 +407,25 @@ def _matching(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links among members of different classes of long lists, found in blocks of bounded size."""
-    docs = _fetch(sets, left.select("rid").distinct()).join(known.select("rid", "prefix", "level"), "rid")
-    chunks = F.ceil(F.col("c") / CHUNK).cast("long")
-    dealt = left.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    blocks = dealt.join(docs, "rid").select(
-        "token", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rid", "label", "level", "prefix", "tokens"
-    )
+    """Links among members of different classes of long lists, found in blocks of bounded size.
+
+    A first pass over prefixes tells which members have a matching partner at all; only these bring their whole sets to the second.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = blocks.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_blocks(percent), "a long, b long")
-    return materialise(links, "links")
+
+    def in_blocks(members: DataFrame, docs: DataFrame, last: str, whole: bool) -> DataFrame:
+        chunks = F.ceil(F.col("c") / CHUNK).cast("long")
+        dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+        rows = dealt.join(docs, "rid").select("token", low, high, "chunk", "rid", "label", "level", "prefix", last)
+        rows = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+        return rows.mapInArrow(_blocks(percent, whole), "a long, b long")
+
+    short = known.select("rid", "prefix", "level", "n")
+    met = in_blocks(left, short, "n", False).distinct().select(F.col("a").alias("token"), F.col("b").alias("rid"))
+    near = materialise(left.join(met, ["token", "rid"]), "near")
+    docs = _fetch(sets, near.select("rid").distinct()).join(short, "rid")
+    return materialise(in_blocks(near, docs, "tokens", True), "links")
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
