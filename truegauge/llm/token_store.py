@@ -33,7 +33,7 @@ END = 1
 MARK = "\x01"
 #: Keys that an index part is sized for, words kept encoded in a task, and bytes of text that are encoded at once.
 PART_KEYS = 200_000
-CACHED_WORDS = 150_000
+CACHED_WORDS = 600_000
 ENCODE_BYTES = 1 << 20
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
