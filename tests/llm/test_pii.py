@@ -71,6 +71,20 @@ def test_redaction(spark):
     assert got == [(1, "é mail [EMAIL] or [PHONE]!", "m", 26), (2, None, "m", None), (3, "nothing", None, 7), (4, "ip [IP]", "m", 7)]
 
 
+def test_long_secrets(spark):
+    """A token goes whole, however long, also around what looks like a card number."""
+    token = lambda n: ("eyJ0eXAi.Qx7_-/+" * (n // 16 + 1))[:n]
+    values = [token(12), token(200), token(201), token(500), token(5000), token(300) + "x4111111111111111y" + token(300)]
+    texts = [f"set token={v} now" for v in values] + ["token: " + token(500) + "' and secret=\"" + token(5000) + '"']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in report(docs).collect()}
+    assert [spans[i] for i in range(5)] == [f"secret:4:{10 + len(v)}" for v in values[:5]]
+    assert spans[6] == f"secret:0:508,secret:513:{513 + 8 + 5000 + 1}"
+    assert spans[5].startswith("card:")
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert [clean[i] for i in range(6)] == ["set [SECRET] now"] * 6 and clean[6] == "[SECRET] and [SECRET]"
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert report(none).collect() == [] and redact(none).collect() == []

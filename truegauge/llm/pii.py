@@ -43,7 +43,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.6, "iban|bank|account|konto"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.3, r"social security|\bssn\b|taxpayer"),
     Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", "[0-9]{4}", 0.3, r"phone|mobile|\bcell|\btel\b|call|fax|whatsapp"),
-    Kind("secret", r"(?i)(?<![A-Za-z0-9_])(?:token|secret|api[_-]?key|access[_-]?key|password|passwd)\x22?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{12,200}[\x22']?", "[=:]", 0.5, "secret|private|credential"),
+    Kind("secret", r"(?i)(?<![A-Za-z0-9_])(?:token|secret|api[_-]?key|access[_-]?key|password|passwd)\x22?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{12,}+[\x22']?", "[=:]", 0.5, "secret|private|credential"),
 )
 
 
@@ -129,12 +129,22 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     NULL and empty texts have empty arrays. NULL keys and repeated rows pass through, other columns are left out. Rows are handled alone, no shuffle.
     """
+    return _found(docs, key, text)
+
+
+def _found(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
+    """Rows of ``find``; with ``whole``, ``more`` also has the secrets that hold or touch a base span, such as a card number inside a token."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     base = [k for k in KINDS if k.base]
     rows = rows.select("doc_id", "_t", *[spans_of(F.col("_t"), k).alias(k.name) for k in base])
     clear = lambda s: ~F.exists(F.concat(*[F.col(k.name) for k in base]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = [F.filter(spans_of(F.col("_t"), k), lambda s: (s["score"] >= ACCEPTED) & clear(s)) for k in KINDS if not k.base]
+
+    def accepted(k: Kind) -> Column:
+        free = whole and k.name == "secret"
+        return F.filter(spans_of(F.col("_t"), k), lambda s: (s["score"] >= ACCEPTED) & (F.lit(True) if free else clear(s)))
+
+    more = [accepted(k) for k in KINDS if not k.base]
     return rows.select("doc_id", "_t", *[k.name for k in base], F.concat(*more).alias("more"))
 
 
@@ -153,9 +163,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span replaced by its kind in square brackets; overlapping spans become one. ``length``, if there is such a column, is set anew."""
+    """``docs`` with every span replaced by its kind in square brackets; overlapping spans become one, and a secret goes whole even around a base span. ``length``, if there is such a column, is set anew."""
     out = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).cast("string").alias("_text"))
-    found = find(out.withColumn("_key", F.col("_row")), "_key", "_text")
+    found = _found(out.withColumn("_key", F.col("_row")), "_key", "_text", whole=True)
     spans = F.array_sort(F.transform(F.concat(*[F.col(k.name) for k in KINDS if k.base], F.col("more")), lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def step(a, s):
