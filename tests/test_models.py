@@ -100,6 +100,22 @@ def test_store_score_and_missing_feature(spark, rows, tmp_path):
         calibrate.score_batch(new.drop("speed"), path, roles, "grade", 0.5)
 
 
+def test_saved_state_of_a_null_group(spark, rows, tmp_path):
+    """One state row per group after every batch, NULL included; no row comes back twice."""
+    path = str(tmp_path / "model")
+    roles = calibrate.TrainingRoles("truth", "online", "delta", ("online", "speed", "grade_encoded"), ("t",), ("g", "line"))
+    rows = rows.withColumn("g", F.when(F.col("g") != rows.agg(F.min("g")).first()[0], F.col("g"))).withColumn("line", F.lit(None).cast("string"))
+    calibrate.train_and_save(rows.where("role = 'train'"), roles, QUICK, "grade", path, "huber")
+    groups = rows.select("g").distinct().count()
+    new = rows.where("role = 'test'").drop("truth", "delta")
+    for k in range(4):
+        batch = new.where(F.col("t") % 4 == k)
+        out = calibrate.score_batch(batch, path, roles, "grade", 0.5, warm_start=True, save_state=True)
+        assert out.count() == batch.count()
+        state = spark.read.parquet(f"{path}/state")
+        assert state.count() == state.select("g").distinct().count() == groups and state.where("g is null").count() == 1
+
+
 def test_expanding_evaluation_reports_every_fold(rows):
     roles = calibrate.TrainingRoles("truth", "online", "delta", ("online", "speed"), ("t",))
     out = calibrate.expanding_evaluation(rows.drop("role"), roles, QUICK).collect()
@@ -128,6 +144,22 @@ def test_restart_stream_counts_the_last_value_once(spark, tmp_path):
     np.testing.assert_allclose(got, want, atol=1e-12)
 
 
+def test_null_group_keeps_one_state(spark, tmp_path):
+    df = spark.createDataFrame([(None if t % 3 else "a" if t < 10 or t >= 20 else "b", t, float(t * t % 7)) for t in range(40)], "g string, t long, v double")
+    src, out, state, chk = (str(tmp_path / n) for n in ("in", "out", "state", "chk"))
+    handler = streams.smoothing_batches("v", ["t"], ["g"], 0.4, out, state)
+    for k, lo in enumerate((0, 10, 20, 30)):
+        df.where((F.col("t") >= lo) & (F.col("t") < lo + 10)).write.mode("append").parquet(src)
+        streams.run_batches(streams.file_stream(spark, src, df.schema), handler, chk)
+        kept = spark.read.parquet(f"{state}/batch={k}")
+        assert kept.count() == kept.select("g").distinct().count() and kept.where("g is null").count() == 1
+    got = spark.read.parquet(out).toPandas().sort_values("t")
+    pdf = df.toPandas().sort_values("t")
+    want = pdf.groupby("g", dropna=False).v.transform(lambda s: s.ewm(alpha=0.4).mean())
+    assert got.t.tolist() == list(range(40))
+    np.testing.assert_allclose(got.smoothed.to_numpy(), want, atol=1e-12)
+
+
 def test_late_groups_keep_their_state(spark, tmp_path):
     df = spark.createDataFrame([("a" if t < 10 or t >= 20 else "b", t, float(t)) for t in range(30)], "g string, t long, v double")
     src, out, state, chk = (str(tmp_path / n) for n in ("in", "out", "state", "chk"))

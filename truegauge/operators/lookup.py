@@ -22,3 +22,11 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
         return df.join(right, cond, "left").drop(*keys.values())
     packed = stats.select(F.struct(*fresh).alias("_s")).scalar()
     return df.withColumn("_s", packed).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in fresh])
+
+
+def absent(stats: DataFrame, present: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of ``stats`` whose group has no row in ``present``; NULL is a group like any other, as in ``attach``."""
+    keys = {c: f"_k_{c}" for c in by}
+    right = present.select(*by).withColumnsRenamed(keys)
+    cond = [stats[c].eqNullSafe(right[keys[c]]) for c in by]
+    return stats.join(right, cond, "left_anti")

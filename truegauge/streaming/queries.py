@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from truegauge.operators.incidence import rate_columns
 from truegauge.operators.ordered import ewma
 from truegauge.operators.quality import reasons
-from truegauge.operators.lookup import attach
+from truegauge.operators.lookup import absent, attach
 from truegauge.session import materialise
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
@@ -92,7 +92,7 @@ def smoothing_batches(
         rank = F.struct(*order)
         after = smooth.groupBy(*by).agg(F.max_by("smoothed", rank).alias("_last"), F.max_by("_den", rank).alias("_mass"))
         if before is not None:  # groups absent from this batch keep their state
-            after = after.unionByName(before.join(after.select(*by), by, "left_anti"))
+            after = after.unionByName(absent(before, after, by))
         after.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
         smooth.drop("_last", "_mass", "_den").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
