@@ -31,6 +31,29 @@ def test_pages(page, want):
     assert article(page, TREE) == want
 
 
+LONG = f"<h1>Head line</h1><p>{P} {P}</p><p>{P}</p>"
+READ = f"Head line\n{P} {P}\n{P}"
+
+
+@pytest.mark.parametrize("page,want", [
+    *[(f"<body><div class='page {c}'><main><article>{LONG}</article></main></div>", READ) for c in ("has-sidebar", "with-sidebar", "no-sidebar", "social-on", "share-enabled", "comments-open")],
+    (f"<div class='has-sidebar'><article>{LONG}</article></div>", READ),
+    (f"<section class='has-sidebar'><div class='social-on'><main>{LONG}</main></div></section>", READ),
+    (f"<main class='has-sidebar'><article>{LONG}</article></main>", READ),
+    (f"<main><div class='has-sidebar'><article>{LONG}</article></div></main>", READ),
+    (f"<div class='has-sidebar'><nav><a href=x>{P}</a></nav><main><article>{LONG}<aside>{P}</aside></article></main><div>{P}</div><footer>{P}</footer></div>", READ),
+    # Articles that a tag speaks against, comments and teasers stay out.
+    (f"<article>{LONG}</article><aside class='x'><article><p>{P}</p></article></aside><footer><main>{P}</main></footer>", READ),
+    (f"<nav><article>{LONG}</article></nav><form><main>{LONG}</main></form>", ""),
+    (f"<article>{LONG}</article><div id='comments'><article class='comment-body'><p>{P}</p></article></div><section class='related'><article><p>{P}</p></article></section>", READ),
+    (f"<div class='has-sidebar'><main><article>{LONG}<div class='comments'><article><p>{LONG * 3}</p></article></div></article><div class='comments'><article><p>{P}</p></article></div></main></div>", READ),
+    (f"<div class='has-sidebar'><article>{LONG}</article><div class='comments'><article><p>{P}</p></article><article><p>{P}</p></article></div></div>", READ),
+    (f"<div class='entry-content'>{LONG}</div><div id='comments'><article><p>{P}</p></article></div>", READ),
+])
+def test_wrappers(page, want):
+    assert article(page, TREE) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-ap b='\"&;[]x", max_size=80))
 def test_never_fails(page):

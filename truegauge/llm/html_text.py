@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +105,14 @@ def _stance(name: str, attributes: str, around: int) -> int:
 def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
     """(text, words in links, stance, heading) of every non-empty block of a page, in order."""
     out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple] = []
+    marks: list[tuple[int, int | None]] = []
+    claims: list[int] = []
     pieces: list[str] = []
     linked, link, heading, at = 0, 0, 0, 0
     stance = 0
+    #: Containers around whose names alone speak against their text, whether a tag does, the claim and whether an article is around.
+    doubt, hard, claim, told = 0, False, None, False
 
     def flush():
         nonlocal linked
@@ -115,6 +120,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             text = " ".join("".join(pieces).split())
             if text:
                 out.append((text, linked, stance, heading))
+                marks.append((doubt, claim))
             pieces.clear()
         linked = 0
 
@@ -156,19 +162,49 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             if not closing:
                 around = stance
                 own = _stance(name, attributes, around)
-                stack.append((name, around))
-                # What speaks against a text holds for all inside.
-                stance = -1 if around == -1 and name not in ("body",) else own or around
+                stack.append((name, around, doubt, hard, claim, told))
+                if around == -1 and own == 1 and name in FOR and not hard and not (told and name == "article"):
+                    # A name such as has-sidebar may stand on a wrapper: main and article inside speak for themselves.
+                    stance = 1
+                    if name == "article":
+                        claim = len(claims)
+                        claims.append(doubt)
+                else:
+                    # Else what speaks against a text holds for all inside.
+                    stance = -1 if around == -1 and name not in ("body",) else own or around
+                    if own == -1:
+                        by_tag = name in AGAINST or name == "header"
+                        doubt, hard = doubt + (not by_tag), hard or by_tag
+                told = told or name == "article" and stance == 1
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        stance = stack[i][1]
+                        _, stance, doubt, hard, claim, told = stack[i]
                         del stack[i:]
                         break
     rest = page[at:]
     take(rest if not re.match(r"<[a-zA-Z/!]", rest) else "")
     flush()
-    return out
+    return _settle(out, marks, claims) if claims else out
+
+
+def _settle(blocks: list[tuple[str, int, int, int]], marks: list[tuple[int, int | None]], claims: list[int]) -> list[tuple[str, int, int, int]]:
+    """Articles inside containers whose names speak against them (comments and teasers are often articles) lose against more words in less doubtful places."""
+    words = [len(b[0].split()) - b[1] for b in blocks]
+    stances = [b[2] for b in blocks]
+    levels, own = defaultdict(int), defaultdict(int)
+    for (doubt, claim), n, stance in zip(marks, words, stances):
+        if stance == 1 and claim is not None:
+            own[claim] += n
+        elif stance >= 0:
+            levels[doubt] += n
+    lost = set()
+    for i in sorted(range(len(claims)), key=lambda i: claims[i]):
+        if sum(n for doubt, n in levels.items() if doubt < claims[i]) > own[i]:
+            lost.add(i)
+        else:
+            levels[claims[i]] += own[i]
+    return [(b[0], b[1], -1 if claim in lost else b[2], b[3]) for b, (_, claim) in zip(blocks, marks)]
 
 
 def article(page: str | None, tree) -> str:
