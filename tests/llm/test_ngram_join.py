@@ -59,6 +59,13 @@ def test_keep_one(spark):
     assert got == sorted([(2, "a b c d e f g", "y"), (2, "other text of its own", "z"), (7, None, "n"), (8, None, "n")], key=str)
 
 
+def test_keep_one_with_clashing_names(spark):
+    rows = [(2, "a b c d e f g", "k2", 1, "p"), (5, "a b c d e f g", "k5", 2, "q"), (3, "other text of its own", "k3", 3, "r"), (3, "other text of its own", "k3", 3, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _Key string, _same int, _key_ string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link_classes(none).collect() == [] and ngram_join.keep_one(none).collect() == []

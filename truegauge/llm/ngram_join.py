@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import WordHasher, bitmap_of, in_bitmap, ready, run_shingles, small, text_slices
+from truegauge.llm.common import WordHasher, bitmap_of, free_name, in_bitmap, ready, run_shingles, small, text_slices
 from truegauge.llm.components import components
 from truegauge.session import materialise
 
@@ -446,10 +446,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     kept = classes.join(best, "label").withColumn("stays", place == F.col("best"))
     verdict = kept.groupBy("doc_id", "same").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
     verdict = materialise(verdict.where("not stays or times > 1"), "verdicts")
-    own = docs.withColumns({"_key": F.col(key).cast("long"), "_same": F.unhex(F.md5(F.encode(F.col(text).cast("string"), "UTF-8")))})
-    met = own["_key"].eqNullSafe(verdict["doc_id"]) & (own["_same"] == verdict["same"])
+    at, digest = free_name(docs, "_key"), free_name(docs, "_same")
+    own = docs.withColumns({at: F.col(key).cast("long"), digest: F.unhex(F.md5(F.encode(F.col(text).cast("string"), "UTF-8")))})
+    met = own[at].eqNullSafe(verdict["doc_id"]) & (own[digest] == verdict["same"])
     rest = own.join(small(verdict), met, "left_anti")
     if not verdict.where("stays").isEmpty():
-        again = own.join(small(verdict.where("stays")), met, "left_semi").dropDuplicates(["_key", "_same"])
+        again = own.join(small(verdict.where("stays")), met, "left_semi").dropDuplicates([at, digest])
         rest = rest.unionByName(again)
-    return rest.drop("_key", "_same")
+    return rest.drop(at, digest)
