@@ -54,6 +54,17 @@ def test_wrappers(page, want):
     assert article(page, TREE) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    *[(f"<body><div><{t}>Menu</div><article>{LONG}</article>", READ) for t in "button object canvas video audio iframe svg".split()],
+    (f"<article><p>{P}</p><p>{P} <button>Share this</p><p>{P}</p></article>", f"{P}\n{P}\n{P}"),
+    (f"<article>{LONG}<p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", f"{READ}\nThen x=2 holds."),
+    (f"<article><p>{P}</p><script>x<p>{P}</p></article>", P),
+    ("<option>a" * 40_000 + f"<article>{LONG}</article>", READ),
+])
+def test_unclosed_and_math(page, want):
+    assert article(page, TREE) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-ap b='\"&;[]x", max_size=80))
 def test_never_fails(page):

@@ -21,7 +21,9 @@ from truegauge.llm.common import ready
 TAG = re.compile(
     r"<(?:!--(?:.*?--!?>|.*)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S
 )
-RAW = frozenset("script style noscript template textarea svg math iframe object select button title option datalist canvas audio video".split())
+RAW = frozenset("script style noscript template textarea svg annotation iframe object select button title option datalist canvas audio video".split())
+#: Of these, the ones that swallow the rest of the page if they are never closed; the text of others ends with the next block-level tag.
+TO_END = frozenset("script style textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p"
     " pre section summary table tbody td tfoot th thead tr ul".split()
@@ -108,6 +110,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
     stack: list[tuple] = []
     marks: list[tuple[int, int | None]] = []
     claims: list[int] = []
+    unclosed: set[str] = set()
+    muted: int | None = None  # stance of the block that an unclosed element cuts short
     pieces: list[str] = []
     linked, link, heading, at = 0, 0, 0, 0
     stance = 0
@@ -142,10 +146,16 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             continue
         closing, attributes = m[2] or m[5], m[4] or m[7] or ""
         if name in RAW and not closing and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if name in ("title", "button", "option", "select", "textarea", "noscript"):
                 flush()
-            at = end.end() if end else len(page)
+            if end or name in TO_END:
+                at = end.end() if end else len(page)
+                continue
+            unclosed.add(name)
+            flush()
+            muted = stance if muted is None else muted
+            stance = -1
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -156,6 +166,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
         if name not in BLOCKS:
             continue
         flush()
+        if muted is not None:
+            stance, muted = muted, None
         link = 0
         heading = int(name in HEADINGS and not closing)
         if name in CONTAINERS:
@@ -223,7 +235,7 @@ def article(page: str | None, tree) -> str:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """Per row: ``page_id, url, text`` (main text, empty if there is none) and ``n_chars``, its characters.
 
-    NULL and empty pages have an empty text. Malformed markup never fails: an unclosed comment or script swallows the rest, a stray ``<`` is text. NULL keys and
+    NULL and empty pages have an empty text. Malformed markup never fails: an unclosed comment, script, style, title or textarea swallows the rest, other unclosed elements the rest of their block, a stray ``<`` is text. NULL keys and
     repeated rows pass through; other columns are left out. Rows are handled alone, no shuffle.
     """
     ready(pages.sparkSession)
