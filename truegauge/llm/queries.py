@@ -16,6 +16,7 @@ from truegauge.llm.html_text import extract
 from truegauge.llm.licenses import scan
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
+from truegauge.llm.periodic import digests, find_runs, planted
 from truegauge.llm.pieces import digest, encode
 from truegauge.llm.pii import report
 from truegauge.llm.quality_rules import judged
@@ -96,6 +97,11 @@ def decontamination(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    return digests(find_runs(planted(table(spark, root, "documents"))))
+
+
 def load():
     """(queries, SQL twins) of the package."""
     return dict(QUERIES), dict(ORACLE)
