@@ -13,6 +13,7 @@ from truegauge.llm.decontaminate import find_items
 from truegauge.llm.edit_counts import apply_edits, count_trees
 from truegauge.llm.factorisation import score, train
 from truegauge.llm.html_text import extract
+from truegauge.llm.lattice import score_texts
 from truegauge.llm.licenses import scan
 from truegauge.llm.ngram_join import link_classes
 from truegauge.llm.oracles import ORACLE
@@ -97,6 +98,11 @@ def decontamination(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+@query("op12_lattice_scores")
+def lattice_scores(spark: SparkSession, root: str) -> DataFrame:
+    return score_texts(table(spark, root, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_periodic_runs")
 def periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     return digests(find_runs(planted(table(spark, root, "documents"))))
