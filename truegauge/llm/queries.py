@@ -20,6 +20,7 @@ from truegauge.llm.oracles import ORACLE
 from truegauge.llm.periodic import digests, find_runs, planted
 from truegauge.llm.pieces import digest, encode
 from truegauge.llm.pii import report
+from truegauge.llm.prefix_trie import rebuilt, sequences, trie_nodes
 from truegauge.llm.quality_rules import judged
 from truegauge.llm.token_store import keys_of, read_store, write_store
 
@@ -98,6 +99,11 @@ def decontamination(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+@query("op11_prefix_trie")
+def prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    return trie_nodes(rebuilt(sequences(table(spark, root, "conversations"))))
+
+
 @query("op12_lattice_scores")
 def lattice_scores(spark: SparkSession, root: str) -> DataFrame:
     return score_texts(table(spark, root, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
