@@ -270,10 +270,10 @@ def fit(words: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int = ROUND
     start = vocabulary.prior * (prior * len(vocabulary.prior))
     weights = vocabulary.prior
     for _ in range(rounds if tokens else 0):
-        now = spark.sparkContext.broadcast((vocabulary, weights))
+        now = spark.sparkContext.broadcast((tuple(vars(vocabulary).values()), weights))
 
         def step(batches, now=now):
-            lattices = Lattices(*now.value)
+            lattices = Lattices(Vocabulary(*now.value[0]), now.value[1])
             uses = np.zeros(len(now.value[1]))
             for batch in batches:
                 lattices(batch.column(0).to_pylist(), batch.column(1).to_numpy(), uses)
@@ -327,10 +327,10 @@ def score_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     words = materialise(word_table(rows, "text", "train"), "words")
     ends = rows.where("train").count()
     model = fit(words, ends, vocabulary, rounds)
-    now = spark.sparkContext.broadcast((vocabulary, model.weights))
+    now = spark.sparkContext.broadcast((tuple(vars(vocabulary).values()), model.weights))
 
     def lattice(batches):
-        lattices = Lattices(*now.value)
+        lattices = Lattices(Vocabulary(*now.value[0]), now.value[1])
         for batch in batches:
             score = lattices(batch.column(1).to_pylist()) / _LOG10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], names=["h", "c", "lp"])
