@@ -9,6 +9,7 @@ from truegauge.catalog.registry import PAIRS_CTE, query, r, rnd, rounded, rs
 from truegauge.catalog.relations import ROLES, roles
 from truegauge.operators import evaluate, interpret, models, tuning
 from truegauge.operators.aggregates import sign_balance
+from truegauge.operators.boosting import Loss, fit_boosted
 from truegauge.operators.ordered import ewma
 from truegauge.operators.lookup import attach
 from truegauge.plans import calibrate, report
@@ -64,12 +65,29 @@ def boosted_huber(t):
     return evaluate.compare_models(scored, "truth", {"online": "online", "huber_trees": "corrected"})
 
 
+def falling(t):
+    """Test rows and a model whose delta may only fall with the online reading."""
+    rows = pair_rows(t)
+    return rows.where("role = 'test'"), models.ResidualCorrection(FEATURES, "delta", QUICK, monotone={"online": -1}).fit(rows.where("role = 'train'"))
+
+
 @query("M8_monotone_scores")
 def monotone_scores(t):
-    rows = pair_rows(t)
-    train = rows.where("role = 'train'")
-    model, span = models.ResidualCorrection(FEATURES, "delta", QUICK).fit(train), models.feature_range(train, "online")
-    return models.monotone_scores(rows.where("role = 'test'").select(*FEATURES, "o_orderkey"), model.transform, "online", ["o_orderkey"], 8, span=span)
+    rows, model = falling(t)
+    return model.transform(rows.select("o_orderkey", *FEATURES)).select("o_orderkey", "online", "predicted_delta")
+
+
+@query("M8_monotone_probe", ROLES + " SELECT count(*) AS n_rows, 40 * count(*) AS n_steps, 0::BIGINT AS n_rises FROM o WHERE role = 'test'")
+def monotone_probe(t):
+    """Every test row scored at 41 online readings from below the smallest to beyond the largest: not one step up."""
+    rows, model = falling(t)
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.struct(i.alias("step"), (F.lit(-20000.0) + i * 15000.0).alias("online"))))
+    probe = rows.select("o_orderkey", "qty", "disc", "lines", grid.alias("g")).select("o_orderkey", "qty", "disc", "lines", "g.*")
+    curve = model.transform(probe).groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("step", "predicted_delta"))).alias("c"))
+    steps = F.zip_with(F.slice("c", 1, 40), F.slice("c", 2, 40), lambda a, b: (b["predicted_delta"] > a["predicted_delta"] + 1e-9).cast("long"))
+    return curve.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size(steps)).cast("long").alias("n_steps"), F.sum(F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)).alias("n_rises")
+    )
 
 
 @query(
@@ -135,13 +153,39 @@ def grouped_linear(t):
 
 @query("M14_grouped_boosted")
 def grouped_boosted(t):
+    """A model per order status, all in one fit, one of them with parameters of its own."""
     rows = pair_rows(t)
-    groups = [({"o_orderstatus": s}, QUICK) for s in ("F", "O", "P")]
-    fitted = models.fit_groups(rows.where("role = 'train'"), groups, FEATURES, "delta")
-    scored = models.score_groups(rows.where("role = 'test'"), fitted).withColumn("corrected", F.col("online") + F.col("predicted_delta"))
+    settings = t.spark.createDataFrame([("P", 4, 0.2, 0.8)], "o_orderstatus string, max_iter int, learning_rate double, damping double")
+    model = models.ResidualCorrection(FEATURES, "delta", QUICK, by=["o_orderstatus"], settings=settings).fit(rows.where("role = 'train'"))
+    scored = model.transform(rows.where("role = 'test'")).withColumn("corrected", F.col("online") + F.col("predicted_delta"))
     return evaluate.compare_models(scored, "truth", {"online": "online", "boosted": "corrected"}, ["o_orderstatus"])
 
 
+STUMP_BINS = 16
+STUMPS = f"""WITH {PAIRS_CTE}, x AS (SELECT grp, delta, avg(delta) OVER (PARTITION BY grp) - delta AS g, unnest([0, 1, 2]) AS f, unnest([online, qty, disc]) AS v FROM pairs),
+  s AS (SELECT grp, f, list_sort(list(v)) AS l, count(*) AS n FROM x GROUP BY 1, 2),
+  e AS (SELECT DISTINCT grp, f, l[ceil(k / {STUMP_BINS}.0::DOUBLE * n)::BIGINT] AS threshold FROM s, range(1, {STUMP_BINS}) AS ks(k)),
+  h AS (SELECT grp, f, threshold, sum(g) FILTER (v <= threshold) AS gl, count(*) FILTER (v <= threshold) AS nl, sum(g) FILTER (v > threshold) AS gr, count(*) FILTER (v > threshold) AS nr, sum(g) AS ga, count(*) AS na
+    FROM x JOIN e USING (grp, f) GROUP BY ALL),
+  gains AS (SELECT *, gl * gl / nl + gr * gr / nr - ga * ga / na AS gain FROM h WHERE nl >= 20 AND nr >= 20),
+  best AS (SELECT *, round(gain / max(gain) OVER (PARTITION BY grp), 12) AS rank FROM gains)
+  SELECT grp, f AS feature, {r('threshold')} AS threshold, {r('-gl / nl', 3)} AS value_left, {r('-gr / nr', 3)} AS value_right, nl AS n_left, nr AS n_right FROM best
+  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rank DESC, f, threshold) = 1"""
+
+
+@query("M6_M14_first_level", STUMPS)
+def first_level(t):
+    """One round of one level for all groups: the split, both leaves and their rows."""
+    model = fit_boosted(t.pairs, ["online", "qty", "disc"], "delta", ["grp"], Loss("squared"), ModelParams(learning_rate=1.0, max_iter=1, max_depth=1), bins=STUMP_BINS)
+    root, left, right = (F.get("tree", F.lit(k)) for k in range(3))
+    return rounded(
+        model.trees.select(
+            "grp", root["feature"].alias("feature"), root["threshold"].alias("threshold"), left["value"].alias("value_left"), right["value"].alias("value_right"),
+            left["cover"].cast("long").alias("n_left"), right["cover"].cast("long").alias("n_right"),
+        ), 3, threshold=6,
+    )
+
+
 @query("M15_M16_S9_batch_scoring")
 def batch_scoring(t):
     path = scratch(t, "model")

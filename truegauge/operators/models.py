@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from truegauge.operators.boosting import BoostedTrees, Loss, fit_boosted
 from truegauge.operators.ordered import ewma
 from truegauge.operators.lookup import attach
 from truegauge.operators.quantiles import exact_quantiles
@@ -73,14 +73,6 @@ def feature_stages(features: Sequence[str], scale: bool = False) -> list:
 # --- pluggable correction model --------------------------------------------------------------------
 
 
-def boosted(params: ModelParams, loss: str = "absolute") -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="predicted_delta", lossType=loss,
-        maxIter=params.max_iter, stepSize=params.learning_rate, maxDepth=params.max_depth, seed=42,
-        checkpointInterval=10,
-    )
-
-
 def huber(params: ModelParams, epsilon: float = 1.35, reg: float = 1e-4) -> LinearRegression:
     return LinearRegression(
         featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="predicted_delta",
@@ -88,21 +80,43 @@ def huber(params: ModelParams, epsilon: float = 1.35, reg: float = 1e-4) -> Line
     )
 
 
-LEARNERS: dict[str, Callable[[ModelParams], Estimator]] = {
-    "boosted_absolute": lambda p: boosted(p, "absolute"),
-    "boosted_squared": lambda p: boosted(p, "squared"),
-    "huber": huber,
-}
+LEARNERS: dict[str, Callable[[ModelParams], Estimator]] = {"huber": huber}
+BOOSTED = {"boosted_absolute": Loss("absolute"), "boosted_squared": Loss("squared")}
 
 
 class ResidualCorrection(Estimator):
-    """Fits ``label`` (delta, or truth for the direct variant) from features with direction weights."""
+    """Fits ``label`` (delta, or truth for the direct variant) from features with direction weights.
 
-    def __init__(self, features: Sequence[str], label: str, params: ModelParams = ModelParams(), learner: str | Callable = "boosted_absolute"):
+    Boosted learners take missing values as they are, may be held monotone in some features (``monotone``, 1 or -1 by name) and fit every group of ``by`` in one
+    pass, with ``settings`` (``by`` columns and any of the parameters' names) overriding the parameters of a group.
+    """
+
+    def __init__(
+        self, features: Sequence[str], label: str, params: ModelParams = ModelParams(), learner: str | Callable = "boosted_absolute", by: Sequence[str] = (),
+        monotone: dict[str, int] | None = None, settings: DataFrame | None = None,
+    ):
         super().__init__()
         self.features, self.label, self.settings, self.learner = list(features), label, params, learner
+        self.by, self.monotone, self.overrides = list(by), monotone, settings
+        if learner not in BOOSTED and (by or monotone or settings is not None):
+            raise ValueError("groups, monotone features and settings are for boosted learners")
+
+    def _fit_boosted(self, dataset: DataFrame) -> ResidualCorrectionModel:
+        require_columns(dataset, [*self.features, *self.by])
+        rows = dataset.where(F.col(self.label).isNotNull()).select(*self.by, *self.features, F.col(self.label).cast("double").alias("_label"))
+        damping, boost = self.settings.damping, self.settings.pos_boost
+        given = [c for c in ("damping", "pos_boost") if self.overrides is not None and c in self.overrides.columns]
+        if given:
+            rows = attach(rows, self.overrides.select(*self.by, *[F.col(c).alias(f"_{c}") for c in given]), self.by)
+            own = lambda c, value: F.coalesce(F.col(f"_{c}").cast("double"), F.lit(float(value))) if c in given else value
+            damping, boost = own("damping", damping), own("pos_boost", boost)
+        weighted = direction_weights(rows, "_label", damping, boost, self.by, "_weight")
+        fitted = fit_boosted(weighted, self.features, "_label", self.by, BOOSTED[self.learner], self.settings, "_weight", self.monotone, self.overrides)
+        return ResidualCorrectionModel(self.features, fitted, self.settings)
 
     def _fit(self, dataset: DataFrame) -> ResidualCorrectionModel:
+        if self.learner in BOOSTED:
+            return self._fit_boosted(dataset)
         spark = dataset.sparkSession
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -117,11 +131,13 @@ class ResidualCorrection(Estimator):
 class ResidualCorrectionModel(Model):
     """Adds ``predicted_delta``; helper columns are removed again."""
 
-    def __init__(self, features: Sequence[str], pipeline: PipelineModel, params: ModelParams):
+    def __init__(self, features: Sequence[str], pipeline: PipelineModel | BoostedTrees, params: ModelParams):
         super().__init__()
         self.features, self.pipeline, self.settings = list(features), pipeline, params
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        if isinstance(self.pipeline, BoostedTrees):
+            return self.pipeline.transform(dataset)
         scored = self.pipeline.transform(missing_flags(dataset, self.features))
         return scored.select(*dataset.columns, "predicted_delta")
 
@@ -194,37 +210,6 @@ def linear_formula(coefficients: DataFrame, features: Sequence[str], target: str
     return coefficients.withColumn("formula", F.concat_ws(" + ", F.format_string(f"{target} = %.6f", "intercept"), *parts))
 
 
-# --- many groups -------------------------------------------------------------------------------------
-
-
-def fit_groups(
-    df: DataFrame, groups: Sequence[tuple[dict, ModelParams]], features: Sequence[str], label: str, learner: str = "boosted_absolute", parallel: int = 4
-) -> list[tuple[dict, ResidualCorrectionModel]]:
-    """One distributed fit per group, several at a time so small groups share the cluster."""
-
-    def one(item):
-        keys, params = item
-        part = df
-        for c, v in keys.items():
-            part = part.where(F.col(c) == v)
-        return keys, ResidualCorrection(features, label, params, learner).fit(part)
-
-    with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(one, groups))
-
-
-def score_groups(df: DataFrame, models: Sequence[tuple[dict, Model]]) -> DataFrame:
-    """Score each modelled group with its own model."""
-    out = None
-    for keys, model in models:
-        part = df
-        for c, v in keys.items():
-            part = part.where(F.col(c) == v)
-        scored = model.transform(part)
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 # --- boosting with losses MLlib does not offer --------------------------------------------------------
 
 
