@@ -14,6 +14,7 @@ from truegauge.operators.ordered import ewma
 from truegauge.operators.lookup import attach
 from truegauge.plans import calibrate, report
 from truegauge.session import materialise
+from truegauge.sources import sinks
 from truegauge.spec import ModelParams
 
 FEATURES = ("online", "qty", "disc", "lines")
@@ -193,10 +194,32 @@ def batch_scoring(t):
     feats = calibrate.TrainingRoles("truth", "online", "delta", (*FEATURES, "o_orderpriority_encoded"), ORDER, ("o_orderstatus",))
     calibrate.train_and_save(rows.where("role = 'train'"), feats, QUICK, "o_orderpriority", path, "huber")
     new = rows.where("role = 'test'").drop("truth", "delta")
-    out = calibrate.score_batch(new, path, feats, "o_orderpriority", QUICK.alpha_smoothing, warm_start=True, save_state=True)
+    out = calibrate.score_batch(new, path, warm_start=True, save_state=True)
     return out.select("o_orderkey", "o_orderstatus", "online", "smoothed_delta", "corrected")
 
 
+@query(
+    "S9_versions",
+    """SELECT version::BIGINT AS version, n_states, parts FROM (VALUES (1, (SELECT count(DISTINCT o_orderstatus) FROM orders), 4), (2, (SELECT count(DISTINCT o_orderstatus) FROM orders), 4),
+      (3, (SELECT count(DISTINCT o_orderstatus) FROM orders), 4)) AS v(version, n_states, parts)""",
+)
+def stored_versions(t):
+    """Two scored batches after training: three versions, each readable, each with one state row per group."""
+    path = scratch(t, "model")
+    rows = pair_rows(t)
+    feats = calibrate.TrainingRoles("truth", "online", "delta", (*FEATURES, "o_orderpriority_encoded"), ORDER, ("o_orderstatus",))
+    calibrate.train_and_save(rows.where("role = 'train'"), feats, ModelParams(max_iter=1, max_depth=2), "o_orderpriority", path, monotone={"online": -1})
+    new = rows.where("role = 'test'").drop("truth", "delta")
+    for k in range(2):
+        calibrate.score_batch(new.where(F.pmod("o_orderkey", F.lit(2)) == k), path, warm_start=True, save_state=True)
+    out = None
+    for v in sinks.versions(t.spark, path):
+        stored = sinks.load_artefact(t.spark, path, v)
+        part = stored.state.agg(F.lit(v).cast("long").alias("version"), F.count(F.lit(1)).alias("n_states"), F.lit(len(stored.places)).alias("parts"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("M17_soft_sensor")
 def soft_sensor(t):
     df = t.lineitem.select(
@@ -367,8 +390,19 @@ def tree_model(t):
 
 @query("I2_I4_shapley_values")
 def shapley_values(t):
+    """Value and contribution of every feature in every row, exact for the trees."""
+    rows, model = tree_model(t)
+    return interpret.tree_shapley(rows, model.pipeline, "o_orderkey")
+
+
+@query("I2_tree_shapley_sums", f"WITH {PAIRS_CTE} SELECT o_orderkey, 4::BIGINT AS n_features, 0.0::DOUBLE AS gap FROM pairs")
+def tree_shapley_sums(t):
+    """Contributions add up to the prediction less the mean prediction of the training rows, in every row."""
     rows, model = tree_model(t)
-    return interpret.shapley_values(rows, model.transform, list(FEATURES), "o_orderkey", permutations=2)
+    train = model.transform(rows.where("role = 'train'")).agg(F.avg("predicted_delta").alias("mean"))
+    phi = interpret.tree_shapley(rows, model.pipeline, "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_features"), F.sum("phi").alias("phi"))
+    both = attach(model.transform(rows), train).join(phi, "o_orderkey")
+    return both.select("o_orderkey", "n_features", rnd(F.col("predicted_delta") - F.col("mean") - F.col("phi"), 4).alias("gap"))
 
 
 @query(

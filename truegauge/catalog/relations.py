@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from truegauge.catalog.registry import PAIRS_CTE, query, r, rounded, rs, sql_normal_quantile
 from truegauge.catalog.shaping import BINNED
 from truegauge.functions.scalar import effect_label, elapsed_days
-from truegauge.operators import association, binning, diagnostics, splits
+from truegauge.operators import association, binning, diagnostics, information, splits
 from truegauge.operators.lookup import attach
 
 COLS = ["delta", "online", "qty", "disc", "lines"]
@@ -97,6 +97,44 @@ def small(t):
     return t.part.select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"), F.length("p_name").cast("double").alias("name_length"))
 
 
+KNN_COLUMNS = ("charge", "price", "size", "amount")
+KNN = f"""WITH q AS (SELECT p_partkey AS i, p_retailprice AS price, p_size::DOUBLE AS size, charge, amount FROM part JOIN (
+    SELECT l_partkey, round(avg(l_extendedprice), 4) AS charge, round(avg(l_quantity), 6) AS amount FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+  cols AS (SELECT i, unnest(['charge', 'price', 'size', 'amount']) AS c, unnest([charge, price, size, amount]) AS v FROM q),
+  dev AS (SELECT c, stddev_pop(v) AS s, count(*) AS n FROM cols GROUP BY 1),
+  xy AS (SELECT a.i, a.c AS a, b.c AS b, a.v / p.s AS x, b.v / q.s AS y, p.n FROM cols a JOIN cols b ON a.i = b.i AND a.c = 'charge' AND b.c <> 'charge' JOIN dev p ON p.c = a.c JOIN dev q ON q.c = b.c),
+  d AS (SELECT l.a, l.b, l.i, l.n, abs(l.x - r.x) AS dx, abs(l.y - r.y) AS dy, l.i = r.i AS own FROM xy l JOIN xy r ON l.a = r.a AND l.b = r.b),
+  rho AS (SELECT a, b, i, (min(greatest(dx, dy), 3) FILTER (NOT own))[3] AS rho FROM d GROUP BY ALL),
+  cnt AS (SELECT a, b, i, any_value(n) AS n, count(*) FILTER (dx <= rho * (1 - 1e-9::DOUBLE)) AS cx, count(*) FILTER (dy <= rho * (1 - 1e-9::DOUBLE)) AS cy,
+    CASE WHEN any_value(rho) > 0 THEN 3 ELSE count(*) FILTER (dx = 0 AND dy = 0) END AS k FROM d JOIN rho USING (a, b, i) GROUP BY ALL),
+  psi AS (SELECT n::BIGINT AS n, -0.57721566490153286::DOUBLE + coalesce(sum(1.0::DOUBLE / (n - 1)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi
+    FROM (SELECT unnest(range(2, (SELECT max(n) + 1 FROM dev))) AS n) UNION ALL SELECT 1, -0.57721566490153286::DOUBLE),
+  mi AS (SELECT a, b, greatest(0, avg(pn.psi + pk.psi - px.psi - py.psi)) AS mi FROM cnt JOIN psi pn ON pn.n = cnt.n JOIN psi pk ON pk.n = k JOIN psi px ON px.n = cx JOIN psi py ON py.n = cy GROUP BY 1, 2)"""
+
+
+def part_rows(t):
+    """Parts with the mean price and quantity of their lines."""
+    lines = t.lineitem.groupBy("l_partkey").agg(F.round(F.avg("l_extendedprice"), 4).alias("charge"), F.round(F.avg("l_quantity"), 6).alias("amount"))
+    rows = t.part.join(lines, F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select(F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), "charge", "amount")
+
+
+@query("C4_knn_information", KNN + f" SELECT b AS feature, {r('mi', 8)} AS mi FROM mi")
+def knn_information(t):
+    """Information of each feature about the mean charge, by three nearest neighbours."""
+    found = information.neighbour_information(part_rows(t), [(c, "charge") for c in KNN_COLUMNS[1:]])
+    return rounded(found.select(F.col("a").alias("feature"), "mi"), 8)
+
+
+KNN_ALL = KNN.replace("a.c = 'charge' AND b.c <> 'charge'", "a.c < b.c")
+
+
+@query("C5_knn_matrix", KNN_ALL + f" SELECT a, b, {r('mi', 8)} AS mi FROM mi UNION ALL SELECT b, a, {r('mi', 8)} FROM mi UNION ALL SELECT c, c, 0.0::DOUBLE FROM dev")
+def knn_matrix(t):
+    """All pairs in both directions, zero with themselves."""
+    return rounded(information.information_matrix(part_rows(t), KNN_COLUMNS), 8)
+
+
 @query("C6_distance_correlation", f"{SMALL} {_dcor_sql('p_size', 'p_retailprice', 's')} UNION ALL {_dcor_sql('name_length', 'p_retailprice', 's')}")
 def distance_correlation(t):
     return rounded(association.distance_correlation(small(t), "p_partkey", [("p_size", "p_retailprice"), ("name_length", "p_retailprice")]))

@@ -2,10 +2,10 @@
 
 Features are binned once, by quantiles of each group. A tree grows level by level: gradient sums by (group, node, feature, bin) are combined before the
 shuffle, whose size depends on groups, nodes, features and bins, not on rows; a pass over the bins finds the best split of every node of a
-group. So a thousand groups take as many jobs as one. Missing values go to the side that gains more. Bounds are handed
+group. So a thousand groups take as many jobs as ten. Missing values go to the side that gains more. Bounds are handed
 down below splits on constrained features, so every tree, and with it the sum, is monotone in them. Losses whose best leaf value is
-a quantile (absolute, quantile) set it from a second aggregate over the leaves. Trees are small tables in the shared folder, never
-on the driver; scores are written there after every tree, which keeps plans short and lost executors cheap.
+a quantile (absolute, quantile) set it from a second aggregate over the leaves. Trees are small tables,
+written to the shared folder where there are many; scores are written there after every tree, which keeps plans short and lost executors cheap.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BINS, LEAST_ROWS, LEAST_WEIGHT = 255, 20, 1e-3
 NOISE = 1e-12
 #: Points at which a leaf's residuals are summarised, and the accuracy of quantile sketches.
 POINTS, ACCURACY = 255, 10_000
+#: Sums (groups x nodes x features x bins) up to which the splits are sought on the driver. Beyond, groups are dealt over tasks; the results are the same.
+NEAR_CELLS = 1 << 20
 #: A model up to this size is sent to every task; a larger one is joined to the rows.
 MODEL_BYTES = 64 << 20
 SPLIT = "struct<feature:int,bin:int,missing_left:boolean>"
@@ -150,7 +152,6 @@ def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray, low: np.ndarray, hi
 
 
 #: A growing tree of one group as arrays in heap order; NULL where there is no node.
-ROW = f"_splits array<{SPLIT}>, _value array<double>, _n array<double>, _low array<double>, _high array<double>"
 _ROW = ["_splits", "_value", "_n", "_low", "_high"]
 
 
@@ -163,11 +164,15 @@ def _seedling(groups: DataFrame, by: Sequence[str], nodes: int) -> DataFrame:
     )
 
 
-def _per_group(rows: DataFrame, trees: DataFrame, by: Sequence[str], work) -> DataFrame:
-    """``work(sums, tree)`` for every group: its aggregated ``rows`` and its tree's row (both as Arrow tables) to the tree's new arrays."""
+def _per_group(rows: DataFrame, trees: DataFrame, by: Sequence[str], work, near: bool) -> DataFrame:
+    """``work(sums, tree)`` for every group: its aggregated ``rows`` and its tree's row (both as Arrow tables) to the tree's new arrays.
+
+    ``near``: the sums of all groups are known to be few and come to the driver, which saves a shuffle and a write a level. Else every group is worked on in a task of its
+    own (its sums are bounded by nodes, features and bins) and the trees are written.
+    """
     both = trees.withColumn("_is", F.lit(True)).unionByName(rows, allowMissingColumns=True)
     keys = list(by)
-    kind = ", ".join(f"`{c}` {trees.schema[c].dataType.simpleString()}" for c in [*keys, "_depth"])
+    schema = trees.select(*keys, "_depth", *_ROW).schema
 
     def run(table):
         import pyarrow.compute as pc
@@ -182,12 +187,19 @@ def _per_group(rows: DataFrame, trees: DataFrame, by: Sequence[str], work) -> Da
             out = out.append_column(c, pa.array([x], tree.schema.field(c).type))
         return out
 
-    if not keys:
-        both = both.withColumn("_every", F.lit(0))
-        keys_of = ["_every"]
-    else:
-        keys_of = keys
-    return both.groupBy(*keys_of).applyInArrow(run, f"{kind}, {ROW}")
+    if near:
+        table = both.toArrow()
+        whole = table.column("_is").fill_null(False).to_numpy()
+        group = pd.Series(list(zip(*[table.column(c).to_pylist() for c in keys])) if keys else [()] * table.num_rows, dtype=object)
+        number = group.map({k: i for i, k in enumerate(dict.fromkeys(group[whole]))}).fillna(-1).to_numpy(dtype=np.int64)
+        order = np.argsort(number, kind="stable")
+        table, number = table.take(pa.array(order)), number[order]
+        cuts = np.searchsorted(number, np.arange(number[-1] + 2 if len(number) else 1))
+        done = [run(table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        session = trees.sparkSession
+        return session.createDataFrame(pa.concat_tables(done).combine_chunks(), schema) if done else session.createDataFrame([], schema)
+    both = both if keys else both.withColumn("_every", F.lit(0))
+    return materialise(both.groupBy(*(keys or ["_every"])).applyInArrow(run, schema), "tree")
 
 
 def _grown(level: int, signs: Sequence[int], bins: int, least_rows: int, l2: float):
@@ -286,8 +298,9 @@ def fit_boosted(
     kinds = {"learning_rate": "double", "max_iter": "int", "max_depth": "int"}
     groups = groups.withColumns({n: (F.coalesce(f"_own_{c}", F.lit(getattr(params, c))) if c in given else F.lit(getattr(params, c))).cast(kinds[c]) for c, n in own.items()})
     groups = materialise(groups.drop("_mean", *[f"_own_{c}" for c in given]), "groups")
-    rounds, depth = groups.agg(F.max("_rounds"), F.max("_depth")).first()
+    rounds, depth, count = groups.agg(F.max("_rounds"), F.max("_depth"), F.count(F.lit(1))).first()
     rounds, depth = rounds or 0, depth or 0
+    near = count * (1 << depth) * d * (bins + 1) <= NEAR_CELLS
     nodes = (1 << (depth + 1)) - 1
 
     start = attach(rows, groups.select(*by, *[f"_e{i}" for i in range(d)], F.col("_base").alias("_f"), "_rounds"), by)
@@ -302,12 +315,12 @@ def fit_boosted(
         walked = lambda rows, tree, steps: _walked(attach(rows, tree.select(*by, "_splits"), by), steps)
         for level in range(depth):
             at = walked(now, tree, level).where(F.col("_node") >= (1 << level) - 1) if level else now.withColumn("_node", F.lit(0))
-            tree = materialise(_per_group(histograms(at, by, gradient, d), tree, by, _grown(level, signs, bins, least_rows, l2)), "tree")
+            tree = _per_group(histograms(at, by, gradient, d), tree, by, _grown(level, signs, bins, least_rows, l2), near)
         if loss.by_quantile:
             leaf = walked(now, tree, depth)
             path = [F.shiftright(F.col("_node") + 1, k) - 1 for k in range(depth + 1)] if any(signs) else [F.col("_node")]
             spread = leaf.withColumn("_node", F.explode(F.filter(F.array(*path), lambda k: k >= 0)))
-            tree = materialise(_per_group(_sketch(spread, [*by, "_node"], F.col("_y") - F.col("_f"), F.col("_w")), tree, by, _settled(signs, loss.level)), "tree")
+            tree = _per_group(_sketch(spread, [*by, "_node"], F.col("_y") - F.col("_f"), F.col("_w")), tree, by, _settled(signs, loss.level), near)
         trees.append(tree.withColumn("_m", F.lit(m)))
         if m + 1 < rounds:
             step = attach(tree.select(*by, "_splits", "_value"), groups.select(*by, "_rate"), by)
