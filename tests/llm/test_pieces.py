@@ -8,6 +8,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from truegauge.llm import pieces
 from truegauge.llm.pieces import SPACE, UNIGRAM, Encoder, Pieces, digest, encode, merge_by_rank
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +34,23 @@ def test_equals_library(library, coder, texts):
     assert coder.decode(ids, first) == [t.replace(SPACE, " ") for t in texts]
 
 
+def test_unbroken_text(library, coder):
+    """Words that take long: no blanks at all, with and without places to cut, and a run of one character."""
+    rng = random.Random(7)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    words = [pick("ABCabcXYZxyz0189+/", 60_000), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(20_000)), "a" * 20_000, pick("etaoinshr", 6000), "-=" * 5000, pick("abé😀", 3000), "▁" * 300]
+    for w in [*words, "x " + words[3][:500] + " y " + words[3][:500]]:
+        ids, _ = coder.encode([w.encode()])
+        assert ids.tolist() == library.encode(w)
+
+
+def test_pairs_survive_a_small_store(library, monkeypatch):
+    monkeypatch.setattr(pieces, "PAIR_BITS", 3)
+    small = Encoder(Pieces.load(PATH))
+    text = "many different words, and their neighbours (in a tiny store) still come out right: naïve façade 12345 " * 3
+    assert small.encode([text.encode()])[0].tolist() == library.encode(text)
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(-1 - i, t, "x") for i, t in enumerate(ODD)] + [(None, None, None), (-1, "", "x")], "doc_id long, text string, ids string")

@@ -21,10 +21,15 @@ from pyspark.sql import functions as F
 from truegauge.llm.common import WordHasher, WordStore, mix, ready, text_slices
 
 SPACE = "▁"
-CACHED_WORDS = 400_000
-ENCODE_BYTES = 2 << 20
+CACHED_WORDS = 250_000
+ENCODE_BYTES = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+MAYBE_BITS = 20
+#: Slots of the store of known piece pairs (9 bytes each); a new pair takes the place of the old one in its slot.
+PAIR_BITS = 20
+#: Words of more characters are first cut wherever no piece reaches over.
+LONG = 64
 UNIGRAM, BPE = 1, 2
 
 
@@ -64,6 +69,8 @@ class Pieces:
         keys = np.array([_hash_text(pieces[i]) for i in ids], dtype=np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ids = keys[order], ids[order]
+        self.maybe = np.zeros(1 << MAYBE_BITS, dtype=bool)  # by a hash's low bits: most substrings are no piece and need no search
+        self.maybe[(keys & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
         self.worst = float(self.scores[ids].min()) - 10 if len(ids) else -10.0
         if any(SPACE in pieces[i].lstrip(SPACE) for i in ids):
             raise ValueError("a piece reaches over the start of a word")
@@ -134,8 +141,13 @@ class Pieces:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Piece of each substring hash, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        flat = keys.ravel()
+        out = np.full(flat.shape, -1, dtype=np.int64)
+        near = np.flatnonzero(self.maybe[(flat & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, flat[near]), len(self.keys) - 1)
+        hit = self.keys[at] == flat[near]
+        out[near[hit]] = self.ids[at[hit]]
+        return out.reshape(keys.shape)
 
 
 def _hash_text(text: str) -> int:
@@ -143,6 +155,11 @@ def _hash_text(text: str) -> int:
     return int(_substrings(_sums(codes), len(text))[0, 0])
 
 
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of ``n`` characters, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+
+
 def _sums(codes: np.ndarray) -> np.ndarray:
     """Prefix sums of the rows' hashed characters times powers of the base."""
     up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(codes.shape[1], _FACTOR))), dtype=np.uint64)[: codes.shape[1]]
@@ -159,45 +176,70 @@ def _substrings(sums: np.ndarray, length: int) -> np.ndarray:
 
 
 class Segmenter:
-    """Segments words; keeps the validity of piece pairs it has met (BPE)."""
+    """Segments words; keeps the validity of piece pairs it has met (BPE), in a store of fixed size."""
 
     def __init__(self, pieces: Pieces):
-        self.p, self.valid = pieces, {}
+        self.p = pieces
+        self.pair, self.good = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
-        lengths = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
-        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        parts, owner = words, None
+        if any(len(w) > LONG for w in words):
+            cut = [self.cut(w) if len(w) > LONG else [w] for w in words]
+            parts, owner = [x for c in cut for x in c], np.repeat(np.arange(len(words)), [len(c) for c in cut])
+        lengths = np.fromiter((len(w) for w in parts), dtype=np.int64, count=len(parts))
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(parts)
         order = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
         for a, b in zip(cuts, cuts[1:]):
-            n, step = int(lengths[order[a]]), max(1, (1 << 19) // max(1, int(lengths[order[a]])))
+            n, step = int(lengths[order[a]]), max(1, (1 << 18) // max(1, int(lengths[order[a]])))
             for s in range(a, b, step) if n else ():
                 own = order[s : min(b, s + step)]
-                codes = np.array([list(map(ord, words[i])) for i in own], dtype=np.uint64)
-                for i, ids in zip(own, self.split(codes)):
-                    parts[i] = ids
-        return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32), np.array([len(x) for x in parts], dtype=np.int64)
+                for i, ids in zip(own, self.split(_codes([parts[i] for i in own], n))):
+                    found[i] = ids
+        count = np.array([len(x) for x in found], dtype=np.int64)
+        if owner is not None:
+            count = np.bincount(owner, count, minlength=len(words)).astype(np.int64)
+        return np.concatenate(found).astype(np.uint32) if found else np.zeros(0, np.uint32), count
+
+    def cut(self, word: str) -> list[str]:
+        """A long word in parts: no piece reaches over their borders, so each is segmented on its own."""
+        n = len(word)
+        sums = _sums(_codes([word], n))
+        over = np.zeros(n + 1, dtype=np.int64)
+        for length in range(2, min(n, self.p.longest) + 1):
+            start = np.flatnonzero(self.p.probe(_substrings(sums, length))[0] >= 0)
+            np.add.at(over, start + 1, 1)
+            np.add.at(over, start + length, -1)
+        at = [0, *(np.flatnonzero(np.cumsum(over)[1:n] == 0) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(at, at[1:])]
 
     def split(self, codes: np.ndarray) -> list[np.ndarray]:
         """Ids of equally long words by the Viterbi search."""
         m, n = codes.shape
+        if self.p.kind == BPE and n > LONG and m <= 4:
+            return [self.alone(row) for row in codes]
         p, sums = self.p, _sums(codes)
-        found = {}
+        found = []  # only lengths that occur; single characters always
         for length in range(1, min(n, p.longest) + 1):
-            found[length] = p.probe(_substrings(sums, length))
+            piece = p.probe(_substrings(sums, length))
+            if length == 1 or (piece >= 0).any():
+                found.append((length, piece))
+        sizes = np.array([length for length, _ in found])
         best = np.full((m, n + 1), -np.inf)
         best[:, 0] = 0
         last = np.full((m, n + 1), -3, dtype=np.int64)  # piece that ends here; -1 a character without piece, -2 the start
         last[:, 0] = -2
         back = np.zeros((m, n + 1), dtype=np.int64)
+        rows = np.arange(m)
         for end in range(1, n + 1):
-            top = min(end, p.longest)
-            piece = np.stack([found[length][:, end - length] for length in range(1, top + 1)])
-            before = np.stack([best[:, end - length] for length in range(1, top + 1)])
-            prior = np.stack([last[:, end - length] for length in range(1, top + 1)])
+            here = [(length, piece) for length, piece in found if length <= end]
+            piece = np.stack([piece[:, end - length] for length, piece in here])
+            before = np.stack([best[:, end - length] for length, _ in here])
             open_ = (piece >= 0) & (before > -np.inf)
             if p.kind == BPE:
+                prior = np.stack([last[:, end - length] for length, _ in here])
                 gain = np.where(open_, 0.0, -np.inf)
                 pair = open_ & (prior >= 0)
                 gain[pair] = np.where(self.pairs(prior[pair], piece[pair]), 0.0, -np.inf)
@@ -206,10 +248,59 @@ class Segmenter:
             total = before + gain
             total[0] = np.where((piece[0] < 0) & (before[0] > -np.inf), before[0] + (0.0 if p.kind == BPE else p.worst), total[0])
             length = np.argmax(total, axis=0)
-            rows = np.arange(m)
-            best[:, end], back[:, end], last[:, end] = total[length, rows], length + 1, piece[length, rows]
+            best[:, end], back[:, end], last[:, end] = total[length, rows], sizes[length], piece[length, rows]
         return self._walk(codes, best, last, back)
 
+    def alone(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of one long word (BPE): the validity of all neighbours that can meet in it is found at once, then a plain walk goes over its places."""
+        n, p = len(codes), self.p
+        sums = _sums(codes[None, :])
+        starts, pieces, sizes = [], [], []
+        for length in range(1, min(n, p.longest) + 1):
+            ids = p.probe(_substrings(sums, length))[0]
+            at = np.flatnonzero(ids >= 0)
+            starts.append(at)
+            pieces.append(ids[at])
+            sizes.append(np.full(len(at), length))
+        start, piece, size = (np.concatenate(x) for x in (starts, pieces, sizes))
+        order = np.argsort(start, kind="stable")
+        start, piece, size = start[order], piece[order], size[order]
+        first = np.searchsorted(start, np.arange(n + 2))
+        end, many = start + size, len(p.pieces)
+        follow = first[end + 1] - first[end]
+        known: list[np.ndarray] = [np.zeros(0, np.int64)]
+        total = np.cumsum(follow)
+        a = 0
+        while a < len(start):  # some million meetings at once
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 22), side="right")))
+            own = np.repeat(np.arange(a, b), follow[a:b])
+            then = np.arange(len(own)) - np.repeat(np.cumsum(follow[a:b]) - follow[a:b], follow[a:b]) + first[end[own]]
+            known.append(np.unique(piece[own] * many + piece[then]))
+            a = b
+        pair = np.unique(np.concatenate(known))
+        good = [self.pairs(*np.divmod(pair[a : a + (1 << 18)], many)) for a in range(0, len(pair), 1 << 18)]
+        valid = set(pair[np.concatenate(good)].tolist()) if good else set()
+        order = np.lexsort((size, end))
+        last, back, at, reached = [-3] * (n + 1), [1] * (n + 1), 0, set(np.flatnonzero(p.probe(_substrings(sums, 1))[0] < 0).tolist())
+        last[0] = -2
+        edges = list(zip(start[order].tolist(), end[order].tolist(), piece[order].tolist()))
+        for e in range(1, n + 1):
+            if e - 1 in reached and last[e - 1] != -3:
+                last[e] = -1  # a character without piece
+            while at < len(edges) and edges[at][1] == e:
+                s, _, x = edges[at]
+                before = last[s]
+                if last[e] == -3 and before != -3 and (before < 0 or before * many + x in valid):
+                    last[e], back[e] = x, e - s
+                at += 1
+        if last[n] == -3:
+            return self._merged(codes)
+        out, e = [], n
+        while e:
+            out.append([last[e]] if last[e] >= 0 else self.bare(chr(int(codes[e - 1]))))
+            e -= back[e]
+        return np.array([x for ids in reversed(out) for x in ids], dtype=np.int64)
+
     def _walk(self, codes, best, last, back) -> list[np.ndarray]:
         m, n = codes.shape
         steps = np.zeros((m, n + 1), dtype=bool)
@@ -245,13 +336,16 @@ class Segmenter:
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the joined text of two pieces by rank gives these two."""
-        keys, at = np.unique(a * len(self.p.pieces) + b, return_inverse=True)
-        known = self.valid
-        names = keys.tolist()
-        new = [k for k in names if k not in known]
-        if new:
-            known.update(zip(new, self.p.neighbours(*np.divmod(np.array(new), len(self.p.pieces))).tolist()))
-        return np.fromiter((known[k] for k in names), dtype=bool, count=len(names))[at]
+        keys = a * len(self.p.pieces) + b
+        slot = (mix(keys.astype(np.uint64)) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
+        out = self.good[slot]
+        new = np.flatnonzero(self.pair[slot] != keys)
+        if len(new):
+            names, first, at = np.unique(keys[new], return_index=True, return_inverse=True)
+            good = self.p.neighbours(*np.divmod(names, len(self.p.pieces)))
+            out[new] = good[at]
+            self.pair[slot[new[first]]], self.good[slot[new[first]]] = names, good
+        return out
 
 
 def merge_by_rank(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
