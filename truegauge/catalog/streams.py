@@ -13,6 +13,7 @@ from truegauge.operators import features, models, quality
 from truegauge.operators.lookup import attach
 from truegauge.session import materialise
 from truegauge.streaming import queries as streams
+from truegauge.streaming.keyed import keyed_smoothing
 
 ARRIVALS = 3
 
@@ -40,8 +41,16 @@ def smoothed_stream(t, events, alpha):
 
 @query("T1_stateful_ewma", ewma_sql(0.3, 100))
 def stateful_ewma(t):
-    """Exact continuation over micro-batches, from a state of one row per group."""
-    return smoothed_stream(t, t.events.select(*EVENTS), 0.3)
+    """Exact continuation over micro-batches by the keyed state operator; every micro-batch is a restart from the checkpoint."""
+    src, out, chk = (scratch(t, n) for n in ("in", "out", "chk"))
+    events = t.events.select(*EVENTS)
+
+    def step():
+        stream = streams.file_stream(t.spark, src, events.schema)
+        streams.run_available(keyed_smoothing(stream, "value", "ts", ["ts", "event_id"], ["event_type"], 0.3, sub_seconds=6 * 3600), out, chk)
+
+    arrive(events, "ts", src, step)
+    return rounded(t.spark.read.parquet(out).select("event_id", "smoothed"))
 
 
 GAPS = "CASE WHEN event_id % 997 < 400 THEN value END"
