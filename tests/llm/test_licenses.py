@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import pytest
 
+from truegauge.llm import licenses
 from truegauge.llm.licenses import evaluate, postfix, scan, tag_tokens
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -60,3 +62,19 @@ def test_evaluation():
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_outermost_equals_all_pairs():
+    rng = random.Random(3)
+    for _ in range(300):
+        names = sorted((rng.randrange(12), rng.randint(1, 5), "name", str(i)) for i in range(rng.randint(0, 14)))
+        want = [p for p in names if not any(q is not p and q[0] <= p[0] and q[0] + q[1] >= p[0] + p[1] and q[1] > p[1] for q in names)]
+        assert licenses.outermost(names) == want
+
+
+def test_very_many_names_in_one_text():
+    text = "released under the mit license or the apache license, gnu general public license version 2. " * 25_000
+    words = f" {b' '.join(text.encode().translate(licenses._FOLD).split()).decode()} "
+    start = time.process_time()
+    got = licenses.scan_words(list(licenses.automaton().iter(words)), words, text)
+    assert got["n_base"] == 75_000 and got["first_word"] == 3 and time.process_time() - start < 8

@@ -8,6 +8,7 @@ from two places: what follows an ``SPDX-License-Identifier:`` tag, and names tha
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -128,16 +129,31 @@ _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122
 _GAP = np.frombuffer(_FOLD, np.uint8) == 32
 
 
+def outermost(names: list[tuple]) -> list[tuple]:
+    """Names (first word, words, ...) by place that don't lie inside a longer one: such a one says nothing of its own, except as a base label. One sweep."""
+    order = sorted(range(len(names)), key=lambda i: (names[i][0], -names[i][1]))
+    reach, held, group, out = -1, -1, None, []
+    for i in order:
+        start, size = names[i][:2]
+        if (start, size) != group:  # equal places don't hide each other
+            reach, group = max(reach, held), (start, size)
+        if reach < start + size:
+            out.append(i)
+        held = max(held, start + size)
+    return [names[i] for i in sorted(out)]
+
+
 def scan_words(found: list[tuple[int, tuple]], text: str, raw: str) -> dict:
     """Result of one document from its matches (end position in ``text``, value); ``text`` is the words between single spaces."""
-    places = sorted((text.count(" ", 0, end - size), words, kind, label) for end, (kind, label, size, words) in ((e + 1, v) for e, v in found))
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+    number = np.searchsorted(spaces, [e + 1 - v[2] for e, v in found]).tolist()
+    places = sorted((at, words, kind, label) for at, (_, (kind, label, _, words)) in zip(number, found))
     base = [p for p in places if p[2] == "base"]
-    names = [p for p in places if p[2] in ("base", "name")]
-    # A name inside a longer one says nothing of its own, except as a base label.
-    outer = [p for p in names if not any(q is not p and q[0] <= p[0] and q[0] + q[1] >= p[0] + p[1] and q[1] > p[1] for q in names)]
+    outer = outermost([p for p in places if p[2] in ("base", "name")])
     bodies = [p for p in places if p[2] == "body"]
     labels = {p[3] for p in base + outer + bodies}
-    notice = any(q[2] == "notice" and 0 <= p[0] - q[0] - q[1] <= 3 for p in outer for q in places)
+    notices = sorted(q[0] + q[1] for q in places if q[2] == "notice")
+    notice = any(bisect_right(notices, p[0]) > bisect_left(notices, p[0] - 3) for p in outer) if notices else False
     expressions = []
     if any(p[2] == "tag" for p in places):
         expressions += [x for m in TAG_LINE.finditer(raw) if (x := postfix(tag_tokens(m[1])))]
