@@ -165,3 +165,25 @@ def test_random_candidates_stay_in_space():
         for name, _, low, high, _ in tuning.SEARCH_SPACE:
             assert low <= getattr(p, name) <= high
     assert len(tuning.parameter_grid(a=[1, 2], b=[3, 4, 5])) == len(list(itertools.product([1, 2], [3, 4, 5])))
+
+
+def test_tails_at_many_degrees_of_freedom():
+    """Against the limits the distributions tend to, and against plain sums where the tails are sums."""
+    normal = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    t_tail = lambda t, v: tails._beta_tail(v / 2, 0.5, v / (v + t * t), t * t / (v + t * t))
+    f_tail = lambda f, a, b: tails._beta_tail(b / 2, a / 2, b / (b + a * f), a * f / (b + a * f))
+    for v in (1e8, 1e12):
+        for z in (0.3, 2.0, 6.0):
+            assert t_tail(z, v) == pytest.approx(2 * normal(z), rel=1e-5 if v < 1e9 else 1e-6)
+            assert f_tail(z, 5.0, v) == pytest.approx(tails._gamma_tail(2.5, 2.5 * z), rel=1e-5 if v < 1e9 else 1e-6)
+    for v in (1e8, 1e12):
+        for z in (-1.5, 0.2, 3.0):
+            cube = (1 + z * math.sqrt(2 / v)) ** (1 / 3)  # Wilson and Hilferty
+            near = normal((cube - (1 - 2 / (9 * v))) / math.sqrt(2 / (9 * v)))
+            assert tails._gamma_tail(v / 2, (v + z * math.sqrt(2 * v)) / 2) == pytest.approx(near, rel=1e-5 if v < 1e9 else 1e-6)
+    poisson = math.fsum(math.exp(k * math.log(7.5) - 7.5 - math.lgamma(k + 1)) for k in range(10))
+    assert tails._gamma_tail(10, 7.5) == pytest.approx(poisson, rel=1e-12)
+    binomial = math.fsum(math.comb(30, k) * 0.3**k * 0.7 ** (30 - k) for k in range(12, 31))
+    assert tails._beta_tail(12, 19, 0.3, 0.7) == pytest.approx(binomial, rel=1e-12)
+    assert f_tail(1.01, 1e6, 1e6) == pytest.approx(normal((1.01 ** (1 / 3) - 1) * (1 - 2 / 9e6) / math.sqrt(2 / 9e6 * (1.01 ** (2 / 3) + 1))), rel=1e-3)
+    assert math.isnan(tails._gamma_tail(math.nan, 1)) and tails._gamma_tail(3, 0) == 1 and tails._beta_tail(2, 3, 0, 1) == 0

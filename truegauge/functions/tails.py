@@ -11,17 +11,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
+def _stirling(n: float) -> float:
+    """log(n!) less its Stirling approximation."""
+    if n <= 15:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n > 0 else 0.0
+    y = 1 / (n * n)
+    return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """``x log(x / mean) + mean - x`` without loss of digits where the two are near."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def _most(size: float) -> int:
+    """Steps after which a loop over a tail of that size has failed; such loops need a few times its root."""
+    return 10_000 + 60 * math.isqrt(int(min(size, 1e13)))
+
+
+def _beta_tail(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta at ``x = 1 - y`` by its continued fraction; NaN where that doesn't converge."""
     if not (a > 0 and b > 0) or math.isnan(x):
         return math.nan
-    if x <= 0 or x >= 1:
+    if x <= 0 or y <= 0:
         return 0.0 if x <= 0 else 1.0
+    wide = a + (b - 1) / 2
+    if b**3 <= 1e-8 * wide * wide:  # Wise's limit: what it leaves out is below b**3 / wide**2
+        return _gamma_tail(b, -wide * math.log1p(-y))
     if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        return 1.0 - _beta_tail(b, a, y, x)
+    n = a + b
+    log_front = _stirling(n) - _stirling(a) - _stirling(b) - _deviance(a, n * x) - _deviance(b, n * y)
+    front = b / n * math.sqrt(n / (2 * math.pi * a * b)) * math.exp(log_front)
     tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
-    for i in range(2000):
+    for i in range(_most(n)):
         m = i // 2
         if i == 0:
             num = 1.0
@@ -33,37 +65,39 @@ def _beta_tail(a: float, b: float, x: float) -> float:
         c = (1 + num / c) or tiny
         f *= c * d
         if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
+            return front * (f - 1)
+    return math.nan
 
 
 def _gamma_tail(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma."""
+    """Regularised upper incomplete gamma; NaN where its loop doesn't converge."""
     if not a > 0 or math.isnan(x):
         return math.nan
     if x <= 0:
         return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    scale = math.sqrt(a / (2 * math.pi)) * math.exp(-_stirling(a) - _deviance(a, x))
     if x < a + 1:
         term = total = 1 / a
         n = a
-        while abs(term) > abs(total) * 1e-16:
+        for _ in range(_most(a)):
             n += 1
             term *= x / n
             total += term
-        return 1 - total * scale
+            if abs(term) <= abs(total) * 1e-16:
+                return 1 - total * scale
+        return math.nan
     b, c = x + 1 - a, 1e300
     d = 1 / b
     h = d
-    for i in range(1, 5000):
+    for i in range(1, _most(a)):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b)
         c = b + an / c
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return h * scale
+            return h * scale
+    return math.nan
 
 
 def _each(fn, *series: pd.Series) -> pd.Series:
@@ -73,13 +107,13 @@ def _each(fn, *series: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _each(lambda f, a, b: _beta_tail(b / 2, a / 2, b / (b + a * f)) if f > 0 else 1.0, f, d1, d2)
+    return _each(lambda f, a, b: _beta_tail(b / 2, a / 2, b / (b + a * f), a * f / (b + a * f)) if f > 0 else 1.0, f, d1, d2)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided."""
-    return _each(lambda t, v: _beta_tail(v / 2, 0.5, v / (v + t * t)), t, dof)
+    return _each(lambda t, v: _beta_tail(v / 2, 0.5, v / (v + t * t), t * t / (v + t * t)), t, dof)
 
 
 @F.pandas_udf(T.DoubleType())
