@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,6 +60,17 @@ def small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= SMALL_ROWS else written
 
 
+def kept(name: str, token: str, make):
+    """An object that a worker process keeps from task to task, made by ``make`` when ``token`` is new: models and caches, never results.
+
+    Functions are sent by value, so their globals don't outlive a task; a module of its own does.
+    """
+    home = sys.modules.setdefault("truegauge_kept", types.ModuleType("truegauge_kept")).__dict__
+    if home.get(name, (None,))[0] != token:
+        home[name] = (token, make())
+    return home[name][1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (constants of a public hash)."""
     x = x ^ (x >> np.uint64(33))

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi search.
 
-A text is cut into words (spaces and the characters behind them; no piece of a usable model crosses that cut). Distinct words of a task are encoded once, words of equal length
+A text is cut into words (spaces and the characters behind them; no piece of a usable model crosses that cut). Distinct words of a worker process are encoded once, words of equal length
 together: the words form a matrix of code points, hashes of all substrings come from prefix sums, and each is looked up among the sorted hashes of the pieces. The search
 then goes through the positions; for all words at once the best piece that ends there is the maximum over the possible lengths, and its length is the backpointer.
 
@@ -11,6 +11,7 @@ is found by merging, in batches, and remembered), and one valid path ends at eac
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import WordHasher, WordStore, mix, ready, text_slices
+from truegauge.llm.common import WordHasher, WordStore, kept, mix, ready, text_slices
 
 SPACE = "▁"
 CACHED_WORDS = 250_000
@@ -440,10 +441,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    model = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))
+    model, token = docs.sparkSession.sparkContext.broadcast(Pieces.load(path)), uuid.uuid4().hex
 
     def run(batches):
-        coder = Encoder(model.value)
+        coder = kept("pieces", token, lambda: Encoder(model.value))
         for batch in batches:
             for row, raw, offsets in text_slices(batch.column(1), ENCODE_BYTES):
                 data = raw.tobytes()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import WordHasher, WordStore, mix, ready, text_slices, word_spans
+from truegauge.llm.common import WordHasher, WordStore, kept, mix, ready, text_slices, word_spans
 from truegauge.session import materialise, shared_dir
 
 END = 1
@@ -189,7 +189,7 @@ def _write_shards(folder: str, path: str, id_bytes: int):
         name, sink, encoder = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids", None, None
         for batch in batches:
             if sink is None:
-                sink, encoder = files.open_output_stream(f"{root}/{name}"), WordEncoder(path)
+                sink, encoder = files.open_output_stream(f"{root}/{name}"), kept("words", path, lambda: WordEncoder(path))
             for row, raw, offsets in text_slices(batch.column(1), ENCODE_BYTES):
                 ids, first = encoder(raw, offsets)
                 sink.write(ids.astype(f"<u{id_bytes}").tobytes())
