@@ -54,6 +54,26 @@ def test_wrappers(page, want):
     assert article(page, TREE) == want
 
 
+WRAPPED = [f"<div class='{outer}'><div {inner}>{LONG}</div></div>" for outer in ("page has-sidebar", "page share-enabled", "no-sidebar", "layout sidebar-left", "hasSidebar", "comments-off wide", "site")
+           for inner in ("class='content-area'", "class='content'", "role='main'", "id='story'", "class='entry-text'", "class='x'")]
+INNER = [f"<{tag}{outer}><h1>Head line</h1>{part}<p>{P} {P}</p></{tag}>" for tag in ("article", "main") for outer in ("", " class='post'", " id='has-sidebar'")
+         for part in (f"<p><a href='x'>{P}</a></p>", f"<ul><li><a href='x'>{P}</a></li></ul>", f"<div><p>{P}</p></div>", f"<table><tr><td>{P}</td></tr></table>", f"<section><blockquote>{P}</blockquote></section>")]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_names_of_a_state_say_nothing(page):
+    assert article(f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{page}<footer>{P}</footer></body>", TREE) == READ
+
+
+@pytest.mark.parametrize("page", INNER)
+def test_all_of_an_article_stays(page):
+    """Linked paragraphs and lists included; what a tag or a name speaks against inside it doesn't."""
+    extra = f"<nav><a href='y'>{P}</a></nav><div class='share'>{P}</div>"
+    for close in ("</article>", "</main>"):
+        page = page.replace(close, extra + close)
+    assert article(f"<body><header><a href='/'>Site</a></header>{page}<div class='related'><a href='z'>{P}</a></div></body>", TREE) == f"Head line\n{P}\n{P} {P}"
+
+
 @pytest.mark.parametrize("page,want", [
     *[(f"<body><div><{t}>Menu</div><article>{LONG}</article>", READ) for t in "button object canvas video audio iframe svg".split()],
     (f"<article><p>{P}</p><p>{P} <button>Share this</p><p>{P}</p></article>", f"{P}\n{P}\n{P}"),

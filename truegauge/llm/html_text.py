@@ -2,7 +2,8 @@
 
 A page is read tag by tag into blocks (runs of text between block-level tags). Each block has its number of words, the share of its words inside links, the same two numbers of the
 blocks before and after it, whether it is a heading, and whether its innermost telling container speaks for (article, main, ...) or against it (nav, footer, aside, form, adverts,
-comments, ...). A small tree, grown on the labelled table below, tells article from the rest.
+comments, ...). A small tree, grown on the labelled table below, tells article from the rest. Names that tell what a container has or how it looks (has-sidebar,
+share-enabled) say nothing of its text. Containers of other names in ``BAD_NAMES`` lose their text, but for article and main elements inside.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BAD_NAMES = frozenset(
     " header login masthead menu modal nav navbar navigation newsletter notice popup promo promoted promotion related respond search share sharing sidebar signup skip social sponsor sponsored"
     " subscribe subscription tags teaser toc toolbar topbar widget alert".split()
 )
+#: First and last parts of names that tell how a container looks or what it has, not what it is (has-sidebar, share-enabled).
+STATES = frozenset("has with without no is hide show hidden".split()), frozenset("enabled disabled on off open closed left right layout visible hidden none".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
 
 #: words, link density, words before, link density before, words after, link density after, container (-1, 0, 1), heading, article
@@ -93,8 +96,9 @@ def _stance(name: str, attributes: str, around: int) -> int:
     """What a container says about its text; 0 leaves it to the containers around."""
     if name in AGAINST:
         return -1
-    parts = {p.lower() for m in NAMES.finditer(attributes) for p in PART.findall(m[1])} if attributes else set()
-    bad, good = bool(parts & BAD_NAMES), bool(parts & GOOD_NAMES)
+    named = [[p.lower() for p in PART.findall(n)] for m in NAMES.finditer(attributes) for n in m[1].split()] if attributes else []
+    bad = any(n[0] not in STATES[0] and n[-1] not in STATES[1] and not BAD_NAMES.isdisjoint(n) for n in named if n)
+    good = any(not GOOD_NAMES.isdisjoint(n) for n in named)
     if name in ("body", "html") or bad and good:
         bad = good = False
     if name == "header":
@@ -104,9 +108,9 @@ def _stance(name: str, attributes: str, around: int) -> int:
     return -1 if bad else 1 if good else 0
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, words in links, stance, heading) of every non-empty block of a page, in order."""
-    out: list[tuple[str, int, int, int]] = []
+def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, words in links, stance, heading, inside an article or main element) of every non-empty block of a page, in order."""
+    out: list[tuple[str, int, int, int, bool]] = []
     stack: list[tuple] = []
     marks: list[tuple[int, int | None]] = []
     claims: list[int] = []
@@ -114,7 +118,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
     muted: int | None = None  # stance of the block that an unclosed element cuts short
     pieces: list[str] = []
     linked, link, heading, at = 0, 0, 0, 0
-    stance = 0
+    stance, inner = 0, False
     #: Containers around whose names alone speak against their text, whether a tag does, the claim and whether an article is around.
     doubt, hard, claim, told = 0, False, None, False
 
@@ -123,7 +127,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((text, linked, stance, heading))
+                out.append((text, linked, stance, heading, inner))
                 marks.append((doubt, claim))
             pieces.clear()
         linked = 0
@@ -174,7 +178,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             if not closing:
                 around = stance
                 own = _stance(name, attributes, around)
-                stack.append((name, around, doubt, hard, claim, told))
+                stack.append((name, around, doubt, hard, claim, told, inner))
                 if around == -1 and own == 1 and name in FOR and not hard and not (told and name == "article"):
                     # A name such as has-sidebar may stand on a wrapper: main and article inside speak for themselves.
                     stance = 1
@@ -188,10 +192,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
                         by_tag = name in AGAINST or name == "header"
                         doubt, hard = doubt + (not by_tag), hard or by_tag
                 told = told or name == "article" and stance == 1
+                inner = inner or name in FOR and stance == 1
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        _, stance, doubt, hard, claim, told = stack[i]
+                        _, stance, doubt, hard, claim, told, inner = stack[i]
                         del stack[i:]
                         break
     rest = page[at:]
@@ -200,7 +205,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
     return _settle(out, marks, claims) if claims else out
 
 
-def _settle(blocks: list[tuple[str, int, int, int]], marks: list[tuple[int, int | None]], claims: list[int]) -> list[tuple[str, int, int, int]]:
+def _settle(blocks: list[tuple[str, int, int, int, bool]], marks: list[tuple[int, int | None]], claims: list[int]) -> list[tuple[str, int, int, int, bool]]:
     """Articles inside containers whose names speak against them (comments and teasers are often articles) lose against more words in less doubtful places."""
     words = [len(b[0].split()) - b[1] for b in blocks]
     stances = [b[2] for b in blocks]
@@ -216,16 +221,26 @@ def _settle(blocks: list[tuple[str, int, int, int]], marks: list[tuple[int, int
             lost.add(i)
         else:
             levels[claims[i]] += own[i]
-    return [(b[0], b[1], -1 if claim in lost else b[2], b[3]) for b, (_, claim) in zip(blocks, marks)]
+    return [(b[0], b[1], -1 if claim in lost else b[2], *b[3:]) for b, (_, claim) in zip(blocks, marks)]
 
 
 def article(page: str | None, tree) -> str:
-    """Article text of a page: accepted blocks, joined by line feeds."""
+    """Article text of a page: accepted blocks, joined by line feeds.
+
+    What stands in an article or main element that nothing speaks against is article, links and all. Where such elements hold more words than all
+    undecided blocks outside them, those are none of it; else the tree decides.
+    """
     blocks = blocks_of(page or "")
+    words = lambda which: sum(len(b[0].split()) - b[1] for b in blocks if which(b))
+    found = words(lambda b: b[4] and b[2] == 1)
+    whole = found > 0 and found > words(lambda b: b[2] == 0)
     size = [(len(b[0].split()), b[1] / max(1, len(b[0].split()))) for b in blocks]
     edge = (0, 0.0)
     kept = []
-    for i, (text, _, stance, heading) in enumerate(blocks):
+    for i, (text, _, stance, heading, inner) in enumerate(blocks):
+        if stance == 1 and inner or whole and stance == 0:
+            kept += [text] if stance else []
+            continue
         before, after = size[i - 1] if i else edge, size[i + 1] if i + 1 < len(blocks) else edge
         if _judge(tree, (*size[i], *before, *after, stance, heading)):
             kept.append(text)
