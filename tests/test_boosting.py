@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from truegauge.operators.boosting import POINTS, Loss, best_splits, fit_boosted, ordered_values
 from truegauge.spec import ModelParams
 
-PARAMS = ModelParams(learning_rate=0.4, max_iter=3, max_depth=3)
+PARAMS = ModelParams(learning_rate=0.4, max_iter=2, max_depth=3)
 NAMES = ["a", "b", "c"]
 
 
@@ -135,7 +135,7 @@ def test_equals_the_plain_version(spark, loss, monotone):
 @pytest.mark.parametrize("kind", ["squared", "absolute"])
 def test_monotone_on_a_dense_probe(spark, kind):
     pdf = data(2500, 5)
-    model = fit_boosted(frame(spark, pdf), NAMES, "y", (), Loss(kind), ModelParams(learning_rate=0.3, max_iter=6, max_depth=4), monotone={"a": 1, "b": -1})
+    model = fit_boosted(frame(spark, pdf), NAMES, "y", (), Loss(kind), ModelParams(learning_rate=0.3, max_iter=3, max_depth=4), monotone={"a": 1, "b": -1})
     _, forest = model.forest()
     rng = np.random.default_rng(0)
     for j, sign in ((0, 1), (1, -1)):
@@ -148,12 +148,12 @@ def test_monotone_on_a_dense_probe(spark, kind):
 def test_groups_in_one_fit_equal_single_fits(spark):
     pdf = data(1000, 6).assign(g=lambda d: np.where(d.k < 330, "hot", np.where(d.k % 9 == 0, None, (d.k % 7).astype(str))))
     df = frame(spark, pdf)
-    settings = spark.createDataFrame([("hot", 2, 2, 0.9), ("1", None, 1, None)], "g string, max_iter int, max_depth int, learning_rate double")
+    settings = spark.createDataFrame([("hot", 1, 2, 0.9), ("1", None, 1, None)], "g string, max_iter int, max_depth int, learning_rate double")
     model = fit_boosted(df, NAMES, "y", ["g"], Loss("absolute"), PARAMS, "w", settings=settings, bins=20)
     both = model.transform(df, "p").collect()
     joined = {r.k: r.p for r in model.transform(df, "p", most=0).collect()}
     assert all(joined[r.k] == pytest.approx(r.p, abs=1e-12) for r in both) and len(both) == 1000
-    for g, params in (("hot", ModelParams(learning_rate=0.9, max_iter=2, max_depth=2)), ("1", ModelParams(learning_rate=0.4, max_iter=3, max_depth=1)), ("3", PARAMS), (None, PARAMS)):
+    for g, params in (("hot", ModelParams(learning_rate=0.9, max_iter=1, max_depth=2)), ("1", ModelParams(learning_rate=0.4, max_iter=2, max_depth=1)), ("3", PARAMS), (None, PARAMS)):
         one = df.where(F.col("g").eqNullSafe(g))
         alone = fit_boosted(one, NAMES, "y", (), Loss("absolute"), params, "w", bins=20).transform(one, "p").collect()
         want = {r.k: r.p for r in alone}
