@@ -10,8 +10,11 @@ The result is one row per document with its link class, so pairs that are alread
 1. Equal sets collapse into one node (the first row of a set in a task keeps its tokens, others only their set's key).
 2. Every list of nodes that share a base prefix token gets a hub, the member with most shared tokens; hub pairs are verified,
    which is linear in the lists' sizes.
-3. Only lists that still hold more than one class go on. A list is dealt in chunks of bounded size, every pair of chunks is one
-   block, and a block counts matches and verifies inside the task, emitting at most one link for each document.
+3. Only lists that still hold more than one class go on. A list is dealt in chunks of bounded size, the members of its largest class
+   in chunks of their own. Every pair of chunks but those inside that class is one block, and a block counts matches and verifies
+   inside the task, emitting at most one link for each document.
+
+Pairs whose sizes rule a link out are dropped before any prefix moves, and only nodes that a fixed-size bitmap names bring theirs.
 
 No pair is dropped: lists have no cap, and a hot list only means more blocks.
 """
@@ -298,9 +301,9 @@ def _links_batch(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, tokens) of the wanted nodes and a few others: a bitmap of fixed size keeps most sets out of the joins to come."""
-    bits = sets.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "rid", SET_BITS))
+def _preselect(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (rid first) of the wanted nodes and a few others: a bitmap of fixed size keeps most rows out of the joins to come."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "rid", SET_BITS))
 
     def run(batches):
         for batch in batches:
@@ -308,11 +311,21 @@ def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return sets.where("tokens is not null").select("rid", "tokens").mapInArrow(run, "rid long, tokens binary")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, tokens) of the wanted nodes and a few others."""
+    return _preselect(sets.where("tokens is not null").select("rid", "tokens"), wanted)
+
+
+def _near_sizes(a: str, b: str, percent: int):
+    """Whether sets of these sizes can be a link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _listed(prefixes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(rid, token) of the base prefixes for the shared tokens and a few others, told by a bitmap of fixed size."""
+    """(rid, n, token) of the base prefixes for the shared tokens and a few others, told by a bitmap of fixed size."""
     bits = prefixes.sparkSession.sparkContext.broadcast(bitmap_of(shared, "token", TOKEN_BITS))
 
     def run(batches):
@@ -324,9 +337,9 @@ def _listed(prefixes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
             tokens = tokens[first[0] : first[-1]]
             inner = np.arange(len(tokens)) + first[0] - first[owner]
             keep = (inner <= n[owner] - _least(n[owner], percent)) & in_bitmap(bits.value, tokens.view(np.uint64), TOKEN_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[owner[keep]]), pa.array(tokens[keep])], names=["rid", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[owner[keep]], n[owner[keep]], tokens[keep])], names=["rid", "n", "token"])
 
-    return prefixes.select("rid", "n", "prefix").mapInArrow(run, "rid long, token long")
+    return prefixes.select("rid", "n", "prefix").mapInArrow(run, "rid long, n long, token long")
 
 
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -374,10 +387,11 @@ def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     listed = materialise(_listed(prefixes, shared, percent).join(shared, "token"), "listed")
     cost = listed.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), F.sum("c").alias("cost"))
     level = F.least(F.lit(1 + LONGEST), F.ceil(F.log2("cost"))).cast("long")
-    known = materialise(prefixes.join(cost, "rid").select("rid", "n", "prefix", "s", level.alias("level")), "levels")
-    hub = listed.join(known.select("rid", "s"), "rid").groupBy("token").agg(F.max(F.struct("s", (-F.col("rid")).alias("h"))).alias("top"))
-    hub = hub.select("token", (-F.col("top.h")).alias("hub"))
-    pairs = listed.join(hub, "token").where("hub <> rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
+    known = materialise(_preselect(prefixes, listed.select("rid")).join(cost, "rid").select("rid", "n", "prefix", "s", level.alias("level")), "levels")
+    hub = listed.join(known.select("rid", "s"), "rid").groupBy("token").agg(F.max(F.struct("s", (-F.col("rid")).alias("h"), "n")).alias("top"))
+    hub = hub.select("token", (-F.col("top.h")).alias("hub"), F.col("top.n").alias("hub_n"))
+    pairs = listed.join(hub, "token").where(F.col("hub") != F.col("rid")).where(_near_sizes("n", "hub_n", percent))
+    pairs = pairs.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     first = _verify(sets, _matching(pairs, known, percent), percent)
     label = components(first)
     # Lists whose members are of one class already can't change the result.
@@ -388,21 +402,26 @@ def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     open_ = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *members).where("lo <> hi")
     open_ = open_.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
     left = materialise(marked.join(open_, "token"), "open")
-    cold = left.where(F.col("c") <= COLD).select("token", "rid", "label")
-    other = cold.select("token", F.col("rid").alias("b"), F.col("label").alias("other"))
-    pairs = cold.join(other, "token").where("rid < b and label <> other").select(F.col("rid").alias("a"), "b").distinct()
+    cold = left.where(F.col("c") <= COLD).select("token", "rid", "n", "label")
+    other = cold.select("token", F.col("rid").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("other"))
+    pairs = cold.join(other, "token").where("rid < b and label <> other").where(_near_sizes("n", "b_n", percent))
+    pairs = pairs.select(F.col("rid").alias("a"), "b").distinct()
     second = _verify(sets, _matching(pairs, known, percent), percent)
     return first.unionByName(second).unionByName(_hot_links(spark, sets, left.where(F.col("c") > COLD), known, percent))
 
 
 def _matching(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose lengthened prefixes share as many tokens as the smaller of the two levels asks for."""
-    side = lambda x: known.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "prefix", "level")])
+    """Of pairs (a, b) with near sizes, those whose lengthened prefixes share as many tokens as the smaller of the two levels asks for."""
+    pairs = materialise(pairs, "candidates")
+
+    def side(x: str) -> DataFrame:
+        own = _preselect(known.select("rid", "n", "prefix", "level"), pairs.select(F.col(x).alias("rid")))
+        return own.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "prefix", "level")])
+
     least = {x: F.floor((F.col(f"{x}_n") * percent + 99) / 100) for x in "ab"}
     need = F.least("a_level", "b_level", least["a"], least["b"])
     part = {x: F.slice(f"{x}_prefix", F.lit(1), (F.col(f"{x}_n") - least[x] + F.col("need")).cast("int")) for x in "ab"}
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", need)
-    both = both.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     return both.where(F.size(F.array_intersect(part["a"], part["b"])) >= F.col("need")).select("a", "b")
 
 
@@ -414,8 +433,13 @@ def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, percen
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def in_blocks(members: DataFrame, docs: DataFrame, last: str, whole: bool) -> DataFrame:
-        chunks = F.ceil(F.col("c") / CHUNK).cast("long")
-        dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        # The largest class of a list has the first chunks; they meet the chunks of the rest, not each other.
+        size = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+        size = size.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
+        size = size.where("top.m < m").select("token", F.col("top.label").alias("main"), *[F.ceil(x / CHUNK).cast("long").alias(y) for x, y in ((F.col("top.m"), "own"), (F.col("m") - F.col("top.m"), "rest"))])
+        main, at = F.col("label") == F.col("main"), F.xxhash64("rid")
+        dealt = members.drop("n").join(size, "token").withColumn("chunk", F.when(main, F.pmod(at, F.col("own"))).otherwise(F.col("own") + F.pmod(at, F.col("rest"))))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(main, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("rest") - 1)))
         low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
         rows = dealt.join(docs, "rid").select("token", low, high, "chunk", "rid", "label", "level", "prefix", last)
         rows = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
