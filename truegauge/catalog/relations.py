@@ -181,6 +181,30 @@ def mann_whitney(t):
     return rounded(out.withColumn("label", effect_label(F.col("cliffs_delta"))))
 
 
+#: Orders split into dear and cheap discounts; ``masks`` holds every way to choose as many lines of an order, ``o`` their places and doubled ranks.
+CHOICES = """l AS (SELECT l_orderkey, l_extendedprice AS v, l_discount > 0.05 AS f FROM lineitem),
+  o AS (SELECT l_orderkey, v, f, row_number() OVER (PARTITION BY l_orderkey ORDER BY v) - 1 AS i, 2 * rank() OVER (PARTITION BY l_orderkey ORDER BY v) + count(*) OVER (PARTITION BY l_orderkey, v) - 1 AS r2 FROM l),
+  g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (f) AS n_first, count(*) FILTER (NOT f) AS n_rest, sum(r2) FILTER (f) AS w FROM o GROUP BY 1 HAVING count(DISTINCT f) = 2),
+  masks AS (SELECT * FROM (SELECT l_orderkey, n_first, n_rest, unnest(range(1 << n)) AS mask FROM g) WHERE bit_count(mask) = n_first)"""
+
+
+def lines_by_discount(t):
+    return t.lineitem.select("l_orderkey", "l_extendedprice", (F.col("l_discount") > 0.05).alias("f"))
+
+
+@query(
+    "H14_rank_sum_p",
+    f"""WITH {CHOICES},
+      s AS (SELECT l_orderkey, mask, sum(r2) AS s FROM masks JOIN o USING (l_orderkey) WHERE (mask >> i) & 1 = 1 GROUP BY 1, 2),
+      p AS (SELECT l_orderkey, avg((s <= w)::INTEGER) AS low, avg((s >= w)::INTEGER) AS high FROM s JOIN g USING (l_orderkey) GROUP BY 1),
+      e AS (SELECT l_orderkey, sum(t * t * t - t) AS ties FROM (SELECT l_orderkey, count(*)::DOUBLE AS t FROM o GROUP BY l_orderkey, v) GROUP BY 1),
+      q AS (SELECT *, w / 2.0::DOUBLE - n_first * (n_first + 1) / 2.0::DOUBLE AS u, sqrt(n_first * n_rest / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)))) AS sd FROM g JOIN p USING (l_orderkey) JOIN e USING (l_orderkey))
+      SELECT l_orderkey, n_first, n_rest, true AS exact, {rs(6, u='u', z='CASE WHEN sd > 0 THEN greatest(abs(u - n_first * n_rest / 2.0::DOUBLE) - 0.5, 0) / sd END', p_value='least(1, 2 * least(low, high))')} FROM q""",
+)
+def rank_sum_p(t):
+    return rounded(association.rank_sum_test(lines_by_discount(t), "l_extendedprice", "f", ["l_orderkey"]).where("n_first > 0 and n_rest > 0"))
+
+
 LOWESS_SQL = f"""WITH {PAIRS_CTE}, o AS (SELECT online AS x, delta AS y, row_number() OVER (ORDER BY online, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM pairs),
   w AS (SELECT a.x AS x0, b.x AS x1 FROM o a JOIN o b ON b.i = a.i + floor(0.3::DOUBLE * a.n)::BIGINT - 1),
   g AS (SELECT j::INTEGER AS point, x AS gx FROM range(101) AS js(j) JOIN o ON i = j * (n - 1) // 100),
@@ -373,6 +397,21 @@ def two_sample_ks(t):
     return rounded(diagnostics.two_sample_ks(roles(t), "delta", "role", "train", ["grp"]))
 
 
+@query(
+    "H11_exact_two_sample_ks",
+    f"""WITH {CHOICES},
+      c AS (SELECT l_orderkey, v, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM l JOIN g USING (l_orderkey) GROUP BY 1, 2),
+      d AS (SELECT l_orderkey, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY v)),
+      k AS (SELECT l_orderkey, n_first, n_rest, max(abs(ca * n_rest - cb * n_first)) AS gap FROM d JOIN g USING (l_orderkey) GROUP BY 1, 2, 3),
+      m AS (SELECT l_orderkey, mask, n_first, n_rest, i, sum((mask >> i) & 1) OVER (PARTITION BY l_orderkey, mask ORDER BY i) AS x FROM masks JOIN o USING (l_orderkey)),
+      h AS (SELECT l_orderkey, mask, max(abs(x * n_rest - (i + 1 - x) * n_first)) AS gap FROM m GROUP BY 1, 2)
+      SELECT l_orderkey, n_first, n_rest AS n_second, {rs(6, ks='any_value(k.gap)::DOUBLE / (n_first * n_rest)', ks_p='avg((h.gap >= k.gap)::INTEGER)')} FROM k JOIN h USING (l_orderkey) GROUP BY 1, 2, 3""",
+)
+def exact_two_sample_ks(t):
+    rows = lines_by_discount(t).withColumn("side", F.when(F.col("f"), "dear").otherwise("cheap"))
+    return rounded(diagnostics.two_sample_ks(rows, "l_extendedprice", "side", "dear", ["l_orderkey"], min_rows=1, exact=True).where("n_first > 0 and n_second > 0"))
+
+
 @query(
     "H12_drift_verdict",
     f"""WITH {PAIRS_CTE}, o AS (SELECT grp, delta, CASE WHEN row_number() OVER (PARTITION BY grp ORDER BY o_orderdate, o_orderkey) - 1 < floor(count(*) OVER (PARTITION BY grp) * 0.8::DOUBLE) THEN 'early' ELSE 'late' END AS role FROM pairs),

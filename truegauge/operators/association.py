@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.functions.tails import t_tail
+from truegauge.functions.exact import RANK_ROWS, rank_sum_exact
+from truegauge.functions.tails import normal_tail, t_tail
 from truegauge.operators.binning import bin_index
 from truegauge.operators.ordered import running_totals, with_ordinal
 from truegauge.operators.lookup import attach
@@ -234,6 +235,34 @@ def mann_whitney(df: DataFrame, value: str, in_first: str, by: Sequence[str] = (
     )
 
 
+def rank_sum_test(df: DataFrame, value: str, in_first: str, by: Sequence[str] = ()) -> DataFrame:
+    """U of the flagged rows against the rest, its deviate ``z`` and two-sided ``p_value``.
+
+    Up to ``RANK_ROWS`` rows of a group (``exact``) the p-value is twice the smaller tail among all choices of the first sample, ties included;
+    beyond, the normal one with variance corrected for ties and half a step of continuity. NULL values are left out; NULL flags count as
+    false. With one side empty, or all values equal, ``z`` is NULL; with one side empty ``p_value`` is, too.
+    """
+    flag = F.coalesce(F.col(in_first), F.lit(False)).cast("long")
+    at = value_positions(df.withColumn("_f", flag), value, by, {"first": F.col("_f")})
+    rank, t = F.col("upto") - (F.col("cnt") - 1) / 2, F.col("cnt").cast("double")
+    few = F.when(F.col("upto_all") <= RANK_ROWS, F.struct("upto", "cnt", "w_first"))
+    sums = at.groupBy(*by).agg(
+        F.max("cum_first_all").alias("n_first"),
+        F.max(F.col("upto_all") - F.col("cum_first_all")).alias("n_rest"),
+        F.sum(rank * F.col("w_first")).alias("_r"),
+        F.sum(t * t * t - t).alias("_ties"),
+        F.sort_array(F.collect_list(few)).alias("_few"),
+    )
+    a, b = F.col("n_first").cast("double"), F.col("n_rest").cast("double")
+    u, n = F.col("_r") - a * (a + 1) / 2, a + b
+    spread = F.sqrt(a * b / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
+    z = F.try_divide(F.greatest(F.abs(u - a * b / 2) - 0.5, F.lit(0.0)), F.nullif(spread, F.lit(0.0)))
+    out = sums.withColumns({"u": u, "z": z, "exact": n <= RANK_ROWS})
+    out = out.withColumns({"_law": rank_sum_exact(F.col("_few")["cnt"], F.col("_few")["w_first"]), "_normal": F.least(2 * normal_tail(F.coalesce("z", F.lit(0.0))), F.lit(1.0))})
+    p = F.when((F.col("n_first") > 0) & (F.col("n_rest") > 0), F.when(F.col("exact"), F.col("_law")).otherwise(F.col("_normal")))
+    return out.select(*by, "n_first", "n_rest", "u", "z", "exact", p.alias("p_value"))
+
+
 def time_trend(df: DataFrame, delta: str, days: str, by: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
     """Least-squares slope per day with its two-sided p-value."""
     pair = df.where(F.col(delta).isNotNull() & F.col(days).isNotNull())

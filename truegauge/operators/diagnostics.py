@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from truegauge.functions.exact import KS_ROWS, ks_exact
 from truegauge.functions.tails import chi2_tail, f_tail, kolmogorov_tail, normal_quantile, normal_tail, polynomial, t_tail
 from truegauge.operators.binning import quantile_bins
 from truegauge.operators.ordered import lagged
@@ -223,21 +224,30 @@ def ljung_box(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]
 # --- distribution comparison ----------------------------------------------------------------------
 
 
-def two_sample_ks(df: DataFrame, value: str, role: str, first: str, by: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
-    """Largest gap of the two empirical distribution functions, on counts of distinct values."""
+def two_sample_ks(df: DataFrame, value: str, role: str, first: str, by: Sequence[str] = (), min_rows: int = 10, exact: bool = False) -> DataFrame:
+    """Largest gap of the two empirical distribution functions, on counts of distinct values.
+
+    ``ks_p`` is the limit distribution's, or with ``exact`` the exact law's where neither sample has more than ``KS_ROWS`` rows. Both take the
+    values as distinct; with ties they are on the safe side.
+    """
     at = value_positions(df.withColumn("_f", (F.col(role) == first).cast("long")), value, by, {"a": F.col("_f")})
     na, nb = F.col("cum_a_all"), F.col("upto_all") - F.col("cum_a_all")
     gap = F.abs(F.try_divide(F.col("cum_a"), na) - F.try_divide(F.col("upto") - F.col("cum_a"), nb))
     out = at.groupBy(*by).agg(F.max(na).alias("n_first"), F.max(nb).alias("n_second"), F.max(gap).alias("ks"))
     enough = (F.col("n_first") >= min_rows) & (F.col("n_second") >= min_rows)
     n1, n2 = F.col("n_first"), F.col("n_second")
-    return out.withColumn("ks", F.when(enough, F.col("ks"))).withColumn(
-        "ks_p", F.when(enough, kolmogorov_tail(F.col("ks") * F.sqrt(n1 * n2 / (n1 + n2))))
-    )
+    out = out.withColumn("ks", F.when(enough, F.col("ks")))
+    limit = F.when(enough, kolmogorov_tail(F.col("ks") * F.sqrt(n1 * n2 / (n1 + n2))))
+    if not exact:
+        return out.withColumn("ks_p", limit)
+    out = out.withColumns({"_limit": limit, "_law": ks_exact(n1, n2, F.col("ks"))})
+    return out.withColumn("ks_p", F.when(F.greatest(n1, n2) <= KS_ROWS, F.col("_law")).otherwise(F.col("_limit"))).drop("_limit", "_law")
 
 
-def drift(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), head: float = 0.8, min_rows: int = 30) -> DataFrame:
-    """First share against the rest in time order: KS, mean difference, population deviation ratio, verdict."""
+def drift(
+    df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), head: float = 0.8, min_rows: int = 30, exact: bool = False
+) -> DataFrame:
+    """First share against the rest in time order: KS (``exact`` as in :func:`two_sample_ks`), mean difference, population deviation ratio, verdict."""
     placed = materialise(numbered(df.select(*by, *order, value), order, by), "drift")
     late = F.col("_i") >= F.floor(F.col("_n") * F.lit(head))
     rows = placed.where(F.col("_n") >= min_rows).withColumn("role", F.when(late, "late").otherwise("early"))
@@ -251,7 +261,7 @@ def drift(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (
         (F.avg(F.when(b, x)) - F.avg(F.when(a, x))).alias("mean_diff"),
         (F.stddev_pop(F.when(b, x)) / (F.stddev_pop(F.when(a, x)) + 1e-8)).alias("std_ratio"),
     )
-    ks = two_sample_ks(rows, value, "role", "early", by).select(*by, "ks", "ks_p")
+    ks = two_sample_ks(rows, value, "role", "early", by, exact=exact).select(*by, "ks", "ks_p")
     verdict = (
         F.when((F.col("ks_p") < 0.01) & (F.abs("mean_diff") > 0.05), "clear drift")
         .when(F.col("ks_p") < 0.05, "suspicious drift")
@@ -260,10 +270,10 @@ def drift(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (
     return attach(stats, ks, by).withColumn("verdict", verdict)
 
 
-def compare_roles(df: DataFrame, columns: Sequence[str], role: str, first: str) -> DataFrame:
+def compare_roles(df: DataFrame, columns: Sequence[str], role: str, first: str, exact: bool = False) -> DataFrame:
     """KS between two roles for several features at once."""
     long = df.select(role, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([role], list(columns), "feature", "_x")
-    return two_sample_ks(long, "_x", role, first, ["feature"])
+    return two_sample_ks(long, "_x", role, first, ["feature"], exact=exact)
 
 
 def mean_tests(df: DataFrame, value: str, by: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
