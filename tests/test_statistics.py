@@ -187,3 +187,15 @@ def test_tails_at_many_degrees_of_freedom():
     assert tails._beta_tail(12, 19, 0.3, 0.7) == pytest.approx(binomial, rel=1e-12)
     assert f_tail(1.01, 1e6, 1e6) == pytest.approx(normal((1.01 ** (1 / 3) - 1) * (1 - 2 / 9e6) / math.sqrt(2 / 9e6 * (1.01 ** (2 / 3) + 1))), rel=1e-3)
     assert math.isnan(tails._gamma_tail(math.nan, 1)) and tails._gamma_tail(3, 0) == 1 and tails._beta_tail(2, 3, 0, 1) == 0
+
+
+def test_distance_correlation_moves_rows_once_for_all_levels(spark, monkeypatch):
+    """Rows are ordered for their positions only; the levels of the cross term are worked on where the rows are."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": np.arange(700), "x": rng.integers(0, 90, 700).astype(float), "y": rng.normal(size=700)})
+    pdf["y"] += pdf.x / 40
+    calls, plain = [], association.running_totals
+    monkeypatch.setattr(association, "running_totals", lambda *a, **kw: calls.append(a[1]) or plain(*a, **kw))
+    got = association.distance_correlation(spark.createDataFrame(pdf), "k", [("x", "y")], block_levels=2).first()["dcor"]
+    assert got == pytest.approx(dense_dcor(pdf.x, pdf.y), abs=1e-10)
+    assert calls == [["feature"]]

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from truegauge.functions.exact import RANK_ROWS, rank_sum_exact
@@ -104,24 +104,27 @@ def mutual_information_matrix(df: DataFrame, columns: Sequence[str], bins: int =
 #
 # Both double sums of distances reduce to sums over sorted order, so no pair of rows is ever formed:
 # row sums need prefix sums, and the cross term needs, for each row, sums over the rows that precede
-# it in x *and* in y. The bits of the x-position split that question into log2(n) levels: two rows
-# meet at exactly one level, in one node, in different halves. Per level it is a running sum in y.
+# it in x *and* in y. Both positions are cut into blocks of about the root of the rows. Rows of one
+# x-block meet in the task of that block, rows of one y-block in the task of that one, where the bits of
+# the x-position split the question into levels: two rows meet at exactly one level, in one node, in
+# different halves. Rows that share neither block meet as sums of cells (x-block, y-block). So every row
+# moves twice, whatever the number of levels.
 
 
-def _dominated_in_block(levels: int):
-    """Cross term of the lowest levels inside one block of ``2**levels`` consecutive x-positions."""
+def _dominated_in_block(first: int, last: int):
+    """Cross term of the rows of one block that meet at the levels from ``first`` up to ``last``, exclusive."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ry", kind="stable")
         rx, x, y = pdf["rx"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy()
         terms = np.column_stack([np.ones_like(x), x, y, x * y])
         total = 0.0
-        for level in range(levels):
+        for level in range(first, last):
             order = np.argsort(rx >> (level + 1), kind="stable")
             node, upper = (rx >> (level + 1))[order], ((rx >> level) & 1)[order] == 1
             run_sum = np.cumsum(np.where(upper[:, None], 0.0, terms[order]), axis=0)
-            first = np.searchsorted(node, node, side="left")
-            base = np.where(first[:, None] > 0, run_sum[np.maximum(first - 1, 0)], 0.0)
+            start = np.searchsorted(node, node, side="left")
+            base = np.where(start[:, None] > 0, run_sum[np.maximum(start - 1, 0)], 0.0)
             c, sx, sy, sxy = (run_sum - base)[upper].T
             xu, yu = x[order][upper], y[order][upper]
             total += float(np.sum(xu * yu * c - xu * sy - yu * sx + sxy))
@@ -130,12 +133,35 @@ def _dominated_in_block(levels: int):
     return run
 
 
+def _dominated_over_blocks(paired: DataFrame, block: int, blocks: int) -> DataFrame:
+    """Cross term of the rows that share neither the x-block nor the y-block, from the sums of the cells: at most ``blocks`` squared of them a pair, not more
+    than a fraction of the rows."""
+    x, y = F.col("x"), F.col("y")
+    cells = paired.groupBy("a", "b", F.shiftright("rx", block).alias("bx"), F.shiftright("ry", block).alias("by")).agg(
+        F.count(F.lit(1)).cast("double").alias("c"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy")
+    )
+    # Empty cells carry the sums of the cells before them.
+    grid = cells.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bx"))
+    grid = grid.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({c: F.col(c).cast("long") for c in ("bx", "by")})
+    names = ("c", "sx", "sy", "sxy")
+    whole = grid.join(cells, ["a", "b", "bx", "by"], "left").fillna(0.0, list(names))
+    along = Window.partitionBy("a", "b", "bx").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("a", "b", "by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumns({f"_r{n}": F.coalesce(F.sum(n).over(along), F.lit(0.0)) for n in names})
+    whole = whole.withColumns({f"_p{n}": F.coalesce(F.sum(f"_r{n}").over(across), F.lit(0.0)) for n in names})
+    term = F.col("sxy") * F.col("_pc") - F.col("sx") * F.col("_psy") - F.col("sy") * F.col("_psx") + F.col("c") * F.col("_psxy")
+    return whole.groupBy("a", "b").agg(F.sum(term).alias("dom"))
+
+
 def distance_correlation(
-    df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], block_levels: int = 12, partitions: int | None = None
+    df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], block_levels: int = 16, partitions: int | None = None
 ) -> DataFrame:
-    """Exact distance correlation per pair in O(n log n) work; 0 for a constant column. ``key`` is unique."""
+    """Exact distance correlation per pair in O(n log n) work; 0 for a constant column. ``key`` is unique.
+
+    Blocks hold ``2**block_levels`` rows, more only where their number squared would come near the rows.
+    """
     columns = list(dict.fromkeys(itertools.chain.from_iterable(pairs)))
-    rows = complete(df, columns, key)
+    rows = materialise(complete(df, columns, key), "complete")
     means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
     centred = attach(rows, means).select(key, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
     long = centred.unpivot([key], columns, "feature", "x")
@@ -167,30 +193,18 @@ def distance_correlation(
         }.items()],
     )
 
-    low = (
-        paired.select("a", "b", "x", "y", "rx", "ry", F.shiftright("rx", block_levels).alias("_blk"))
-        .groupBy("a", "b", "_blk")
-        .applyInPandas(_dominated_in_block(block_levels), "a string, b string, dom double")
-    )
-    # Levels above the block: the number needed follows from n, read once from the one-row count.
-    count = rows.count()
-    top = max(0, math.ceil(math.log2(max(count, 2))) - block_levels)
-    dominated = low
-    if top:
-        levels = F.explode(F.array(*[F.lit(block_levels + i) for i in range(top)]))
-        at = paired.select("a", "b", "x", "y", "rx", "ry", levels.alias("level")).withColumns(
-            {"node": F.expr("shiftright(rx, level + 1)"), "half": F.expr("shiftright(rx, level) & 1")}
-        )
-        lower = (F.col("half") == 0).cast("double")
-        run = running_totals(
-            at,
-            ["a", "b", "level", "node"],
-            ["ry"],
-            {"c": lower, "px": lower * F.col("x"), "py": lower * F.col("y"), "pxy": lower * F.col("x") * F.col("y")},
-            partitions,
-        )
-        term = F.col("x") * F.col("y") * F.col("c") - F.col("x") * F.col("py") - F.col("y") * F.col("px") + F.col("pxy")
-        dominated = low.unionByName(run.where("half = 1").groupBy("a", "b").agg(F.sum(term).alias("dom")))
+    # The number of levels follows from n, read once from the one-row count.
+    levels = math.ceil(math.log2(max(rows.count(), 2)))
+    block = max(block_levels, math.ceil(levels / 2) + 2)
+    blocks = 1 << max(0, levels - block)
+
+    def within(position: str, first: int, last: int) -> DataFrame:
+        placed = paired.select("a", "b", "x", "y", "rx", "ry", F.shiftright(position, block).alias("_blk"))
+        return placed.groupBy("a", "b", "_blk").applyInPandas(_dominated_in_block(first, last), "a string, b string, dom double")
+
+    dominated = within("rx", 0, min(block, levels))
+    if blocks > 1:
+        dominated = dominated.unionByName(within("ry", block, levels)).unionByName(_dominated_over_blocks(paired, block, blocks))
     dom = dominated.groupBy("a", "b").agg(F.sum("dom").alias("dom"))
 
     m = F.col("n")
