@@ -108,7 +108,7 @@ STREAM_REASON = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" f
 @query("T4_stream_flags", f"WITH {DERIVED_CTE} SELECT coil_id, {STREAM_REASON} AS filter_reason FROM derived")
 def stream_flags(t):
     src, out, chk = scratch(t, "in"), scratch(t, "out"), scratch(t, "chk")
-    coils = t.coils
+    coils = materialise(t.coils, "coils")
 
     def step():
         stream = features.derive(streams.file_stream(t.spark, src, coils.schema), COIL_SPEC)
@@ -123,7 +123,7 @@ def stream_flags(t):
 def stream_flags_with_limits(t):
     """Limits measured on history flag stream rows in the words of the batch cleaning."""
     src, out, chk = scratch(t, "in"), scratch(t, "out"), scratch(t, "chk")
-    coils, rules = t.coils, quality.row_rules(COIL_SPEC, RULES, REQUIRED)
+    coils, rules = materialise(t.coils, "coils"), quality.row_rules(COIL_SPEC, RULES, REQUIRED)
     good = features.derive(coils, COIL_SPEC).where(quality.reasons(rules) == "")
     parts = [quality.mad_limits(good, c, RULES).select(F.lit(n).alias("name"), F.lit(c).alias("column"), "centre", "limit") for n, c in (("Top", "top_delta"), ("Bot", "bot_delta"))]
     limits = materialise(parts[0].unionByName(parts[1]), "limits")
