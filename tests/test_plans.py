@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from truegauge.catalog import streams as stream_queries
 from truegauge.catalog.registry import Tables
-from truegauge.operators import boosting
+from truegauge.operators import association, binning, boosting
 from truegauge.plans import calibrate
 
 
@@ -84,3 +84,32 @@ def test_walk_is_not_a_nest_of_expressions(spark):
         if level == 1:
             assert sorted(map(tuple, sums.collect())) == [(0, 1, 0, 0, 20.0, 20.0, 20), (0, 2, 0, 1, 20.0, 20.0, 20)]
     assert sizes[0] == sizes[1]
+
+
+def test_robust_lowess_looks_its_curve_up_without_ordering_the_rows_again(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": range(300), "x": rng.integers(0, 60, 300).astype(float)})
+    pdf["y"] = np.sin(pdf.x / 9) + rng.normal(size=300) / 5
+    pdf.loc[::40, "y"] += 30
+    ordered, plain = [], association.with_ordinal
+    monkeypatch.setattr(association, "with_ordinal", lambda *a, **kw: ordered.append(1) or plain(*a, **kw))
+    monkeypatch.setattr(binning, "forward_fill", lambda *a, **kw: pytest.fail("rows are ordered again"))
+    got = association.lowess(spark.createDataFrame(pdf), "x", "y", "k", points=21, robust=2).orderBy("point").toPandas()
+    assert len(ordered) == 1
+
+    rows = pdf.sort_values(["x", "k"])
+    x, y, n, k = rows.x.to_numpy(), rows.y.to_numpy(), 300, 90
+    at = x[[j * (n - 1) // 20 for j in range(21)]]
+    h = np.array([np.sort(np.abs(x - a))[k - 1] for a in at])
+    w0 = np.ones(n)
+    for turn in range(3):
+        fit = []
+        for a, r in zip(at, h):
+            d = x - a
+            w = np.where(np.abs(d) < r, (1 - (np.abs(d) / r) ** 3) ** 3, 0) * w0
+            fit.append(np.linalg.solve([[w.sum(), (w * d).sum()], [(w * d).sum(), (w * d * d).sum()]], [(w * y).sum(), (w * d * y).sum()])[0])
+        gx, first = np.unique(at, return_index=True)
+        res = np.abs(y - np.interp(x, gx, np.array(fit)[first]))
+        u = res / (6 * np.median(res))
+        w0 = np.where(u < 1, (1 - u * u) ** 2, 0)
+    assert got.fitted.to_numpy() == pytest.approx(np.array(fit), abs=1e-9)

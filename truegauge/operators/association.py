@@ -316,7 +316,8 @@ def _partial_fits(columns: list[str], grid: list[tuple[float, float]]):
             for lo in range(0, len(x), 8192):
                 dx = x[None, lo : lo + 8192] - at[:, None]
                 u = np.abs(dx) / reach[:, None]
-                w = np.where(u < 1, (1 - u**3) ** 3, 0.0) * w0[None, lo : lo + 8192]
+                t = 1 - u * u * u
+                w = np.where(u < 1, t * t * t, 0.0) * w0[None, lo : lo + 8192]
                 yy = y[None, lo : lo + 8192]
                 acc[:, 1:] += np.stack([w.sum(1), (w * dx).sum(1), (w * dx * dx).sum(1), (w * yy).sum(1), (w * dx * yy).sum(1)], axis=1)
         acc[:, 0] = np.arange(len(grid))
@@ -375,15 +376,26 @@ def lowess(df: DataFrame, x: str, y: str, key: str, frac: float = 0.3, points: i
             "point", xs.alias("x"), F.when(det > 1e-12 * F.col("w") * F.col("wxx"), line).otherwise(flat).alias("fitted")
         )
 
-    from truegauge.operators.binning import interpolate
+    def smoothed(curve: DataFrame) -> DataFrame:
+        """``rows`` with ``_f``, the curve's value at their ``x``: the curve is a row per point, so it goes to every task."""
+        knots = sorted((r["x"], r["fitted"]) for r in curve.groupBy("x").agg(F.avg("fitted").alias("fitted")).collect())
+        gx, gy = (np.array([np.nan if k[i] is None else k[i] for k in knots], dtype=float) for i in (0, 1))
+
+        @F.pandas_udf("double")
+        def look_up(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(dtype="float64")
+            right = np.clip(np.searchsorted(gx, v, side="right"), 1, max(len(gx) - 1, 1))
+            if len(gx) < 2:
+                return pd.Series(np.full(len(v), gy[0]))
+            x0, x1, y0, y1 = gx[right - 1], gx[right], gy[right - 1], gy[right]
+            return pd.Series(np.where(v <= gx[0], gy[0], np.where(v >= gx[-1], gy[-1], y0 + (y1 - y0) * (v - x0) / (x1 - x0))))
+
+        return rows.withColumn("_f", F.nanvl(look_up("x"), F.lit(None).cast("double")))
 
     curve = fit(rows.withColumn("w", F.lit(1.0)))
     for _ in range(robust):
         curve = materialise(curve, "curve")
-        knots = curve.groupBy("x").agg(F.avg("fitted").alias("fitted"))
-        resid = materialise(
-            interpolate(rows, "x", knots, "x", "fitted", "_f").withColumn("_r", F.abs(F.col("y") - F.col("_f"))), "resid"
-        )
+        resid = materialise(smoothed(curve).withColumn("_r", F.abs(F.col("y") - F.col("_f"))), "resid")
         scale = exact_quantiles(resid, "_r", {"_med": 0.5})
         u = F.try_divide(F.col("_r"), 6 * F.nullif(F.col("_med"), F.lit(0.0)))
         weighted = attach(resid, scale).withColumn("w", F.when(u.isNull(), 1.0).when(u < 1, F.pow(1 - u * u, 2)).otherwise(0.0))
