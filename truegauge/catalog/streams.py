@@ -125,8 +125,12 @@ def stream_flags_with_limits(t):
     src, out, chk = scratch(t, "in"), scratch(t, "out"), scratch(t, "chk")
     coils, rules = materialise(t.coils, "coils"), quality.row_rules(COIL_SPEC, RULES, REQUIRED)
     good = features.derive(coils, COIL_SPEC).where(quality.reasons(rules) == "")
-    parts = [quality.mad_limits(good, c, RULES).select(F.lit(n).alias("name"), F.lit(c).alias("column"), "centre", "limit") for n, c in (("Top", "top_delta"), ("Bot", "bot_delta"))]
-    limits = materialise(parts[0].unionByName(parts[1]), "limits")
+    parts = [
+        quality.mad_limits(good, c, RULES).select(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit(c).alias("column"), "centre", "limit")
+        for i, (n, c) in enumerate((("Top", "top_delta"), ("Bot", "bot_delta")))
+    ]
+    # Files are read largest first, and reasons are named in the order of the limits.
+    limits = materialise(parts[0].unionByName(parts[1]), "limits").orderBy("place")
 
     def step():
         stream = features.derive(streams.file_stream(t.spark, src, coils.schema), COIL_SPEC)
