@@ -1,15 +1,20 @@
 import re
+from urllib.parse import unquote, urlparse
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_decontaminate import grams
 from tests.llm.test_ngram_join import brute as classes
 from tests.llm.test_pii import brute as personal
+from truegauge.llm.common import table
 from truegauge.llm.factorisation import score, train
+from truegauge.session import materialise
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -68,3 +73,15 @@ def test_registered(spark):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
     got = corpus_pipeline.run(spark, ROOT)
     assert got.where("not round_trip").count() == 0 and got.count() > 0
+
+
+def test_scratch_tables_and_readers_hold_little_at_once(spark, tmp_path):
+    """Whole pages and column batches of texts filled the executors' heap: row groups are small, and so are the batches that readers hand on."""
+    wide = F.concat(*[F.sha2(F.concat("id", F.lit(f"-{i}")), 256) for i in range(40)])
+    made = materialise(spark.range(0, 12_000, 1, 1).select("id", wide.alias("text")), "wide")
+    files = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in made.inputFiles()]
+    sizes = [f.row_group(i).column(1).total_compressed_size for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 18 << 20
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = table(spark, str(tmp_path), "documents").agg(F.count("text"), F.sum("id")).first()
+    assert tuple(seen) == (12_000, 71_994_000) and int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 200

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.session import prepare
+from truegauge.session import READ_BYTES, prepare
 
 #: Bytes of text that are expanded into numpy arrays at once.
 SLICE_BYTES = 1 << 19
@@ -28,14 +28,15 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Adaptive settings, and Arrow batches small enough that a batch of long texts fits a worker."""
+    """Adaptive settings, and batches small enough that one of long texts fits a worker and is no large object to an executor's heap."""
     prepare(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "200")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
     return spark
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return ready(spark).read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    return ready(spark).read.option("parquet.read.allocation.size", READ_BYTES).parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
