@@ -141,35 +141,68 @@ class WordHasher:
 
 
 class WordStore:
-    """Id sequences of words that a task has encoded already, by the words' hashes; emptied when ``most`` is reached."""
+    """Id sequences of words that a task has encoded already, by the words' hashes; emptied when ``most`` is reached.
+
+    Hashes are looked up many at a time in a table with open addresses that is never more than half full.
+    """
 
     def __init__(self, most: int):
         self.most = most
         self.clear()
 
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.places, self.keys = np.full(1 << 12, -1, np.int32), np.zeros(0, np.uint64)
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(keys, range(n, n + len(keys))))
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of every hash in the store, -1 for those it doesn't have."""
+        mask = np.uint64(len(self.places) - 1)
+        at = hashes & mask
+        out = self.places[at]
+        far = np.flatnonzero(out >= 0)
+        far = far[self.keys[out[far]] != hashes[far]]
+        while len(far):
+            at[far] = (at[far] + np.uint64(1)) & mask
+            out[far] = self.places[at[far]]
+            far = far[out[far] >= 0]
+            far = far[self.keys[out[far]] != hashes[far]]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words that the store doesn't have, each once."""
+        fresh = np.arange(len(self), len(self) + len(hashes), dtype=np.int32)
+        self.keys = np.concatenate([self.keys, hashes])
         self.flat = np.concatenate([self.flat, ids])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+        if 2 * len(self) > len(self.places):
+            self.places = np.full(1 << (4 * len(self) - 1).bit_length(), -1, np.int32)
+            fresh = np.arange(len(self), dtype=np.int32)
+        mask = np.uint64(len(self.places) - 1)
+        at = self.keys[fresh] & mask
+        while len(fresh):
+            free = self.places[at] < 0
+            self.places[at[free]] = fresh[free]
+            left = self.places[at] != fresh
+            fresh, at = fresh[left], (at[left] + np.uint64(1)) & mask
 
     def rows(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
         """Place of every word in the store; words it doesn't have are decoded and given to ``encode`` (a list of strings to ids and lengths)."""
-        code, distinct = pd.factorize(hashes.view(np.int64))
-        if len(self.known) + len(distinct) > self.most:
-            self.clear()
-        keys, known = distinct.tolist(), self.known
-        new = [i for i, x in enumerate(keys) if x not in known]
-        if new:
-            where = np.empty(len(distinct), dtype=np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
+        out = self.find(hashes)
+        lacking = np.flatnonzero(out < 0)
+        if len(lacking):
+            code, new = pd.factorize(hashes[lacking])
+            if len(self) + len(new) > self.most and len(self):
+                self.clear()
+                return self.rows(hashes, raw, starts, ends, encode)
+            where = np.empty(len(new), dtype=np.int64)
+            where[code[::-1]] = lacking[::-1]
+            out[lacking] = len(self) + code
             data = raw.tobytes()
-            self.add([keys[i] for i in new], *encode([data[starts[w] : ends[w]].decode("utf-8", "replace") for w in where[new]]))
-        return np.fromiter((known[x] for x in keys), dtype=np.int64, count=len(keys))[code]
+            self.add(new, *encode([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist())]))
+        return out
 
     def gather(self, rows: np.ndarray, first: np.ndarray, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words ``rows`` of all documents (``first``: each document's first word), ``tail`` behind each document, and where documents begin."""

@@ -33,9 +33,15 @@ END = 1
 MARK = "\x01"
 #: Keys that an index part is sized for, words kept encoded in a task, and bytes of text that are encoded at once.
 PART_KEYS = 200_000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 ENCODE_BYTES = 1 << 20
 
+#: Marks that end a run of letters or digits for sure, bytes behind which they may, and lower case of bytes.
+_MARKS = np.isin(np.arange(256), list(b".,;:!?%&*$#"))
+_ALNUM = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_LATIN = (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0) & ~np.isin(np.arange(256), [0x97, 0xB7])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _FINGER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,6 +138,8 @@ class WordEncoder:
     """Encodes texts with a ``tokenizers`` file, each distinct word (run without ASCII white space) once.
 
     Only for tokenizers that drop white space and never look across it, as word-end BPE does; :func:`splits_at_space` tells.
+    Where the tokenizer's own rules allow (:func:`plain_rules`), words that differ in ASCII case are one word, and a word ends before a
+    mark behind a letter or digit, so that fewer are distinct. Words that hold a byte an added token begins with stay as they are.
     """
 
     def __init__(self, path: str):
@@ -146,6 +154,8 @@ class WordEncoder:
         self.hasher = WordHasher(fold=False)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.store = WordStore(CACHED_WORDS)
+        self.plain = plain_rules(self.tokenizer)
+        self.added = np.isin(np.arange(256), [t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()])
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, and how many each has. Words go to the tokenizer many at a time with a mark between them, a word of its
@@ -162,9 +172,41 @@ class WordEncoder:
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, ``END`` behind each, and each row's first id."""
         starts, ends, first = word_spans(raw, offsets)
+        if self.plain and len(starts):
+            raw, starts, ends, first = self.pieces(raw, starts, ends, first)
         rows = self.store.rows(self.hasher.of(raw, starts, ends), raw, starts, ends, self.encode_words)
         return self.store.gather(rows, first, END)
 
+    def pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-case bytes, starts and ends of the words as they are cut at marks, and each row's first piece."""
+        low, inside = _LOWER[raw], np.zeros(len(raw) + 1, dtype=bool)
+        before = _ALNUM[raw]
+        before[1:] |= _LATIN[raw[1:]] & (raw[:-1] == 0xC3)
+        inside[1:-1] = before[:-1] & _MARKS[raw[1:]]
+        inside[starts] = False
+        for at in np.flatnonzero(self.added[raw]):
+            w = np.searchsorted(starts, at, side="right") - 1
+            if w >= 0 and at < ends[w]:
+                low[starts[w] : ends[w]], inside[starts[w] : ends[w]] = raw[starts[w] : ends[w]], False
+        cuts = np.flatnonzero(inside)
+        new_starts = np.sort(np.concatenate([starts, cuts]))
+        begin = np.append(starts, len(raw))[first]
+        return low, new_starts, np.sort(np.concatenate([ends, cuts])), np.searchsorted(new_starts, begin, side="left")
+
+
+def plain_rules(tokenizer) -> bool:
+    """Whether the tokenizer's file shows that ASCII case makes no difference to it and that it always cuts between letters or digits and other marks."""
+    file = json.loads(tokenizer.to_str())
+    normal, cut = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps = [x for x in normal.get("normalizers", [normal]) if x.get("type") not in ("NFC", "Lowercase")]
+    folds = [x.get("type") for x in normal.get("normalizers", [normal])][-1:] == ["Lowercase"]
+    spaces = all(x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in steps)
+    parts = cut.get("pretokenizers", [cut])
+    split = parts[0] if parts else {}
+    words = split.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and split.get("behavior") == "Removed" and split.get("invert") is True
+    rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in parts[1:])
+    return folds and spaces and words and rest and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in file.get("added_tokens", []))
+
 
 def _open(folder: str):
     from pyarrow import fs
