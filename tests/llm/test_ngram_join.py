@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from truegauge.llm import ngram_join
@@ -80,3 +81,58 @@ def test_components(spark):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {x: v for x, v in label.items() if any(a != b and x in (a, b) for a, b in pairs)}
+
+
+def test_scratch_tables_go_once_the_verdicts_are_written(spark):
+    """Sets, prefixes and lists stayed on disk until the end: 2.6 times the input beside the later stages."""
+    from pathlib import Path
+
+    from truegauge.session import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file://")) / "truegauge" / spark.sparkContext.applicationId
+    folders = lambda: {p.name for p in root.iterdir()} if root.exists() else set()
+    before = folders()
+    texts = [f"w{i % 7} a{i % 7} b c d e f g h i{i % 7} j" for i in range(30)] + ["", None]
+    kept = ngram_join.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    big = {x.split("-")[0] for x in folders() - before}
+    assert "verdicts" in big and not big & {"sets", "classes", "prefixes", "shared", "listed", "known", "levels", "marked", "open", "near", "members"}
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(7), 30, 31]
+
+
+def test_only_nodes_moves_no_sets(spark):
+    """Every prefix was shuffled to leave out the few sets that two tasks have: 202 MB for 0.51 GB."""
+    sets = spark.createDataFrame([(i, 3, b"t%d" % i if i % 5 else None, b"w") for i in range(200)], "rid long, n long, tokens binary, weights binary")
+    nodes = spark.createDataFrame([(i,) for i in range(200) if i % 5 and i % 7], "rid long")
+    got = ngram_join._only_nodes(sets, nodes)
+    assert sorted(r.rid for r in got.collect()) == [i for i in range(200) if i % 5 and i % 7]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_that_the_bitmap_names_by_mistake_stay(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SET_BITS", 6)
+    test = [(i, 3, b"t%d" % i, b"w") for i in range(60)]
+    sets = spark.createDataFrame(test, "rid long, n long, tokens binary, weights binary")
+    nodes = spark.createDataFrame([(i,) for i in range(60) if i % 3], "rid long")
+    assert sorted(r.rid for r in ngram_join._only_nodes(sets, nodes).collect()) == [i for i in range(60) if i % 3]
+
+
+def test_fingers_never_hide_a_shared_token():
+    """Tokens with equal high bytes are told apart by their number, so matches are counted in full."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        pool = (rng.integers(0, 6, 40).astype(np.uint64) << np.uint64(32)) | (rng.integers(0, 1 << 16, 40).astype(np.uint64) << np.uint64(16))
+        a, b = (np.unique(rng.choice(pool, 15)) for _ in range(2))
+        x, y = (ngram_join._numbered(ngram_join._fingers(rng.permutation(t))) for t in (a, b))
+        assert len(np.unique(x)) == len(a) and len(np.unique(y)) == len(b)
+        assert len(np.intersect1d(x, y)) >= len(np.intersect1d(a, b))
+    assert len(ngram_join._numbered(b"")) == 0
+
+
+def test_counters_travel_narrow_and_whole():
+    for places in ([0], [65535], [0, 1, 2, 300, 65535], range(0, 65536, 3)):
+        where = np.array(places)
+        for top in (1, 255, 256, 70_000):
+            part = np.full(len(where), top, np.uint32)
+            gaps, counts = (ngram_join._narrow(x).tobytes() for x in (np.diff(where, prepend=0), part))
+            assert (np.cumsum(ngram_join._widen(gaps, len(where))) == where).all() and (ngram_join._widen(counts, len(where)) == part).all()
+    assert len(ngram_join._narrow(np.array([1, 255])).tobytes()) == 2

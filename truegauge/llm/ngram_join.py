@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from truegauge.llm.common import WordHasher, bitmap_of, free_name, in_bitmap, ready, run_shingles, small, text_slices
 from truegauge.llm.components import components
-from truegauge.session import materialise
+from truegauge.session import discard, materialise
 
 #: log2 of the numbers of counters behind the global order (of words, of tokens), and counters in one shuffled row.
 WORD_BITS = 20
@@ -95,6 +95,22 @@ def _unpack(data) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _fingers(tokens: np.ndarray) -> bytes:
+    """Four bytes of each token, for counting matches."""
+    return (tokens.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def _numbered(data) -> np.ndarray:
+    """The numbers of :func:`_fingers`, those that come again with how often they came before: sets share at least as many of them as tokens."""
+    out = np.frombuffer(data, np.uint32).astype(np.int64)
+    by = np.argsort(out, kind="stable")
+    same = np.concatenate(([False], out[by[1:]] == out[by[:-1]]))
+    if same.any():
+        place = np.arange(len(out))
+        out[by] += (place - np.maximum.accumulate(np.where(same, 0, place))) << 32
+    return out
+
+
 def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -122,18 +138,29 @@ def _count_task(hashes, bits: int):
             part = total[slab : slab + SLAB]
             where = np.flatnonzero(part)
             if len(where):
-                yield pa.RecordBatch.from_pylist([{"slab": slab // SLAB, "places": where.astype(np.uint16).tobytes(), "counts": part[where].tobytes()}])
+                gaps, counts = _narrow(np.diff(where, prepend=0)), _narrow(part[where])
+                yield pa.RecordBatch.from_pylist([{"slab": slab // SLAB, "n": len(where), "gaps": gaps.tobytes(), "counts": counts.tobytes()}])
 
     return run
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
+def _widen(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of :func:`_narrow`."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+
+
 def _merge_slabs(batches):
     """Sums of the slabs that came to this task, on a logarithmic scale of one byte."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for slab, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+        for slab, n, gaps, counts in zip(*(c.to_pylist() for c in batch.columns)):
             mine = total.setdefault(slab, np.zeros(SLAB, dtype=np.int64))
-            mine[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+            mine[np.cumsum(_widen(gaps, n))] += _widen(counts, n)
     for slab, part in total.items():
         yield pa.RecordBatch.from_pylist([{"slab": slab, "weights": np.minimum(STEPS * np.log2(1 + part), 255).astype(np.uint8).tobytes()}])
 
@@ -144,7 +171,7 @@ STEPS = 6
 
 def _global_counts(rows: DataFrame, hashes, bits: int) -> np.ndarray:
     """Weights of all counters, one byte each, whatever the input's size."""
-    slabs = "slab long, places binary, counts binary"
+    slabs = "slab long, n long, gaps binary, counts binary"
     merged = rows.mapInArrow(_count_task(hashes, bits), slabs).repartition(max(1, 1 << (bits - 18)), "slab").mapInArrow(_merge_slabs, "slab long, weights binary")
     total = np.zeros(1 << bits, dtype=np.uint8)
     for slab, weights in merged.collect():
@@ -272,7 +299,7 @@ def _blocks(percent: int, whole: bool):
 
     def one(rows):
         cols = list(zip(*rows))
-        prefixes = [np.asarray(x, dtype=np.int64) for x in cols[7]]
+        prefixes = [_numbered(x) for x in cols[7]]
         sides = [int(low != high and chunk == high) for low, high, chunk in zip(cols[1], cols[2], cols[3])]
         if whole:
             return block_links(cols[4], cols[5], cols[6], prefixes, [_unpack(x) for x in cols[8]], sides, percent)
@@ -303,17 +330,29 @@ def _links_batch(links) -> pa.RecordBatch:
 
 def _preselect(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows (rid first) of the wanted nodes and a few others: a bitmap of fixed size keeps most rows out of the joins to come."""
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "rid", SET_BITS))
+    return _sieve(rows, rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "rid", SET_BITS)), True)
+
+
+def _sieve(rows: DataFrame, bits, named: bool) -> DataFrame:
+    """The rows (rid first) whose rid the bitmap names, or those whose rid it doesn't."""
 
     def run(batches):
         for batch in batches:
-            keep = in_bitmap(bits.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), SET_BITS)
+            keep = in_bitmap(bits.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), SET_BITS) == named
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def _only_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rid, n, tokens, weights) of the nodes. Rows whose set another task has too are told by a bitmap; the nodes that it names by mistake are joined."""
+    rows = sets.where("tokens is not null").select("rid", "n", "tokens", "weights")
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap_of(rows.select("rid").join(nodes, "rid", "left_anti"), "rid", SET_BITS))
+    sure, mistaken = _sieve(rows, bits, False), materialise(_sieve(nodes, bits, True), "mistaken")
+    return sure if mistaken.isEmpty() else sure.unionByName(_preselect(rows, mistaken).join(mistaken, "rid"))
+
+
 def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rid, tokens) of the wanted nodes and a few others."""
     return _preselect(sets.where("tokens is not null").select("rid", "tokens"), wanted)
@@ -325,7 +364,7 @@ def _near_sizes(a: str, b: str, percent: int):
 
 
 def _listed(prefixes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(rid, n, token) of the base prefixes for the shared tokens and a few others, told by a bitmap of fixed size."""
+    """(rid, n, token, s) of the base prefixes for the shared tokens and a few others, told by a bitmap of fixed size; ``s`` is how many the row has."""
     bits = prefixes.sparkSession.sparkContext.broadcast(bitmap_of(shared, "token", TOKEN_BITS))
 
     def run(batches):
@@ -337,9 +376,20 @@ def _listed(prefixes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
             tokens = tokens[first[0] : first[-1]]
             inner = np.arange(len(tokens)) + first[0] - first[owner]
             keep = (inner <= n[owner] - _least(n[owner], percent)) & in_bitmap(bits.value, tokens.view(np.uint64), TOKEN_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[owner[keep]], n[owner[keep]], tokens[keep])], names=["rid", "n", "token"])
+            s = np.bincount(owner[keep], minlength=len(rid))
+            columns = (rid[owner[keep]], n[owner[keep]], tokens[keep], s[owner[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["rid", "n", "token", "s"])
+
+    return prefixes.select("rid", "n", "prefix").mapInArrow(run, "rid long, n long, token long, s long")
 
-    return prefixes.select("rid", "n", "prefix").mapInArrow(run, "rid long, n long, token long")
+
+def _fingered(batches):
+    """(rid, n, prefix) with four bytes a token."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat, first = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+        data = pa.array([_fingers(flat[a:b]) for a, b in zip(first, first[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], names=["rid", "n", "prefix"])
 
 
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -350,10 +400,11 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     separate rows; equal sets are always in one class. A NULL key is a class id only if the class has no other. Other columns of
     ``docs`` are ignored. An empty table gives an empty table.
     """
-    return _classes(docs, key, text, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _classes(docs, key, text, words, percent)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows with their classes, and the scratch tables that are read for them."""
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     weights = spark.sparkContext.broadcast(_global_counts(rows.select("text"), _text_hashes, WORD_BITS))
@@ -370,7 +421,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     by_key = named.join(smallest, "label").select("key", "label", "component_id")
     full = sets.where("n > 0").select("doc_id", "same", "key", "n").join(by_key, "key").select("doc_id", "same", "n", "label", "component_id")
     none = sets.where("n = 0").select("doc_id", "same", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(none)
+    return full.unionByName(none), [sets, classes]
 
 
 def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -379,53 +430,67 @@ def _links(spark, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     # A counter that says no more than the average of all says nothing of its tokens.
     usual = int(STEPS * np.log2(2 + np.mean(np.exp2(counts / np.float32(STEPS)) - 1)))
     order = spark.sparkContext.broadcast((counts, usual))
-    cut = sets.where("tokens is not null").select("rid", "n", "tokens", "weights").mapInArrow(_prefixes(order, percent), "rid long, n long, prefix array<long>")
-    prefixes = materialise(cut.join(nodes, "rid"), "prefixes")
+    prefixes = materialise(_only_nodes(sets, nodes).mapInArrow(_prefixes(order, percent), "rid long, n long, prefix array<long>"), "prefixes")
     base = F.slice("prefix", 1, (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
     posted = prefixes.select("rid", F.explode(base).alias("token"))
     shared = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    listed = materialise(_listed(prefixes, shared, percent).join(shared, "token"), "listed")
-    cost = listed.groupBy("rid").agg(F.count(F.lit(1)).alias("s"), F.sum("c").alias("cost"))
+    # The hub is known as soon as the lists are counted, so the lists move once.
+    posted = _listed(prefixes, shared, percent)
+    hubs = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("s", (-F.col("rid")).alias("h"), "n")).alias("top")).where("c > 1")
+    hubs = hubs.select("token", "c", (-F.col("top.h")).alias("hub"), F.col("top.n").alias("hub_n"))
+    listed = materialise(posted.drop("s").join(hubs, "token"), "listed")
+    known = materialise(_preselect(prefixes, listed.select("rid")).mapInArrow(_fingered, "rid long, n long, prefix binary"), "known")
+    discard(prefixes, shared)
+    cost = listed.groupBy("rid").agg(F.sum("c").alias("cost"))
     level = F.least(F.lit(1 + LONGEST), F.ceil(F.log2("cost"))).cast("long")
-    known = materialise(_preselect(prefixes, listed.select("rid")).join(cost, "rid").select("rid", "n", "prefix", "s", level.alias("level")), "levels")
-    hub = listed.join(known.select("rid", "s"), "rid").groupBy("token").agg(F.max(F.struct("s", (-F.col("rid")).alias("h"), "n")).alias("top"))
-    hub = hub.select("token", (-F.col("top.h")).alias("hub"), F.col("top.n").alias("hub_n"))
-    pairs = listed.join(hub, "token").where(F.col("hub") != F.col("rid")).where(_near_sizes("n", "hub_n", percent))
+    levels = materialise(cost.select("rid", level.alias("level")), "levels")
+    pairs = listed.where(F.col("hub") != F.col("rid")).where(_near_sizes("n", "hub_n", percent))
     pairs = pairs.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    first = _verify(sets, _matching(pairs, known, percent), percent)
+    first = _verify(sets, _matching(pairs, known, levels, percent), percent)
     label = components(first)
     # Lists whose members are of one class already can't change the result.
-    marked = listed.join(label.select(F.col("id").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    marked = listed.select("rid", "n", "token", "c").join(label.select(F.col("id").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     marked = materialise(marked, "marked")
+    discard(listed)
     # Lists with the same members make the same pairs, so one of them is enough (members compared by two 64-bit sums).
     members = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.hash("rid").cast("long")).alias("y")]
     open_ = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *members).where("lo <> hi")
     open_ = open_.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
     left = materialise(marked.join(open_, "token"), "open")
+    discard(marked)
     cold = left.where(F.col("c") <= COLD).select("token", "rid", "n", "label")
     other = cold.select("token", F.col("rid").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("other"))
     pairs = cold.join(other, "token").where("rid < b and label <> other").where(_near_sizes("n", "b_n", percent))
     pairs = pairs.select(F.col("rid").alias("a"), "b").distinct()
-    second = _verify(sets, _matching(pairs, known, percent), percent)
-    return first.unionByName(second).unionByName(_hot_links(spark, sets, left.where(F.col("c") > COLD), known, percent))
+    second = _verify(sets, _matching(pairs, known, levels, percent), percent)
+    third = _hot_links(spark, sets, left.where(F.col("c") > COLD), known, levels, percent)
+    discard(left, known, levels)
+    return first.unionByName(second).unionByName(third)
 
 
-def _matching(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _matching(pairs: DataFrame, known: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) with near sizes, those whose lengthened prefixes share as many tokens as the smaller of the two levels asks for."""
     pairs = materialise(pairs, "candidates")
 
     def side(x: str) -> DataFrame:
-        own = _preselect(known.select("rid", "n", "prefix", "level"), pairs.select(F.col(x).alias("rid")))
+        own = _preselect(known, pairs.select(F.col(x).alias("rid"))).join(levels, "rid")
         return own.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "prefix", "level")])
 
-    least = {x: F.floor((F.col(f"{x}_n") * percent + 99) / 100) for x in "ab"}
-    need = F.least("a_level", "b_level", least["a"], least["b"])
-    part = {x: F.slice(f"{x}_prefix", F.lit(1), (F.col(f"{x}_n") - least[x] + F.col("need")).cast("int")) for x in "ab"}
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", need)
-    return both.where(F.size(F.array_intersect(part["a"], part["b"])) >= F.col("need")).select("a", "b")
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a_n, a_prefix, a_level, b_n, b_prefix, b_level in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                a_least, b_least = _least(a_n, percent), _least(b_n, percent)
+                need = min(a_level, b_level, a_least, b_least)
+                a, b = _numbered(a_prefix)[: a_n - a_least + need], _numbered(b_prefix)[: b_n - b_least + need]
+                keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= need)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("n", "prefix", "level")]).mapInArrow(run, "a long, b long")
 
-def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+
+def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     """Links among members of different classes of long lists, found in blocks of bounded size.
 
     A first pass over prefixes tells which members have a matching partner at all; only these bring their whole sets to the second.
@@ -445,11 +510,15 @@ def _hot_links(spark, sets: DataFrame, left: DataFrame, known: DataFrame, percen
         rows = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
         return rows.mapInArrow(_blocks(percent, whole), "a long, b long")
 
-    short = known.select("rid", "prefix", "level", "n")
-    met = in_blocks(left, short, "n", False).distinct().select(F.col("a").alias("token"), F.col("b").alias("rid"))
+    def short(members: DataFrame) -> DataFrame:
+        return _preselect(known, members.select("rid")).join(levels, "rid").select("rid", "prefix", "level", "n")
+
+    met = in_blocks(left, short(left), "n", False).distinct().select(F.col("a").alias("token"), F.col("b").alias("rid"))
     near = materialise(left.join(met, ["token", "rid"]), "near")
-    docs = _fetch(sets, near.select("rid").distinct()).join(short, "rid")
-    return materialise(in_blocks(near, docs, "tokens", True), "links")
+    docs = _fetch(sets, near.select("rid")).join(short(near), "rid")
+    links = materialise(in_blocks(near, docs, "tokens", True), "links")
+    discard(near)
+    return links
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -464,12 +533,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """Rows of ``docs`` without near copies: of every link class only the row with the smallest key stays (NULL keys come last, then
     the text's digest decides). A row that is repeated with the same key and text stays once. Documents without words always stay.
     """
-    classes = materialise(_classes(docs, key, text, words, percent).where("n > 0"), "members")
+    found, written = _classes(docs, key, text, words, percent)
+    classes = materialise(found.where("n > 0"), "members")
+    discard(*written)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
     best = classes.groupBy("label").agg(F.min(place).alias("best")).select("label", "best")
     kept = classes.join(best, "label").withColumn("stays", place == F.col("best"))
     verdict = kept.groupBy("doc_id", "same").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
     verdict = materialise(verdict.where("not stays or times > 1"), "verdicts")
+    discard(classes)
     at, digest = free_name(docs, "_key"), free_name(docs, "_same")
     own = docs.withColumns({at: F.col(key).cast("long"), digest: F.unhex(F.md5(F.encode(F.col(text).cast("string"), "UTF-8")))})
     met = own[at].eqNullSafe(verdict["doc_id"]) & (own[digest] == verdict["same"])
