@@ -71,3 +71,10 @@ def test_whole_and_level_by_level_fits_agree(spark, monkeypatch, loss, signs):
 def test_many_groups_share_tasks():
     assert boosting._parts([5, 900, 2], 8) == [0, 1, 2]
     assert boosting._parts([1, 1, 1, 9, 1, 1], 3) == [0, 0, 0, 1, 2, 2]
+
+
+def test_boosted_squared_runs_all_rounds(spark, tmp_path, fitted):
+    got = {r.model: r.r2 for r in modelling.boosted_squared(tables(spark, tmp_path)).collect()}
+    (model,) = fitted
+    assert model.depth == 4 and model.trees.count() == 200
+    assert got["boosted"] > max(0.0, got["online"])
