@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from truegauge.catalog import modelling
 from truegauge.catalog.registry import Tables
-from truegauge.operators import boosting, models
+from truegauge.operators import boosting, evaluate, models
+from truegauge.operators.ordered import with_ordinal
+from truegauge.plans import calibrate
 from truegauge.spec import ModelParams
 
 
@@ -78,3 +80,32 @@ def test_boosted_squared_runs_all_rounds(spark, tmp_path, fitted):
     (model,) = fitted
     assert model.depth == 4 and model.trees.count() == 200
     assert got["boosted"] > max(0.0, got["online"])
+
+
+def test_random_search_runs_all_trials_of_every_group(spark, tmp_path, monkeypatch):
+    """Every trial of the published search reaches the objective with its own rounds and depth; a group without enough rows has none."""
+    asked = []
+
+    def objective(parts):
+        assert {g: p.count() for g, p in parts.items()} == {"ALL_DATA": 500, "F": 250, "O": 250}
+        return lambda group, surface, params: asked.append((group, params)) or (1.0, 2.0)
+
+    monkeypatch.setattr(modelling, "boosted_objective", objective)
+    got = modelling.random_search(tables(spark, tmp_path, 500)).groupBy("group").count().collect()
+    assert {r["group"]: r["count"] for r in got} == {"ALL_DATA": 50, "F": 40, "O": 40}
+    assert {p.max_iter for g, p in asked} == set(range(100, 501, 50)) and {p.max_depth for g, p in asked} == set(range(3, 9))
+
+    asked.clear()
+    monkeypatch.setattr(modelling, "boosted_objective", lambda parts: lambda group, surface, params: (asked.append(group), (1.0, 2.0))[1])
+    assert modelling.random_search(tables(spark, tmp_path / "few", 300)).count() == 50 and set(asked) == {"ALL_DATA"}
+
+
+def test_trials_score_as_single_fits_do(spark, tmp_path):
+    """An objective on rows with ordinals has the errors of a fit that numbers them itself."""
+    rows = modelling.pair_rows(tables(spark, tmp_path, 300))
+    params = ModelParams(damping=0.4, pos_boost=2.0, alpha_smoothing=0.6, max_iter=12, max_depth=3)
+    numbered = with_ordinal(rows, modelling.ORDER, ["role"], "_i")
+    got = modelling.boosted_objective({"ALL_DATA": numbered})("ALL_DATA", "Top", params)
+    _, scored = calibrate.train_and_score(rows, modelling.PAIR_ROLES, params)
+    want = evaluate.metric_row(scored, "truth", "online", "corrected").first()
+    assert got == pytest.approx((want.rmse_model_test, max(want.pos_mae_model_test, want.neg_mae_model_test)), rel=1e-9)
